@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, table, written
 
 #: Rows that one sort task of a source gets on average; the keys are uniform hashes, so buckets are even.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
