@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +32,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wider(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of df with more columns at its end."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, media, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op4_quality": quality.op4_quality,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_media": media.op7_media,
     "op8_chat": chat.op8_chat,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_warc": warc.op10_warc,
 }
-SQL = {"op1_mix": mixing.SQL, "op8_chat": chat.SQL}
+SQL = {"op1_mix": mixing.SQL, "op8_chat": chat.SQL, "op10_warc": warc.SQL}
