@@ -85,7 +85,7 @@ def evidence(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nda
     return np.where(pos + neg >= 3, gain, 0.0)
 
 
-def fit(texts: list[str], labels: list[int], share: float, features: int = FEATURES, steps: int = 300, ridge: float = 1e-3) -> Model:
+def fit(texts: list[str], labels: list[int], share: float, features: int = FEATURES, steps: int = 600, ridge: float = 1e-5) -> Model:
     """Selects n-grams by the evidence they give, scales them by their log-count ratio, fits logistic regression.
 
     Document counts are first taken by hash slot, then by exact code in the best slots. Without rows of both
