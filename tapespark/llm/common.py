@@ -33,11 +33,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def wider(df: DataFrame, **kinds: str) -> T.StructType:
-    """The schema of df with more columns at its end."""
-    out = T.StructType(list(df.schema.fields))
-    for name, kind in kinds.items():
-        out = out.add(name, kind)
-    return out
+    """The schema of df with more columns at its end; df must not have columns of these names."""
+    more = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
 
 
 def text_or_empty(name: str = "text") -> Column:

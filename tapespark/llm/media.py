@@ -211,18 +211,19 @@ def _cluster(data: bytes, a: int, b: int, out: Media) -> None:
 
 
 def encoded(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Adds a binary column with each row's text as a file (null as empty, which is one frame of spaces)."""
+    """Adds a binary column with each row's text as a file (null as empty, which is one frame of spaces); one of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             files = pa.array([write(padded(x)) for x in utf8(batch.column(text))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, files], names=[*batch.schema.names, media])
 
+    df = df.drop(media)
     return df.mapInArrow(run, wider(df, **{media: "binary"}))
 
 
 def packets(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds packets (track, cluster, timestamp, byte range, keyframe) and error (null unless the file is damaged or null)."""
+    """Adds packets (track, cluster, timestamp, byte range, keyframe) and error (null unless the file is damaged or null); columns of these names are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("track", "cluster", "timestamp_ms", "offset", "size", "keyframe")
@@ -238,6 +239,7 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
             kind = pa.list_(pa.struct([("track", pa.int32()), ("cluster", pa.int32()), ("timestamp_ms", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(errors, pa.string())], names=[*batch.schema.names, "packets", "error"])
 
+    df = df.drop("packets", "error")
     return df.mapInArrow(run, wider(df, packets=PACKET, error="string"))
 
 

@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Adds score and predicted to all rows of docs; other columns pass through.
 
     A null text counts as empty: one passage without bytes, scored like any other. Equal texts get equal scores.
+    Columns of docs with the names of the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -157,6 +158,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             p = shared.value.score(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
+    docs = docs.drop("score", "predicted")
     return docs.mapInArrow(run, wider(docs, score="double", predicted="int"))
 
 

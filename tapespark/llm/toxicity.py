@@ -134,7 +134,8 @@ def fit(texts: list[str], labels: list[int], share: float, features: int = FEATU
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Adds score and predicted to all rows of docs (doc_id, text and any others, which pass through).
 
-    A null text counts as empty and gets the model's bias; equal texts get equal scores.
+    A null text counts as empty and gets the model's bias; equal texts get equal scores. Columns of docs with
+    the names of the results are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -144,6 +145,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p = shared.value.score([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
+    docs = docs.drop("score", "predicted")
     return docs.mapInArrow(run, wider(docs, score="double", predicted="int"))
 
 
