@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ def _record(kind: Column | str, ident: Column, uri: Column, more: list[Column],
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_FROM, file_records: int = FILE_RECORDS) -> None:
-    """Writes pages (page_id, url, html) as archive files under path: three records for each capture.
+    """Writes pages (page_id, url, html) as gzipped archive files under path: three records for each capture.
 
     Of equal payloads of at least `least` bytes, the smallest page_id is stored as a response and the others
     as revisits of it. A null html is an empty payload, a null url an empty target. Rows equal in page_id and
@@ -67,7 +68,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_FROM, file_records:
     whole = whole.dropDuplicates(["page_id", "digest"]) if known.where("copies > 1").limit(1).count() else whole
     whole = whole.select(full.alias("value"))
     for part, name in ((small, "side"), (whole, "responses")):
-        part.write.option("maxRecordsPerFile", file_records).text(f"{path}/{name}")
+        part.write.option("maxRecordsPerFile", file_records).option("compression", "gzip").text(f"{path}/{name}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -96,7 +97,7 @@ def records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for head, body in parse(data.as_py()):
+                for head, body in parse(gzip.decompress(data.as_py())):
                     kind, page, copies = head.get("warc-type"), None, None
                     payload = body.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     if kind == "metadata":
@@ -109,7 +110,7 @@ def records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("content").mapInArrow(run, RECORD)
 
 
