@@ -1,21 +1,64 @@
-"""Corpus pipeline: toxicity, language, near-duplicates, benchmark leaks, then the mix."""
+"""Corpus pipeline: toxic documents, unclear languages, near-duplicates and benchmark leaks go, then the mix."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapespark.llm import decontamination, langid, mixing, simhash, toxicity
 from tapespark.llm.common import table, written
-from tapespark.llm.mixing import mix
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; the other columns stay."""
-    return mix(docs, carry=("text", "lang", "source", "n_chars"))
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns that a stage's own would replace, under other names."""
+    return docs.withColumnsRenamed({c: f"aside {c}" for c in docs.columns if c in names})
 
 
-STAGES = [("mixing", mixing)]
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names."""
+    found = [c if c in out.columns and f"aside {c}" not in out.columns else f"aside {c}" for c in docs.columns]
+    return out.select(*[F.col(f"`{f}`").alias(c) for f, c in zip(found, docs.columns, strict=True)])
 
-#: The classifiers and the latent search have no SQL form; tests compare the stages with brute force.
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels among them, does not call toxic."""
+    model = toxicity.trained(spark, docs, sf_dir)
+    return _back(toxicity.score(_aside(docs, "score", "predicted"), model).where("predicted = 0"), docs)
+
+
+def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the source stands for the host, the lang column for the declared language."""
+    rows = _aside(docs, "language", "posterior", "text_language")
+    rows = rows.withColumns({"_host": F.col("source"), "_suffix": F.lit(""), "_declared": F.col("lang")})
+    return _back(langid.identify(rows, langid.trained(docs)).where(F.col("language") != langid.UNKNOWN), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    out = decontamination.decontaminate(_aside(docs, "item_ids", "share"), table(spark, sf_dir, "benchmark"))
+    return _back(out.where(F.size("item_ids") == 0), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, beside the columns of documents."""
+    own = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken")]
+    return mixing.mix(docs, carry=tuple(own))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unclear_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+]
+
+#: The classifiers, the latent search and the components have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, quality, simhash, toxicity, warc
+from . import chat, decontamination, langid, media, mixing, quality, scoring, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_lm": scoring.op2_lm,
+    "op3_decontaminate": decontamination.op3_decontaminate,
     "op4_quality": quality.op4_quality,
+    "op5_language": langid.op5_language,
     "op6_simhash": simhash.op6_simhash,
     "op7_media": media.op7_media,
     "op8_chat": chat.op8_chat,

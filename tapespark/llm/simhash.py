@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, table, text_or_empty, utf8, wider, written
@@ -193,19 +193,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) for all rows of docs (doc_id, text).
+    """doc_id, text_hash, fp and component_id (the smallest doc_id reachable) for all rows of docs (doc_id, text).
 
     Equal fingerprints are one value before any comparison, so copies cost no pairs. Rows without a text or
     without words have fingerprint 0 and link like any other; a null doc_id is never the smallest unless
     alone; repeated rows are in one class. An empty table gives no rows.
     """
-    rows = written(fingerprints(docs.select("doc_id", text_or_empty().alias("text")), n), "simhash-rows")
+    text = text_or_empty()
+    rows = written(fingerprints(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")), n), "simhash-rows")
     values = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
     linked = components(links(values.select("fp"), distance))
     root = values.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
     found = written(root.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stay: of each class the row with the smallest doc_id (null last), then text hash.
+
+    Rows equal in both are repeated; the first by their other columns stays. All columns pass through.
+    """
+    found = classes(docs, distance, n)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
+    keep = found.groupBy("component_id").agg(best.alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"))
+    rows = docs.withColumn("_own", F.xxhash64(text_or_empty()))
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_own"] == keep["_hash"]), "left_semi")
+    order = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*order or ["doc_id"]))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_own")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
