@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from .plans import events, rolling
+
+MODULES = [rolling, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,12 +99,33 @@ def exit_quotes(found: DataFrame, rows: DataFrame, keys: Sequence[str], decision
     return found.join(nxt, [*keys, decision], "left")
 
 
-def vote(gaps: Sequence[Column], neutral: float, reversion: bool = True) -> tuple[Column, Column]:
-    """Side and consensus of several gaps: the mean of their signs, where those within neutral are 0."""
-    signs = [F.when(F.abs(g) < neutral, 0.0).otherwise(F.signum(g)) for g in gaps]
-    mean = sum(signs[1:], signs[0]) / float(len(signs))
-    side = F.signum(mean).cast("int")
-    return (-side if reversion else side), F.abs(mean)
+def vote(local_gap: Column, gaps: Sequence[Column], neutral: float, consensus: float) -> tuple[Column, Column, Column]:
+    """(side, inverted, strength) from several gaps of averages to the price.
+
+    Of the gaps that reach neutral, the mean sign is the vote. If it reaches consensus and points away from the
+    local side, the side is inverted; otherwise the local side (long if its average is above the price) stays.
+    """
+    local = F.when(local_gap > 0, 1).otherwise(-1)
+    signs = F.array_compact(F.array(*[F.when(F.abs(g) >= neutral, F.signum(g)) for g in gaps]))
+    total = F.aggregate(signs, F.lit(0.0), lambda a, x: a + x)
+    score = F.when(F.size(signs) > 0, total / F.size(signs)).otherwise(0.0)
+    sure = (score != 0) & (F.abs(score) >= consensus)
+    world = F.when(score > 0, 1).otherwise(-1)
+    return F.when(sure, world).otherwise(local), sure & (world != local), F.abs(score)
+
+
+def evidence(local_gap: Column, gaps: Sequence[Column], slopes: Sequence[Column], least_gap: float, alignment: float, slope_share: float, least_slope: float = 0.0) -> tuple[Column, Column, Column, Column]:
+    """(dominant, relation, alignment, slope consensus) of the price over the averages.
+
+    relation is the sign of the local gap; alignment the share of gaps with that sign; slope consensus the
+    share of slopes that, against the relation, reach least_slope. Gaps below least_gap give no evidence.
+    """
+    relation = F.signum(local_gap).cast("int")
+    some = (relation != 0) & (F.abs(local_gap) >= least_gap)
+    share = lambda tests: sum((F.coalesce(t, F.lit(False)).cast("double") for t in tests[1:]), F.coalesce(tests[0], F.lit(False)).cast("double")) / float(len(tests))
+    aligned = F.when(some, share([F.signum(g) == relation for g in gaps])).otherwise(0.0)
+    sloped = F.when(some, share([-relation * s >= least_slope for s in slopes])).otherwise(0.0)
+    return some & (aligned >= alignment) & (sloped >= slope_share), relation, aligned, sloped
 
 
 def dominance(gap: str, horizons: Sequence[int], keys: Sequence[str], order: Sequence[str]) -> dict[str, Column]:

@@ -130,8 +130,8 @@ def lag_delta(x: Column, keys: Keys, order: Keys, k: int = 1) -> Column:
     return x - F.lag(x, k).over(Window.partitionBy(*keys).orderBy(*order))
 
 
-def correlation(x: Column, y: Column, valid: Column, keys: Keys, order: Keys, window: int) -> tuple[Column, Column]:
-    """Causal correlation and beta of y on x over the valid rows of the window; 0 where they aren't defined."""
+def correlation(x: Column, y: Column, valid: Column, keys: Keys, order: Keys, window: int, floor: float = 1e-12) -> tuple[Column, Column]:
+    """Causal correlation and beta of y on x over the valid rows of the window; 0 where a variance is at most floor."""
     w = over(keys, order, window - 1)
     one = F.when(valid, 1)
     n = F.sum(one).over(w)
@@ -139,8 +139,7 @@ def correlation(x: Column, y: Column, valid: Column, keys: Keys, order: Keys, wi
     vx = F.sum(one * x * x).over(w) / n - ex * ex
     vy = F.sum(one * y * y).over(w) / n - ey * ey
     cov = F.sum(one * x * y).over(w) / n - ex * ey
-    scale = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
-    return F.when(scale > 1e-12, cov / scale).otherwise(0.0), F.when(vx > 1e-12, cov / vx).otherwise(0.0)
+    return F.when((vx > floor) & (vy > floor), cov / F.sqrt(vx * vy)).otherwise(0.0), F.when(vx > floor, cov / vx).otherwise(0.0)
 
 
 def carried_sign(x: Column, keys: Keys, order: Keys) -> Column:
