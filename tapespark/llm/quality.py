@@ -114,7 +114,14 @@ def fit(texts: list[str], labels: list[int], share: float, hidden: int = 32, gat
         p["c"][:] = 0
         p["c0"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
-    x, counts = passages([t.encode("utf-8", "surrogatepass") for t in texts])
+    parts, some, size = [], [], 0
+    for i, t in enumerate(texts):  # a few megabytes at a time, as the counting needs much more than the text
+        some.append(t.encode("utf-8", "surrogatepass"))
+        size += len(some[-1])
+        if size > 1_000_000 or i == len(texts) - 1:
+            parts.append(passages(some))
+            some, size = [], 0
+    x, counts = (np.concatenate(k) for k in zip(*parts, strict=True))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-2
     x = (x - model.mean) / model.scale
     ends = np.cumsum(counts)
