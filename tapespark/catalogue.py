@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import events, rolling
+from .plans import books, events, rolling
 
-MODULES = [rolling, events]
+MODULES = [rolling, events, books]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
