@@ -81,11 +81,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ends = Counter(), 0
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 3_000_000):
             for raw in utf8(batch.column("text")):
                 found.update(raw.lower().split())
                 ends += 1
-            if len(found) > 600_000:
+            if len(found) > 300_000:
                 yield give()
                 found.clear()
         found[END] += ends
@@ -130,7 +130,7 @@ def count_triples(docs: DataFrame, vocab) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 3_000_000):
             _, unit, sizes, _ = vocab.value.sequence(utf8(batch.column("text")))
             two, one = contexts(unit, sizes)
             new, n = np.unique((two * UNITS + one) * UNITS + unit, return_counts=True)
@@ -272,7 +272,7 @@ def lm_scores(docs: DataFrame, parts: int = 7, held_out: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net, at = shared.value, tables.value, TaskContext.get().partitionId() << 33
         base_of, inside = np.append(known.base, [0.0, end_base]), np.append(known.inside, [0.0, 0.0])
-        for batch in pieces(batches, "text", 4_000_000):
+        for batch in pieces(batches, "text", 3_000_000):
             place, unit, sizes, others = known.sequence(utf8(batch.column("text")))
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             two, one = contexts(unit, sizes)
