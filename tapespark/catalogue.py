@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import books, events, rolling
+from .plans import books, events, labels, rolling
 
-MODULES = [rolling, events, books]
+MODULES = [rolling, events, books, labels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
