@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import books, evaluation, events, labels, rolling
+from .plans import books, evaluation, events, execution, labels, rolling
 
-MODULES = [rolling, events, books, labels, evaluation]
+MODULES = [rolling, events, books, labels, evaluation, execution]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
