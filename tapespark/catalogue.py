@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import books, evaluation, events, execution, ingest, labels, rolling
+from .plans import books, evaluation, events, execution, ingest, labels, live, rolling
 
-MODULES = [rolling, events, books, labels, evaluation, execution, ingest]
+MODULES = [rolling, events, books, labels, evaluation, execution, ingest, live]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
