@@ -20,14 +20,15 @@ SAMPLE, LANGUAGES = 600, 64
 SLOTS, TEMPER = 1 << 16, 0.35
 #: Pseudo-counts with which a host's prior leans on its suffix's, a suffix's on all, and a declared value's on chance.
 HOST_LEAN, SUFFIX_LEAN, DECLARED_LEAN = 8.0, 20.0, 2.0
-#: Least posterior of an answer, and fewest letters; below, the language is UNKNOWN.
-LEAST, LETTERS = 0.5, 3
+#: Least posterior of an answer; below it, and without any letter, the language is UNKNOWN.
+LEAST = 0.5
 UNKNOWN = "und"
 #: A table of hosts up to so many rows is sent to all tasks; a larger one is joined.
 HOSTS = 50_000
 
 HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 TAG = re.compile(r"<[^>]*>")
+LETTER = re.compile(r"[^\W\d_]")
 
 
 def visible(page: str) -> str:
@@ -52,13 +53,13 @@ class TextModel:
     languages: list[str]
     logs: np.ndarray
 
-    def likelihood(self, text: str) -> tuple[np.ndarray, int]:
-        """Tempered log likelihood for each language, and the number of letters."""
-        total, letters = np.zeros(len(self.languages)), 0
+    def likelihood(self, text: str) -> tuple[np.ndarray, bool]:
+        """Tempered log likelihood for each language, and whether there are letters."""
+        total, letters = np.zeros(len(self.languages)), False
         for k in range(0, max(len(text), 1), 400_000):
             part = text[k : k + 400_002]
             total += self.logs[codes(part)].sum(axis=0, dtype=np.float64)
-            letters += sum(map(str.isalpha, part[:400_000])) if len(part) < 64 else LETTERS * int(bool(re.search(r"[^\W\d_]{3}", part)))
+            letters = letters or bool(LETTER.search(part))
         return TEMPER * total, letters
 
 
@@ -108,7 +109,7 @@ def _likelihoods(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
                 text = visible(text) if markup and text else text or ""
                 ll, letters = shared.value.likelihood(text)
                 logs.append((ll - ll.max()).tolist() if len(ll) else [])
-                best.append(int(ll.argmax()) if letters >= LETTERS and len(ll) else -1)
+                best.append(int(ll.argmax()) if letters and len(ll) else -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.list_(pa.float64())), pa.array(best, pa.int32())], names=[*batch.schema.names, "_ll", "_best"])
 
     return rows.mapInArrow(run, wider(rows, _ll="array<double>", _best="int"))
