@@ -34,8 +34,8 @@ def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each class of near-duplicates (similar shingle sets or close fingerprints), that with the smallest id."""
+    return simhash.one_of_each(docs, simhash.near_classes(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

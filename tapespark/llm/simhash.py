@@ -209,12 +209,12 @@ def classes(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) -> Data
     return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each class the row with the smallest doc_id (null last), then text hash.
 
-    Rows equal in both are repeated; the first by their other columns stays. All columns pass through.
+    found are classes of docs (doc_id, text_hash, component_id). Rows equal in both are repeated; the first by
+    their other columns stays. All columns pass through.
     """
-    found = classes(docs, distance, n)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     keep = found.groupBy("component_id").agg(best.alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"))
     rows = docs.withColumn("_own", F.xxhash64(text_or_empty()))
@@ -227,3 +227,198 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) ->
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity of shingle sets: a wide fingerprint finds candidates, the sets decide.
+
+#: Words of a shingle and least similarity (shared shingles over all shingles of the two texts).
+SET_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of the wide fingerprint, signed buckets behind it, and differing bits up to which a pair is a candidate:
+#: a pair at the least similarity differs in about 39 bits, give or take 6.
+WIDE, BUCKETS, WIDE_DISTANCE = 256, 2048, 50
+#: Share of pairs at the least similarity that should meet under some key.
+FOUND = 0.98
+#: Members of a key that are compared at once, and rows of a key that go to one task.
+AT_ONCE, SPLIT = 1024, 20_000
+
+
+def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the n-word shingles (the whole sequence if it is shorter; none without words)."""
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) <= n:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 7) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)), dtype=np.uint64))
+
+
+def wide_fingerprints(raws: list[bytes]) -> np.ndarray:
+    """(texts, WIDE / 64) words: the signs of random projections of the shingle sets, through signed buckets."""
+    plane = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (BUCKETS, WIDE))
+    out = np.zeros((len(raws), WIDE // 64), dtype=np.uint64)
+    for k in range(0, len(raws), 256):
+        part = np.zeros((min(256, len(raws) - k), BUCKETS), dtype=np.float32)
+        for i, raw in enumerate(raws[k : k + 256]):
+            h = shingle_codes(raw)
+            place = (h >> np.uint64(20)).astype(np.int64) % BUCKETS
+            part[i] = np.bincount(place, weights=np.where(h & np.uint64(1), 1.0, -1.0), minlength=BUCKETS)
+        bits = np.packbits(part @ plane > 0, axis=1)
+        out[k : k + len(part)] = bits.view(">u8").astype(np.uint64)
+    return out
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp and the wide fingerprint s0.. of docs (doc_id, text_hash, text)."""
+    names = [f"s{i}" for i in range(WIDE // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4_000_000):
+            raws = utf8(batch.column("text"))
+            fps = np.array([fingerprint(r) for r in raws], dtype=np.uint64)
+            wide = wide_fingerprints(raws)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64)), *[pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(wide.shape[1])]], names=["doc_id", "text_hash", "fp", *names])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, wider(docs.select("doc_id", "text_hash"), fp="long", **{n: "long" for n in names}))
+
+
+def tables_for(count: int) -> tuple[int, int]:
+    """(bits of a key, number of keys): a key holds a few values by chance, and enough keys find a pair at the least similarity."""
+    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
+    agree = 1 - np.arccos(cosine) / np.pi
+    bits = max(12, int(np.ceil(np.log2(max(count, 2)))) - 3)
+    return bits, int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree**bits) * 1.2))
+
+
+def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest of the pairs within distance (Prim's rule, one row of distances at a time)."""
+    n = len(sig)
+    best, via, open_ = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool)
+    out, now = [], 0
+    for _ in range(n):
+        open_[now] = False
+        d = np.bitwise_count(sig ^ sig[now]).sum(axis=1, dtype=np.int64)
+        closer = open_ & (d < best)
+        best[closer], via[closer] = d[closer], now
+        left = np.flatnonzero(open_)
+        if not len(left):
+            break
+        now = int(left[best[left].argmin()])
+        if best[now] <= distance:
+            out.append((int(via[now]), now))
+    return out
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, s0..) with a key's rows together; edges (u, v) of forests. A crowded key is worked off in parts that share representatives."""
+    held_key, held_id, held_sig = None, np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)
+
+    def edges(ids: np.ndarray, sig: np.ndarray) -> tuple[list, np.ndarray]:
+        found = _forest(sig, distance)
+        child = {b for _, b in found}
+        return [(int(ids[a]), int(ids[b])) for a, b in found], np.array([i for i in range(len(ids)) if i not in child])
+
+    def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sig = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
+        if held_key is not None:
+            key, ids, sig = np.concatenate([np.full(len(held_id), held_key), key]), np.concatenate([held_id, ids]), np.concatenate([held_sig, sig])
+        if not len(key):
+            continue
+        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        out = []
+        sizes = np.diff(cut)[:-1]
+        two = cut[:-2][sizes == 2]
+        near = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= distance
+        out += zip(ids[two][near].tolist(), ids[two + 1][near].tolist(), strict=True)
+        for g in np.flatnonzero(sizes > 2):
+            out += edges(ids[cut[g] : cut[g + 1]], sig[cut[g] : cut[g + 1]])[0]
+        held_key, held_id, held_sig = key[-1], ids[cut[-2] :], sig[cut[-2] :]
+        while len(held_id) > AT_ONCE:  # the rest of a crowded key comes with the next batches
+            found, roots = edges(held_id[:AT_ONCE], held_sig[:AT_ONCE])
+            out += found
+            keep = roots[: AT_ONCE // 2]
+            held_id, held_sig = np.concatenate([held_id[keep], held_id[AT_ONCE:]]), np.concatenate([held_sig[keep], held_sig[AT_ONCE:]])
+        if out:
+            yield table(out)
+    if held_key is not None and len(held_id) > 1:
+        yield table(edges(held_id, held_sig)[0])
+
+
+def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): candidate links between distinct wide fingerprints (id, s0..), by keys of chosen bits.
+
+    Two fingerprints meet under a key if they agree on all its bits; the keys are many enough that close
+    pairs meet under some. A key's rows are compared in memory and give a least spanning forest of the pairs
+    within distance. Keys with very many rows are spread over tasks, by another hash for each choice of bits.
+    """
+    bits, keys = tables_for(values.count())
+    rng = np.random.default_rng(23)
+    words = [f"s{i}" for i in range(WIDE // 64)]
+    choices = []
+    for t in range(keys):
+        mask = [0] * len(words)
+        for b in rng.choice(WIDE, bits, replace=False).tolist():
+            mask[b // 64] |= 1 << (b % 64)
+        choices.append(F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)]))
+    keyed = values.select("id", *words, F.explode(F.array(*choices)).alias("key"))
+    crowded = keyed.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).alias("parts"))
+    keyed = keyed.join(F.broadcast(crowded), "key", "left")  # one row per SPLIT rows at most
+    keyed = keyed.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("parts"))))).select("key", "id", *words)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, distance), "u long, v long").distinct()
+
+
+def alike(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v, a, b) whose texts a and b share that part of their shingles, as (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "a", 4_000_000):
+            seen: dict[bytes, np.ndarray] = {}
+
+            def codes(raw: bytes, seen=seen) -> np.ndarray:
+                if raw not in seen:
+                    seen[raw] = shingle_codes(raw)
+                return seen[raw]
+
+            keep = []
+            for a, b in zip(utf8(batch.column("a")), utf8(batch.column("b")), strict=True):
+                x, y = codes(a), codes(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column("u"), batch.column("v"))], names=["u", "v"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and component_id for all rows of docs: classes linked by similar shingle sets or close fingerprints.
+
+    Links: five-word shingle sets that share SIMILARITY of their shingles (candidates by the wide fingerprint,
+    then the sets themselves), and the 64-bit fingerprints within DISTANCE. Texts are compared once however
+    often they occur. Nulls, empty texts and repeated rows as in classes().
+    """
+    text = text_or_empty()
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    words = [f"s{i}" for i in range(WIDE // 64)]
+    signed = written(signatures(rows), "near-rows")
+    texts = written(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.xxhash64(*[F.first(w) for w in words]).alias("id"), *[F.first(w).alias(w) for w in words]), "near-texts")
+    by_fp, by_id = (written(texts.groupBy(c).agg(F.min("text_hash").alias("rep"), *more), f"near-{c}") for c, more in (("fp", ()), ("id", [F.first(w).alias(w) for w in words])))
+    pairs = written(similar_pairs(by_id), "near-pairs")
+    reps = by_id.select("id", "rep")
+    pairs = pairs.join(reps.select(F.col("id").alias("u"), F.col("rep").alias("x")), "u").join(reps.select(F.col("id").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
+    bodies = written(rows.select("text_hash", "text").join(needed, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
+    full = pairs.join(bodies.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(bodies.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
+    to_rep = lambda c, by: texts.join(by.select(c, "rep"), c).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
+    close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    found = components(alike(full).unionByName(close).unionByName(to_rep("fp", by_fp)).unionByName(to_rep("id", by_id)))
+    root = texts.select("text_hash", "first").join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
+    least = root.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(root.join(least, "root").select("text_hash", "component_id"), "near-classes")
+    return signed.select("doc_id", "text_hash").join(named, "text_hash")

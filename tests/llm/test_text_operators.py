@@ -209,14 +209,56 @@ def test_components_follow_long_paths(spark):
 
 
 def test_one_of_each_class_stays(docs, empty):
-    kept = simhash.one_of_each(docs).select("doc_id", "text", "share")
+    found = simhash.near_classes(docs)
+    kept = simhash.one_of_each(docs, found).select("doc_id", "text", "share")
     by = {}
-    for r in simhash.classes(docs).collect():
+    for r in found.collect():
         by.setdefault(r.component_id, set()).add(r.doc_id)
     rows = kept.collect()
     assert len(rows) == len(by)
     assert {r.doc_id for r in rows} == {min((i for i in c if i is not None), default=None) for c in by.values()}
-    assert simhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_each(empty, simhash.near_classes(empty)).count() == 0
+
+
+def similar(a, b):
+    x, y = set(simhash.shingle_codes(a.encode()).tolist()), set(simhash.shingle_codes(b.encode()).tolist())
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("crowd,at_once", [(60, 1024), (150, 16)])
+def test_near_classes_find_similar_texts(spark, monkeypatch, crowd, at_once):
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = [" ".join(word() for _ in range(rng.integers(100, 300))) for _ in range(60)]
+    base = [word() for _ in range(400)]
+    for _ in range(crowd):  # near copies of one text
+        w = list(base)
+        w[rng.integers(0, 400)] = word()
+        texts.append(" ".join(w))
+    for i in range(40):  # pairs of graded likeness
+        w = texts[i].split()
+        for _ in range(1 + i // 8):
+            w[rng.integers(0, len(w))] = word()
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()}
+    likeness = {(i, j): similar(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), s in likeness.items():
+        if s >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(texts))}
+    pairs = [p for p, s in likeness.items() if s >= 0.8]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing else is joined
 
 
 # media
