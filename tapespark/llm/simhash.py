@@ -234,12 +234,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a shingle and least similarity (shared shingles over all shingles of the two texts).
 SET_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of the wide fingerprint, signed buckets behind it, and differing bits up to which a pair is a candidate:
-#: a pair at the least similarity differs in about 39 bits, give or take 6.
-WIDE, BUCKETS, WIDE_DISTANCE = 256, 2048, 50
+#: a pair at the least similarity differs in about 39 bits, give or take 7.
+WIDE, BUCKETS, WIDE_DISTANCE = 256, 2048, 58
 #: Share of pairs at the least similarity that should meet under some key.
 FOUND = 0.98
-#: Members of a key that are compared at once, and rows of a key that go to one task.
-AT_ONCE, SPLIT = 1024, 20_000
+#: Members of a key whose pairs are all returned, that are compared at once, and rows of a key that go to one task.
+FEW, AT_ONCE, SPLIT = 32, 1024, 20_000
 
 
 def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
@@ -287,10 +287,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def tables_for(count: int) -> tuple[int, int]:
     """(bits of a key, number of keys): a key holds a few values by chance, and enough keys find a pair at the least similarity."""
-    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
+    cosine = 2 * SIMILARITY / (1 + SIMILARITY) - 0.04  # the buckets blur it
     agree = 1 - np.arccos(cosine) / np.pi
-    bits = max(12, int(np.ceil(np.log2(max(count, 2)))) - 3)
-    return bits, int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree**bits) * 1.2))
+    bits = max(12, int(np.ceil(np.log2(max(count, 2)))) - 4)
+    return bits, int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree**bits) * 1.1))
 
 
 def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -313,7 +313,10 @@ def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, s0..) with a key's rows together; edges (u, v) of forests. A crowded key is worked off in parts that share representatives."""
+    """Rows (key, id, s0..) with a key's rows together; the near pairs of small keys, least forests of larger ones.
+
+    A crowded key is worked off in parts that share the roots of the parts before.
+    """
     held_key, held_id, held_sig = None, np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)
 
     def edges(ids: np.ndarray, sig: np.ndarray) -> tuple[list, np.ndarray]:
@@ -334,10 +337,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         out = []
         sizes = np.diff(cut)[:-1]
-        two = cut[:-2][sizes == 2]
-        near = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= distance
-        out += zip(ids[two][near].tolist(), ids[two + 1][near].tolist(), strict=True)
-        for g in np.flatnonzero(sizes > 2):
+        end = np.repeat(cut[1:-1], sizes) * (np.repeat(sizes, sizes) <= FEW)
+        left = np.arange(len(end))
+        for k in range(1, FEW):  # the small keys of the batch at once, one distance between rows after the other
+            left = left[left + k < end[left]]
+            if not len(left):
+                break
+            near = left[np.bitwise_count(sig[left] ^ sig[left + k]).sum(axis=1) <= distance]
+            out += zip(ids[near].tolist(), ids[near + k].tolist(), strict=True)
+        for g in np.flatnonzero(sizes > FEW):
             out += edges(ids[cut[g] : cut[g + 1]], sig[cut[g] : cut[g + 1]])[0]
         held_key, held_id, held_sig = key[-1], ids[cut[-2] :], sig[cut[-2] :]
         while len(held_id) > AT_ONCE:  # the rest of a crowded key comes with the next batches
@@ -355,8 +363,9 @@ def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame
     """(u, v): candidate links between distinct wide fingerprints (id, s0..), by keys of chosen bits.
 
     Two fingerprints meet under a key if they agree on all its bits; the keys are many enough that close
-    pairs meet under some. A key's rows are compared in memory and give a least spanning forest of the pairs
-    within distance. Keys with very many rows are spread over tasks, by another hash for each choice of bits.
+    pairs meet under some. A key's rows are compared in memory; those of more than FEW rows give a least
+    spanning forest of the pairs within distance, never all pairs. Keys with very many rows are spread over
+    tasks, by another hash for each choice of bits.
     """
     bits, keys = tables_for(values.count())
     rng = np.random.default_rng(23)
