@@ -156,9 +156,9 @@ def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """One row per key: the canonical turns of all its rows in order of turn, then role and text.
 
     A conversation is one row of the result, so its turns meet in one place by nature; a null key is a
-    conversation of its own, and repeated rows are repeated turns.
+    conversation of its own, a null role the empty role, and repeated rows are repeated turns.
     """
-    rows = canonical(turns).select(F.col(key), F.explode("turns").alias("t"))
+    rows = canonical(turns.withColumn("role", F.coalesce("role", F.lit("")))).select(F.col(key), F.explode("turns").alias("t"))
     return rows.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
