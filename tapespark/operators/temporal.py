@@ -5,7 +5,7 @@ All take a DataFrame with an explicit partition key and order; nothing sorts row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,19 +31,43 @@ def grid(bounds: DataFrame, keys: Keys, start: str, end: str, cadence: int, name
     return bounds.where(low <= high).select(*keys, F.explode(F.sequence(low, high, F.lit(cadence).cast("long"))).alias(name))
 
 
-def asof_last(ticks: DataFrame, events: DataFrame, keys: Keys, values: Keys, at: str = "ts", event_at: str = "ts", order: Keys = ()) -> DataFrame:
+def asof_last(ticks: DataFrame, events: DataFrame, keys: Keys, values: Keys, at: str = "ts", event_at: str = "ts", order: Keys = (), bucket_width: int | None = None) -> DataFrame:
     """ticks with each value's last row at or before the tick, and asof_ts, its time.
 
     Both sides are united and one window carries the last event forward, so the join is a sort per key, not a
-    product; an event at the tick itself counts. order breaks ties between events of one time.
+    product; an event at the tick itself counts. order breaks ties between events of one time. With a
+    bucket_width (of time) the window runs within each bucket, and what was last before a bucket comes from
+    the buckets' last events, so a hot key is as many tasks as it has buckets.
     """
     event = F.struct(F.col(event_at).alias("asof_ts"), *values)
     left = ticks.select(*ticks.columns, F.lit(None).cast(events.select(event.alias("e")).schema["e"].dataType).alias("_e"), F.col(at).alias("_at"), F.lit(1).alias("_late"), *[F.lit(None).cast(events.schema[c].dataType).alias(f"_o_{c}") for c in order])
     right = events.select(*keys, event.alias("_e"), F.col(event_at).alias("_at"), F.lit(0).alias("_late"), *[F.col(c).alias(f"_o_{c}") for c in order])
     rows = left.unionByName(right, allowMissingColumns=True)
-    w = over(keys, ["_at", "_late", *[f"_o_{c}" for c in order]])
-    rows = rows.withColumn("_e", F.last("_e", ignorenulls=True).over(w)).where("_late = 1")
-    return rows.select(*ticks.columns, "_e.*")
+    inside = ["_at", "_late", *[f"_o_{c}" for c in order]]
+    if bucket_width is None:
+        rows = rows.withColumn("_e", F.last("_e", ignorenulls=True).over(over(keys, inside)))
+    else:
+        rows = rows.withColumn("_bucket", F.floor(F.col("_at") / bucket_width))
+        rows = rows.withColumn("_e", F.last("_e", ignorenulls=True).over(over([*keys, "_bucket"], inside)))
+        tail = F.struct("_at", *inside[2:])
+        ends = rows.groupBy(*keys, "_bucket").agg(F.max_by("_e", F.when(F.col("_late") == 0, tail)).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")  # one row per key and bucket
+        rows = rows.join(ends, [*keys, "_bucket"]).withColumn("_e", F.coalesce("_e", "_before")).drop("_bucket", "_before")
+    return rows.where("_late = 1").select(*ticks.columns, "_e.*")
+
+
+def chunked(rows: DataFrame, keys: Keys, place: Column, reach: int, chunk: int, op: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """op over chunks of each key, for windows that look at most reach rows back.
+
+    place numbers the rows of a key (a regular grid's time over its step). A row also goes to the next chunk if
+    it is within reach of it, and only a chunk's own rows are kept, so the result is that over whole keys while
+    a long key is many tasks. op gets the rows and the keys to partition by.
+    """
+    rows = rows.withColumn("_place", place)
+    own = F.floor(F.col("_place") / chunk)
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(own, F.floor((F.col("_place") + reach) / chunk))))
+    return op(rows, [*keys, "_chunk"]).where(own == F.col("_chunk")).drop("_place", "_chunk")
 
 
 def merged(streams: Sequence[DataFrame], order: Keys) -> DataFrame:

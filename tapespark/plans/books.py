@@ -150,7 +150,7 @@ def consensus_mid(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf)
     bounds = q.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).withColumn("lo", S.bucket(F.col("lo"), HOUR) + HOUR)
     grid = T.grid(bounds, [], "lo", "hi", HOUR, "tick").withColumn("series", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
-    st = T.asof_last(grid, q, ["series"], ["bid", "ask"], at="tick", order=["seq"])
+    st = T.asof_last(grid, q, ["series"], ["bid", "ask"], at="tick", order=["seq"], bucket_width=24 * HOUR)
     st = st.select("tick", F.element_at(F.array(*map(F.lit, S.VENUES)), (F.col("series") + 1).cast("int")).alias("venue"), (F.col("bid") + F.col("ask")).cast("double").alias("mid"), S.quote_valid(F.col("bid").cast("double"), F.col("ask").cast("double"), strict=True).alias("valid"), F.coalesce((F.col("tick") - F.col("asof_ts")) / 1000.0, F.lit(1e18)).alias("stale_ms"))
     out = K.venue_state(st, max_stale=7_200_000.0)
     places = {"dispersion_bps": 3, "std_mid": 3}

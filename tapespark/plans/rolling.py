@@ -52,6 +52,14 @@ def weighted_vwap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("series", "bar", avg("last_bid", SEG, 60).alias("bid_avg"), avg("last_ask", SEG, 60).alias("ask_avg"), avg("close", ["series", "day"], None).alias("daily_avg"))
 
 
+@P.add(f"WITH {averaged_sql(24)} SELECT series, bar, avg_24 FROM averaged")
+def vwap_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same average over chunks of 64 rows with a halo of the window: a long segment is many tasks."""
+    rows = bars(spark, sf).withColumn("mid", F.col("last_bid") + F.col("last_ask"))
+    op = lambda part, keys: part.withColumn("avg_24", T.weighted_average(F.col("mid"), F.col("weight"), keys, ["bar"], 24))
+    return T.chunked(rows, SEG, F.floor(F.col("bar") / HOUR), 23, 64, op).select("series", "bar", "avg_24")
+
+
 @P.add(f"""WITH {BARS}, r AS (SELECT *, close - lag(close) OVER {W}) AS d1, close - lag(close, 5) OVER {W}) AS d5 FROM bars)
 SELECT series, bar, d1, d5,
        CASE WHEN count(d1) OVER w5 = 5 THEN round(sqrt(sum(CAST(d1 * d1 AS DOUBLE)) OVER w5 / 5.0), 6) END AS rms5,
@@ -109,7 +117,7 @@ def asof_grid(spark: SparkSession, sf: str) -> DataFrame:
     """State of each series' quote at every hour of the grid between its first and last tick."""
     q = quotes(spark, sf)
     grid = T.grid(q.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")), ["series"], "lo", "hi", HOUR)
-    out = T.asof_last(grid, q, ["series"], ["bid", "ask"], order=["seq"])
+    out = T.asof_last(grid, q, ["series"], ["bid", "ask"], order=["seq"], bucket_width=DAY)
     return out.select("series", "ts", "bid", "ask", "asof_ts", (F.col("ts") - F.col("asof_ts")).alias("age"))
 
 
@@ -124,7 +132,7 @@ def latency_asof(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf)
     grid = q.where(F.pmod("seq", F.lit(7)) == 0).select("series", "seq", F.explode(F.array(*[F.lit(x).cast("long") for x in LATENCIES])).alias("latency"), "ts")
     grid = grid.withColumn("due", F.col("ts") + F.col("latency"))
-    out = T.asof_last(grid, q.withColumnRenamed("seq", "n"), ["series"], ["bid", "ask", "k"], at="due", order=["n"])
+    out = T.asof_last(grid, q.withColumnRenamed("seq", "n"), ["series"], ["bid", "ask", "k"], at="due", order=["n"], bucket_width=DAY)
     ok = (F.col("due") - F.col("asof_ts") <= 4 * HOUR) & S.quote_valid(F.col("bid").cast("double"), F.col("ask").cast("double")) & (F.col("k") >= 10)
     return out.select("series", "seq", "latency", "bid", "ask", F.coalesce(ok, F.lit(False)).alias("valid"))
 

@@ -201,3 +201,19 @@ def test_backtest_resets_and_does_not_reopen(spark):
     got = L.curve_backtest(frame, ["k"], "ts", "seg", (0.5, 0.5, 0.5, 0.5), 0.0, 1000).orderBy("entry_at").collect()
     assert [(r.entry_at, r.exit_at, r.unresolved) for r in got] == [(0, 10, False), (20, None, True)]
     assert got[0].gross_bps == pytest.approx(0.0)
+
+
+def test_buckets_and_chunks_change_nothing(spark):
+    import random
+
+    rng = random.Random(3)
+    events = spark.createDataFrame([(rng.randint(0, 1), rng.randint(0, 500), i) for i in range(120)], "k long, ts long, v long")
+    ticks = spark.createDataFrame([(k, t) for k in (0, 1, 2) for t in range(-20, 900, 13)], "k long, ts long")
+    plain = T.asof_last(ticks, events, ["k"], ["v"], order=["v"]).collect()
+    for width in (1, 7, 100, 10_000):
+        assert sorted(map(str, T.asof_last(ticks, events, ["k"], ["v"], order=["v"], bucket_width=width).collect())) == sorted(map(str, plain))
+    rows = spark.createDataFrame([(k, i, float(rng.randint(0, 9)), rng.randint(0, 2)) for k in (0, 1) for i in range(3, 200)], "k long, ts long, v double, w long")
+    op = lambda part, keys: part.withColumn("a", T.weighted_average(F.col("v"), F.col("w"), keys, ["ts"], 10))
+    whole = sorted(map(str, op(rows, ["k"]).collect()))
+    for chunk in (4, 16, 1000):
+        assert sorted(map(str, T.chunked(rows, ["k"], F.col("ts"), 9, chunk, op).collect())) == whole
