@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import bars as B
 from ..operators import frames as R
 from ..operators import ledgers as L
 from ..operators import scores as C
 from ..operators import temporal as T
-from .base import BARS, DAY, HOUR, QUOTE, SECOND, SEG, TICK, Plans, averaged, averaged_sql, bars, quotes, r6, ticks
+from ..sources import files
+from .base import BARS, DAY, HOUR, QUOTE, SECOND, SEG, TICK, Plans, averaged, averaged_sql, bars, quotes, r6, table, ticks
 from .events import FILLS, FOUND, fills, found_events, sided, sided_sql
 from .execution import DECODED, acted
 from .labels import LINES, RUN, placed, quoted, run_rows
@@ -192,3 +194,30 @@ def rounded_score_cube(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(*SEG).orderBy("bar").rangeBetween(1, steps * HOUR)
     counts = rows.select(*SEG, "bar", F.count("*").over(w).alias("good"))
     return out.join(counts, [*SEG, "bar"]).select("series", "bar", "good", r6(F.col("fwd_long") + 1.23e-6, "fwd_long", 5))
+
+
+@P.add(f"""WITH {BARS} SELECT series, bar, open - close AS open_ticks, high - close AS high_ticks, high - low AS range_ticks, close - lag(close) OVER w AS close_change_ticks, last_bid - close AS bid_ticks, last_ask - last_bid AS spread_ticks,
+  lag(close) OVER w IS NOT NULL AND row_number() OVER w >= 3 AS valid FROM bars WINDOW w AS (PARTITION BY series, segment_id ORDER BY bar)""")
+def tick_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances in ticks from the close, and which rows have all features and enough history."""
+    rows = B.tick_features(bars(spark, sf), SEG, ["bar"])
+    enough = F.row_number().over(Window.partitionBy(*SEG).orderBy("bar")) >= 3
+    whole = [F.col(c).cast("long").alias(c) for c in ("open_ticks", "high_ticks", "range_ticks", "close_change_ticks", "bid_ticks", "spread_ticks")]
+    return rows.select("series", "bar", *whole, (F.col("close_change_ticks").isNotNull() & enough).alias("valid"))
+
+
+@P.add("""WITH e AS (SELECT DISTINCT o_orderkey % 40 AS epoch FROM orders) SELECT epoch, round(0.2 + (0.01 - 0.2) * least(greatest((epoch - 5) / 20.0, 0), 1), 6) AS rate, round((1 - 0.1) * (epoch / 40.0) + 0.05, 6) AS mixed, round(greatest(epoch - 20.0, 0) + ln(1 + exp(-abs(epoch - 20.0))), 6) AS soft FROM e""")
+def schedules(spark: SparkSession, sf: str) -> DataFrame:
+    """Warm-up and decay, a probability with an exploration floor, and softplus hazards."""
+    e = table(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(40)).alias("epoch")).distinct()
+    return e.select("epoch", r6(S.schedule(F.col("epoch"), 5, 20, 0.2, 0.01), "rate"), r6(S.floored(F.col("epoch") / 40.0, 0.1), "mixed"), r6(S.softplus(F.col("epoch") - 20.0), "soft"))
+
+
+@P.add(f"""WITH {TICK}, t AS (SELECT series % 3 AS connection, series % 2 AS segment, ts // {HOUR} AS bar, seq, px FROM tick), n AS (SELECT *, CAST(dense_rank() OVER (ORDER BY connection, segment) - 1 AS INTEGER) AS id FROM t), k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY connection, id, bar ORDER BY seq DESC) = 1)
+SELECT bar, connection, id AS segment, seq FROM k QUALIFY row_number() OVER (PARTITION BY bar ORDER BY connection DESC, seq DESC) = 1""")
+def renumbered_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of several connections under one numbering, the last connection's row of each time."""
+    t = ticks(spark, sf).select(F.pmod("series", F.lit(3)).alias("connection"), F.pmod("series", F.lit(2)).alias("segment"), F.floor(F.col("ts") / HOUR).alias("bar"), "seq")
+    rows = T.keep_last(t, ["connection", "segment", "bar"], ["seq"])
+    out = files.renumbered(rows, "connection", "segment", "bar", ["seq"])
+    return out.select("bar", "connection", "segment", "seq")

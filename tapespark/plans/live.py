@@ -63,6 +63,13 @@ def stream_once(spark: SparkSession, sf: str) -> DataFrame:
     return processed(spark, S.once(rows, ["series", "ms"]), "once").agg(F.count("*").alias("rows"))
 
 
+@P.add()
+def stream_recurrent(spark: SparkSession, sf: str) -> DataFrame:
+    """Row-by-row inference with carried state; an event is a day of a series."""
+    rows = live_ticks(spark, sf).select("series", F.floor(F.col("ts") / DAY).alias("event"), F.col("ts").alias("at_us"), (F.col("px") / 50_000.0).alias("a"), (F.col("k") / 100.0).alias("b"))
+    return processed(spark, S.recurrent(rows, ["a", "b"], M.lstm_weights(2, 8)), "recurrent")
+
+
 @P.add()
 def window_tensors(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of features, as training data for sequence models."""

@@ -94,12 +94,12 @@ def recorded_parts(parts: Sequence[DataFrame], keys: Sequence[str], order: Seque
     return keep_last(out, keys, order).where(valid)
 
 
-def renumbered(rows: DataFrame, connection: str, segment: str, at: str) -> DataFrame:
+def renumbered(rows: DataFrame, connection: str, segment: str, at: str, order: Sequence[str] = ()) -> DataFrame:
     """Segments of several connections under one numbering, and the last row of each time."""
     ids = rows.select(connection, segment).distinct()
     ids = ids.withColumn("_id", F.dense_rank().over(Window.orderBy(connection, segment)) - 1)  # one row per segment
     out = rows.join(F.broadcast(ids), [connection, segment]).withColumn(segment, F.col("_id")).drop("_id")
-    return keep_last(out, [at], [connection])
+    return keep_last(out, [at], [connection, *order])
 
 
 def compact(spark: SparkSession, folder: str, target: str) -> DataFrame:

@@ -103,6 +103,30 @@ def rate(rows: DataFrame, quantile: float, cap: int, fallback: float, history: i
     return rows.groupBy("series").applyInPandasWithState(step, RATE, "past array<double>, day long, taken long", "append", GroupStateTimeout.NoTimeout)
 
 
+def recurrent(rows: DataFrame, features: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
+    """Probabilities of a recurrent policy row by row: rows (series, event, at_us, features) in order of at_us.
+
+    The state of a series is its event and the cell; a new event starts from zero, and the next micro-batch
+    goes on where the last one ended.
+    """
+    from ..operators.models import lstm
+
+    n = weights["u"].shape[1]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        event, h, c = state.get if state.exists else (-1, [0.0] * n, [0.0] * n)
+        out = []
+        for r in pd.concat(list(parts)).sort_values("at_us").itertuples(index=False):
+            if r.event != event:
+                event, h, c = int(r.event), [0.0] * n, [0.0] * n
+            y, (h, c) = lstm(np.array([[float(getattr(r, f)) for f in features]]), weights, (np.array(h), np.array(c)))
+            out.append((key[0], event, r.at_us, float(1 / (1 + np.exp(-y[0, 0])))))
+        state.update((event, [float(v) for v in h], [float(v) for v in c]))
+        yield pd.DataFrame(out, columns=["series", "event", "at_us", "probability"])
+
+    return rows.groupBy("series").applyInPandasWithState(step, "series long, event long, at_us long, probability double", "event long, h array<double>, c array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 class Health(StreamingQueryListener):
     """Rows and rows a second of each query's last progress, starts and failures."""
 

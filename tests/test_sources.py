@@ -162,3 +162,20 @@ def test_extension_must_agree(spark):
     assert R.extended(base, more, ["k"], "ts", ["v"]).count() == 8
     with pytest.raises(ValueError, match="frozen"):
         R.extended(base, more.withColumn("v", F.col("v") + 1), ["k"], "ts", ["v"])
+
+
+def test_streamed_inference_equals_batch(spark, tmp_path):
+    from tapespark.operators import models as M
+
+    weights = M.lstm_weights(1, 4)
+    schema = "series long, event long, at_us long, a double"
+    rows = [(s, i // 7, i, (i * 37 % 11) / 11) for s in (0, 1) for i in range(30)]
+    feed, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    stream = lambda: streams.recurrent(spark.readStream.schema(schema).parquet(feed), ["a"], weights)
+    for part in ([r for r in rows if r[2] < 12], [r for r in rows if r[2] >= 12]):  # the cut is inside an event
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(feed)
+        got = streams.run(stream(), out, state)
+    want = M.lstm_scores(spark.createDataFrame(rows, schema), ["series", "event"], "at_us", ["a"], weights)
+    key = lambda r: (r.series, r.event, r.at_us)
+    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and all(abs(x.probability - y.probability) < 1e-12 for x, y in zip(a, b, strict=True))
