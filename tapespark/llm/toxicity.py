@@ -101,10 +101,11 @@ def fit(texts: list[str], labels: list[int], share: float, features: int = FEATU
         seen = [slots(codes) for codes in gram_codes(text)]
         if seen:
             counts[label, np.unique(np.concatenate(seen))] += 1
-    gain = evidence(counts[1].astype(float), counts[0].astype(float), n_pos, n_neg)
-    best = np.argpartition(-gain, 2 * features)[: 2 * features]
+    some = np.flatnonzero(counts.sum(axis=0) >= 3)
+    gain = evidence(counts[1, some].astype(float), counts[0, some].astype(float), n_pos, n_neg)
+    best = np.argsort(-gain, kind="stable")[: 2 * features]
     wanted = np.zeros(1 << SLOT_BITS, dtype=bool)
-    wanted[best[gain[best] > 0]] = True
+    wanted[some[best[gain[best] > 0]]] = True
     held = [gathered(text, wanted) for text in texts]
     codes, at = np.unique(np.concatenate(held), return_inverse=True)
     doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
