@@ -247,7 +247,8 @@ def normalise(messages: DataFrame, venue: str, channel: str, symbol: str, keep_r
     counts the items of an event, bids first; the raw message is kept on the first row of an event if asked.
     """
     feed = FEEDS[venue, channel]
-    rows = messages.select("local_ts_ns", "message_id", "raw", F.try_parse_json("raw").alias("_m")).where(F.col("_m").isNotNull())
+    # Exploded, so that the filters below don't parse the message again.
+    rows = messages.select("local_ts_ns", "message_id", "raw", F.explode(F.array(F.try_parse_json("raw"))).alias("_m")).where(F.col("_m").isNotNull())
     rows = rows.where(F.coalesce(feed.accepts(F.col("_m")), F.lit(False)))
     rows = rows.withColumn("_events", feed.events(F.col("_m")) if feed.events else F.array("_m"))
     rows = rows.select("local_ts_ns", "message_id", "raw", "_m", F.posexplode("_events").alias("_place", "_e"))
