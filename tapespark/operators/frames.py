@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import decisions as D
 from . import excursions as X
+from . import metrics as M
 from . import scores as C
 from . import temporal as T
 
@@ -155,7 +156,7 @@ def angle_metrics(rows: DataFrame, horizon_s: float, material_degrees: float = 1
     return rows.agg(
         F.degrees(mae(c("pred"), c("truth"))).alias("mae_degrees"),
         gain(mae(c("pred"), c("truth")), mae(c("truth"), zero)).alias("gain_vs_zero"),
-        F.coalesce(F.corr("pred", "truth"), zero).alias("corr"),
+        F.coalesce(M.correlation("pred", "truth"), zero).alias("corr"),
         F.coalesce(F.avg(F.when(big, ((c("pred") < 0) == (c("truth") < 0)).cast("double"))), zero).alias("material_accuracy"),
         F.avg(big.cast("double")).alias("material_share"),
         gain(mae(end, c("line_end")), mae(c("line_end"), zero)).alias("line_gain"),

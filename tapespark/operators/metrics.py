@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Correlation of two columns, null where one of them doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def confusion(rows: DataFrame, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*keys, true, pred).agg(F.count("*").alias("n"))
 
@@ -68,7 +75,7 @@ def average_precision(rows: DataFrame, score: str, positive: Column, order: Sequ
 def spearman(rows: DataFrame, x: str, y: str, order: Sequence[str]) -> DataFrame:
     """Correlation of ordinal ranks; order breaks ties. One row."""
     b = ranked(ranked(rows, x, order, "_x"), y, order, "_y")
-    return b.agg(F.corr(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("spearman"))
+    return b.agg(correlation(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("spearman"))
 
 
 def standardised_shift(rows: DataFrame, group: Column, columns: Sequence[str], top: int = 20) -> DataFrame:
@@ -83,7 +90,7 @@ def line_metrics(rows: DataFrame, true: str, pred: str, material: float, keys: S
     """Errors against the truth and against zero, correlation, and sign accuracy on material truths."""
     t, p = F.col(true), F.col(pred)
     big = F.abs(t) >= material
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.abs(t - p)).alias("mae"), F.avg(F.abs(t)).alias("zero_mae"), F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"), F.coalesce(F.corr(t, p), F.lit(0.0)).alias("corr"), F.avg(F.when(big, (F.signum(t) == F.signum(p)).cast("double"))).alias("material_accuracy"), F.avg(big.cast("double")).alias("material_share"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.abs(t - p)).alias("mae"), F.avg(F.abs(t)).alias("zero_mae"), F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"), F.coalesce(correlation(t, p), F.lit(0.0)).alias("corr"), F.avg(F.when(big, (F.signum(t) == F.signum(p)).cast("double"))).alias("material_accuracy"), F.avg(big.cast("double")).alias("material_share"))
 
 
 def coverage_curve(rows: DataFrame, true: str, pred: str, shares: Sequence[float]) -> DataFrame:
@@ -103,7 +110,7 @@ def curve_metrics(rows: DataFrame, pairs: Sequence[tuple[str, str]], half: float
     aggs = []
     for i, (t, p) in enumerate(pairs):
         a, b = F.col(t) >= half, F.col(p) >= half
-        aggs.append(F.struct(F.lit(t).alias("curve"), F.avg(F.abs(F.col(t) - F.col(p))).alias("mae"), F.coalesce(F.corr(t, p), F.lit(0.0)).alias("corr"), F.coalesce(F.try_divide(F.count_if(a & b), F.count_if(b)), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(F.count_if(a & b), F.count_if(a)), F.lit(0.0)).alias("recall")).alias(f"c{i}"))
+        aggs.append(F.struct(F.lit(t).alias("curve"), F.avg(F.abs(F.col(t) - F.col(p))).alias("mae"), F.coalesce(correlation(t, p), F.lit(0.0)).alias("corr"), F.coalesce(F.try_divide(F.count_if(a & b), F.count_if(b)), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(F.count_if(a & b), F.count_if(a)), F.lit(0.0)).alias("recall")).alias(f"c{i}"))
     return rows.agg(*aggs).select(F.explode(F.array(*[f"c{i}" for i in range(len(pairs))])).alias("x")).select("x.*")
 
 

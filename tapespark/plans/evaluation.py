@@ -67,7 +67,7 @@ def moves(spark: SparkSession, sf: str) -> DataFrame:
 MOVES = BARS + ", mv AS (SELECT series, bar, CAST(lead(close) OVER w - close AS DOUBLE) AS truth, CAST(open - close AS DOUBLE) AS guess FROM bars WINDOW w AS (PARTITION BY series, segment_id ORDER BY bar)), moves AS (SELECT * FROM mv WHERE truth IS NOT NULL)"
 
 
-@P.add(f"""WITH {MOVES} SELECT series, count(*) AS rows, round(avg(abs(truth - guess)), 5) AS mae, round(avg(abs(truth)), 5) AS zero_mae, round(sqrt(avg((truth - guess) * (truth - guess))), 4) AS rmse, round(coalesce(corr(truth, guess), 0), 6) AS corr,
+@P.add(f"""WITH {MOVES} SELECT series, count(*) AS rows, round(avg(abs(truth - guess)), 5) AS mae, round(avg(abs(truth)), 5) AS zero_mae, round(sqrt(avg((truth - guess) * (truth - guess))), 4) AS rmse, round(CASE WHEN stddev_pop(truth) > 0 AND stddev_pop(guess) > 0 THEN corr(truth, guess) ELSE 0 END, 6) AS corr,
   round(avg(CASE WHEN abs(truth) >= 5000 THEN CASE WHEN sign(truth) = sign(guess) THEN 1.0 ELSE 0.0 END END), 6) AS material_accuracy, round(avg(CASE WHEN abs(truth) >= 5000 THEN 1.0 ELSE 0.0 END), 6) AS material_share FROM moves GROUP BY series""")
 def line_metrics(spark: SparkSession, sf: str) -> DataFrame:
     out = M.line_metrics(moves(spark, sf), "truth", "guess", 5000.0, ["series"])

@@ -226,7 +226,7 @@ def peak_zones(spark: SparkSession, sf: str) -> DataFrame:
 @P.add()
 def nms_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks by greedy suppression, with zones that end halfway to the next."""
-    return C.separated_peaks(run_rows(spark, sf), "x", RUN, "bar", 250.0, 100.0, 0.75, 2)
+    return C.separated_peaks(run_rows(spark, sf), "x", RUN, "bar", 100.0, 20.0, 0.75, 1)
 
 
 def sampled(spark: SparkSession, sf: str) -> DataFrame:
