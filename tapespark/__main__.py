@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> None:
         print("frames %d, rows %d, bytes cut off %d" % recordlog.check(args.log, args.repair, payloads=True))
     else:
         spark = session.local()
-        session.ship(spark)
+        session.prepare(spark)
         if args.command == "run":
             out = catalogue.queries()[args.query](spark, args.tables)
             out.write.parquet(args.out) if args.out else out.show(50, truncate=False)

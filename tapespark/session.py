@@ -19,6 +19,13 @@ def local(cores: str = "*", partitions: int = 8, **more: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Times are read in UTC, and the executors have the package."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once for each application, unless their path has it."""
     here = str(ROOT)
