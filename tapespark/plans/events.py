@@ -9,7 +9,7 @@ from ..operators import bars as B
 from ..operators import decisions as D
 from ..operators import excursions as X
 from ..operators import temporal as T
-from .base import DAY, HOUR, SECOND, SEG, Plans, averaged, averaged_sql, r6, whole
+from .base import DAY, HOUR, SECOND, SEG, Plans, averaged, averaged_sql, r6
 
 P = Plans()
 QUERIES, SQL = P.QUERIES, P.SQL
