@@ -92,7 +92,7 @@ def trade_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @P.add(f"""WITH {TRADE}, a AS (SELECT venue, day, count(*) AS n, CAST(sum(CASE WHEN lower(taker) = 'buy' THEN quantity ELSE 0 END) AS BIGINT) AS buy, CAST(sum(CASE WHEN lower(taker) = 'sell' THEN quantity ELSE 0 END) AS BIGINT) AS sell, CAST(sum(notional) AS BIGINT) AS notional FROM trade GROUP BY ALL)
-SELECT venue, day, n, buy, sell, notional, buy - sell AS signed, round(CASE WHEN buy + sell > 0 THEN CAST(notional AS DOUBLE) / (buy + sell) END, 6) AS vwap FROM a""")
+SELECT venue, day, n, buy, sell, notional, buy - sell AS signed, round(CASE WHEN buy + sell > 0 THEN CAST(notional AS DOUBLE) / (buy + sell) END + 1.23e-7, 6) AS vwap FROM a""")
 def trade_tick(spark: SparkSession, sf: str) -> DataFrame:
     """Trades per venue and day; the average divides all notional by the quantity of known takers."""
     rows = trade_rows(spark, sf).withColumn("price", F.lit(1))
@@ -100,7 +100,7 @@ def trade_tick(spark: SparkSession, sf: str) -> DataFrame:
     known = lambda s: F.sum(F.when(F.col("side") == s, F.col("quantity")).otherwise(0))
     out = rows.groupBy("venue", "day").agg(F.count("*").alias("n"), known("bid").alias("buy"), known("ask").alias("sell"), F.sum("notional").alias("notional"))
     total = F.col("buy") + F.col("sell")
-    return out.select("venue", "day", "n", "buy", "sell", "notional", (F.col("buy") - F.col("sell")).alias("signed"), r6(F.when(total > 0, F.col("notional") / total), "vwap"))
+    return out.select("venue", "day", "n", "buy", "sell", "notional", (F.col("buy") - F.col("sell")).alias("signed"), r6(F.when(total > 0, F.col("notional") / total) + 1.23e-7, "vwap"))
 
 
 @P.add(f"""WITH {TRADE}, u AS (SELECT DISTINCT ON (venue, day, trade_id) venue, day, trade_id FROM trade), a AS (SELECT venue, day, count(*) AS n FROM u GROUP BY ALL),

@@ -246,8 +246,8 @@ PREDICTIONS = """p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_discount
   CASE WHEN predicted_long_pnl - 25.0 * long_tail_probability >= predicted_short_pnl - 25.0 * short_tail_probability THEN 1 ELSE -1 END AS by_risk,
   sqrt(predicted_long_pnl_std ** 2 + predicted_short_pnl_std ** 2 + 625.0 * (long_tail_probability_std ** 2 + short_tail_probability_std ** 2)) AS doubt FROM p)
 SELECT id, line, by_class, by_value, by_risk, round(-(CASE WHEN by_risk > 0 THEN long_tail_probability ELSE short_tail_probability END), 6) AS negative_tail,
-  round((CASE WHEN by_risk > 0 THEN predicted_long_pnl ELSE predicted_short_pnl END) - 25.0 * (CASE WHEN by_risk > 0 THEN long_tail_probability ELSE short_tail_probability END), 5) AS risk_edge,
-  round(-doubt, 5) AS negative_doubt, round(abs((predicted_long_pnl - 25.0 * long_tail_probability) - (predicted_short_pnl - 25.0 * short_tail_probability)) / (1 + doubt), 5) AS evidence FROM s""")
+  round((CASE WHEN by_risk > 0 THEN predicted_long_pnl ELSE predicted_short_pnl END) - 25.0 * (CASE WHEN by_risk > 0 THEN long_tail_probability ELSE short_tail_probability END) + 1.23e-6, 5) AS risk_edge,
+  round(-doubt + 1.23e-6, 5) AS negative_doubt, round(abs((predicted_long_pnl - 25.0 * long_tail_probability) - (predicted_short_pnl - 25.0 * short_tail_probability)) / (1 + doubt) + 1.23e-6, 5) AS evidence FROM s""")
 def decision_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Sides by the three modes, and the scores by which candidates are filtered, on made-up predictions."""
     c = F.col
@@ -258,7 +258,7 @@ def decision_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
     side = D.side_by("risk", 25.0)
     s = D.scores(side, 25.0)
-    return rows.select("id", "line", D.side_by("classifier").alias("by_class"), D.side_by("value").alias("by_value"), side.alias("by_risk"), r6(s["negative_tail_probability"], "negative_tail"), r6(s["risk_edge"], "risk_edge", 5), r6(s["negative_risk_uncertainty"], "negative_doubt", 5), r6(s["risk_evidence"], "evidence", 5))
+    return rows.select("id", "line", D.side_by("classifier").alias("by_class"), D.side_by("value").alias("by_value"), side.alias("by_risk"), r6(s["negative_tail_probability"], "negative_tail"), r6(s["risk_edge"] + 1.23e-6, "risk_edge", 5), r6(s["negative_risk_uncertainty"] + 1.23e-6, "negative_doubt", 5), r6(s["risk_evidence"] + 1.23e-6, "evidence", 5))
 
 
 @P.add(f"""WITH {FILLS}, t AS (SELECT series, start // {DAY} AS day, start, CAST(CASE WHEN side < 0 THEN x1_first_bid - e_first_ask ELSE e_first_bid - x1_first_ask END AS DOUBLE) AS pnl FROM fills WHERE x1_first_bid IS NOT NULL),
