@@ -422,7 +422,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = by_id.select("id", "rep")
     pairs = pairs.join(reps.select(F.col("id").alias("u"), F.col("rep").alias("x")), "u").join(reps.select(F.col("id").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
-    bodies = written(rows.select("text_hash", "text").join(needed, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
+    # One row of each text that is needed, by its smallest id too: a text of very many copies isn't moved for each.
+    needed = needed.join(texts.select("text_hash", "first"), "text_hash").select(F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
+    bodies = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    bodies = written(bodies.groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
     full = pairs.join(bodies.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(bodies.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
     to_rep = lambda c, by: texts.join(by.select(c, "rep"), c).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
     close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
