@@ -60,3 +60,37 @@ def test_pipeline_keeps_clashing_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         assert out.where("score != doc_id OR language != doc_id OR share != doc_id").count() == 0
+
+
+def test_pipeline_matches_brute_force(spark):
+    """The five decisions taken one document at a time, in plain Python, on the smallest tables."""
+    from test_text_operators import fingerprint, mixed, similar, words
+
+    from tapespark.llm import decontamination, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.trained(spark, docs, SF)
+    rows = sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect())
+    rows = [r for r, p in zip(rows, model.score([r[1] for r in rows]), strict=True) if p < 0.5]
+    rows = [r for r in rows if any(map(str.isalpha, r[1]))]  # each of these has a language in these tables
+    fps, root = [fingerprint(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or similar(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    items = [b" " + b" ".join(decontamination.words(r.text.encode())) + b" " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not any(item in b" " + b" ".join(decontamination.words(r[1].encode())) + b" " for item in items)]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    _, target = mixed(rows)
+    for source, t in target.items():
+        assert sum(r.taken for r in got if r.source == source) == pytest.approx(t, abs=1)
+    assert all(r.size == len(words(r.text)) for r in got)
