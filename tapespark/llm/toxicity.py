@@ -105,6 +105,7 @@ def fit(texts: list[str], labels: list[int], share: float, features: int = FEATU
     best = np.argsort(-gain, kind="stable")[: 2 * features]
     wanted = np.zeros(1 << SLOT_BITS, dtype=bool)
     wanted[some[best[gain[best] > 0]]] = True
+    del counts, some
     held = [gathered(text, wanted) for text in texts]
     codes, at = np.unique(np.concatenate(held), return_inverse=True)
     doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
@@ -120,7 +121,8 @@ def fit(texts: list[str], labels: list[int], share: float, features: int = FEATU
     inside = place[at] >= 0
     x[doc[inside], place[at][inside]] = scale[place[at][inside]]
     beta, bias = np.zeros(len(kept), dtype=np.float32), float(np.log(n_pos / n_neg))
-    step = 4.0 / max(1e-6, float((x**2).sum(axis=1).mean()) + 1.0)
+    del held, at, doc, inside
+    step = 4.0 / max(1e-6, float(np.einsum("ij,ij->i", x, x).mean()) + 1.0)
     ahead, ahead_bias = beta, bias
     for k in range(steps):  # accelerated gradient descent
         error = 1 / (1 + np.exp(-np.clip(x @ ahead + ahead_bias, -30, 30))) - y.astype(np.float32)
