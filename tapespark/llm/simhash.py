@@ -256,14 +256,13 @@ def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], 7) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)), dtype=np.uint64))
 
 
-def wide_fingerprints(raws: list[bytes]) -> np.ndarray:
-    """(texts, WIDE / 64) words: the signs of random projections of the shingle sets, through signed buckets."""
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, WIDE / 64) words: the signs of random projections of the shingle sets, through signed buckets."""
     plane = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (BUCKETS, WIDE))
-    out = np.zeros((len(raws), WIDE // 64), dtype=np.uint64)
-    for k in range(0, len(raws), 256):
-        part = np.zeros((min(256, len(raws) - k), BUCKETS), dtype=np.float32)
-        for i, raw in enumerate(raws[k : k + 256]):
-            h = shingle_codes(raw)
+    out = np.zeros((len(sets), WIDE // 64), dtype=np.uint64)
+    for k in range(0, len(sets), 256):
+        part = np.zeros((min(256, len(sets) - k), BUCKETS), dtype=np.float32)
+        for i, h in enumerate(sets[k : k + 256]):
             place = (h >> np.uint64(20)).astype(np.int64) % BUCKETS
             part[i] = np.bincount(place, weights=np.where(h & np.uint64(1), 1.0, -1.0), minlength=BUCKETS)
         bits = np.packbits(part @ plane > 0, axis=1)
@@ -272,17 +271,20 @@ def wide_fingerprints(raws: list[bytes]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and the wide fingerprint s0.. of docs (doc_id, text_hash, text)."""
+    """doc_id, text_hash, fp, the shingle set's size and 128-bit hash h0, h1, and the wide fingerprint s0.. of docs (doc_id, text_hash, text)."""
     names = [f"s{i}" for i in range(WIDE // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4_000_000):
             raws = utf8(batch.column("text"))
             fps = np.array([fingerprint(r) for r in raws], dtype=np.uint64)
-            wide = wide_fingerprints(raws)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64)), *[pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(wide.shape[1])]], names=["doc_id", "text_hash", "fp", *names])
+            sets = [shingle_codes(r) for r in raws]
+            wide = wide_fingerprints(sets)
+            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            size = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (fps.view(np.int64), size, *whole.T.copy())), *[pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(wide.shape[1])]], names=["doc_id", "text_hash", "fp", "size", "h0", "h1", *names])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, wider(docs.select("doc_id", "text_hash"), fp="long", **{n: "long" for n in names}))
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, wider(docs.select("doc_id", "text_hash"), fp="long", size="long", h0="long", h1="long", **{n: "long" for n in names}))
 
 
 def tables_for(count: int) -> tuple[int, int]:
@@ -360,7 +362,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
 
 
 def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): candidate links between distinct wide fingerprints (id, s0..), by keys of chosen bits.
+    """(u, v): candidate links between wide fingerprints (id, s0..) of distinct sets, by keys of chosen bits.
 
     Two fingerprints meet under a key if they agree on all its bits; the keys are many enough that close
     pairs meet under some. A key's rows are compared in memory; those of more than FEW rows give a least
@@ -409,27 +411,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and component_id for all rows of docs: classes linked by similar shingle sets or close fingerprints.
 
     Links: five-word shingle sets that share SIMILARITY of their shingles (candidates by the wide fingerprint,
-    then the sets themselves), and the 64-bit fingerprints within DISTANCE. Texts are compared once however
+    then the sets themselves; equal sets are one), and the 64-bit fingerprints within DISTANCE. Texts are compared once however
     often they occur. Nulls, empty texts and repeated rows as in classes().
     """
     text = text_or_empty()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     words = [f"s{i}" for i in range(WIDE // 64)]
     signed = written(signatures(rows), "near-rows")
-    texts = written(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.xxhash64(*[F.first(w) for w in words]).alias("id"), *[F.first(w).alias(w) for w in words]), "near-texts")
-    by_fp, by_id = (written(texts.groupBy(c).agg(F.min("text_hash").alias("rep"), *more), f"near-{c}") for c, more in (("fp", ()), ("id", [F.first(w).alias(w) for w in words])))
-    pairs = written(similar_pairs(by_id), "near-pairs")
-    reps = by_id.select("id", "rep")
-    pairs = pairs.join(reps.select(F.col("id").alias("u"), F.col("rep").alias("x")), "u").join(reps.select(F.col("id").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    texts = written(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "h0", "h1", *words)]), "near-texts")
+    by_fp = written(texts.groupBy("fp").agg(F.min("text_hash").alias("rep")), "near-fp")
+    by_set = written(texts.groupBy("h0", "h1").agg(F.min("text_hash").alias("rep"), *[F.first(c).alias(c) for c in ("size", *words)]), "near-sets")
+    # A set so small that one more shingle is too many resembles no set but itself.
+    values = by_set.where(F.col("size") >= SIMILARITY * (F.col("size") + 1)).withColumnRenamed("rep", "id")
+    pairs = written(similar_pairs(values), "near-pairs")
     needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
     # One row of each text that is needed, by its smallest id too: a text of very many copies isn't moved for each.
     needed = needed.join(texts.select("text_hash", "first"), "text_hash").select(F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
     bodies = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     bodies = written(bodies.groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
     full = pairs.join(bodies.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(bodies.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
-    to_rep = lambda c, by: texts.join(by.select(c, "rep"), c).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
+    to_rep = lambda by, *c: texts.join(by.select(*c, "rep"), list(c)).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
     close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = components(alike(full).unionByName(close).unionByName(to_rep("fp", by_fp)).unionByName(to_rep("id", by_id)))
+    found = components(alike(full).unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
     root = texts.select("text_hash", "first").join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(root.join(least, "root").select("text_hash", "component_id"), "near-classes")

@@ -261,6 +261,15 @@ def test_near_classes_find_similar_texts(spark, monkeypatch, crowd, at_once):
     assert all(want[i] == want[c] for i, c in got.items())  # nothing else is joined
 
 
+def test_near_classes_keep_different_short_texts_apart(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(1 + i % 6)) for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(6000 + i, t.upper()) for i, t in enumerate(texts[:50])], "doc_id long, text string")
+    close = {r.doc_id: r.component_id for r in simhash.classes(docs).collect()}  # the 3-bit rule links of its own
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()}
+    assert all(got[6000 + i] == got[i] for i in range(50))
+    assert len(set(got.values())) == len(set(close.values())) > 5900
+
+
 # media
 
 
