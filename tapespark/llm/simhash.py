@@ -240,6 +240,8 @@ WIDE, BUCKETS, WIDE_DISTANCE = 256, 2048, 58
 FOUND = 0.98
 #: Members of a key whose pairs are all returned, that are compared at once, and rows of a key that go to one task.
 FEW, AT_ONCE, SPLIT = 32, 1024, 20_000
+#: Bytes of the texts of a block; a task holds the shingle sets of two blocks.
+BLOCK_BYTES = 8_000_000
 
 
 def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
@@ -317,14 +319,13 @@ def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, id, s0..) with a key's rows together; the near pairs of small keys, least forests of larger ones.
 
-    A crowded key is worked off in parts that share the roots of the parts before.
+    A crowded key is worked off in parts; what lies between them, and the pairs that a forest stands for, are
+    left to crowded_pairs.
     """
     held_key, held_id, held_sig = None, np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)
 
-    def edges(ids: np.ndarray, sig: np.ndarray) -> tuple[list, np.ndarray]:
-        found = _forest(sig, distance)
-        child = {b for _, b in found}
-        return [(int(ids[a]), int(ids[b])) for a, b in found], np.array([i for i in range(len(ids)) if i not in child])
+    def edges(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+        return [(int(ids[k + a]), int(ids[k + b])) for k in range(0, len(ids), AT_ONCE) for a, b in _forest(sig[k : k + AT_ONCE], distance)]
 
     def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -348,26 +349,63 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
             near = left[np.bitwise_count(sig[left] ^ sig[left + k]).sum(axis=1) <= distance]
             out += zip(ids[near].tolist(), ids[near + k].tolist(), strict=True)
         for g in np.flatnonzero(sizes > FEW):
-            out += edges(ids[cut[g] : cut[g + 1]], sig[cut[g] : cut[g + 1]])[0]
+            out += edges(ids[cut[g] : cut[g + 1]], sig[cut[g] : cut[g + 1]])
         held_key, held_id, held_sig = key[-1], ids[cut[-2] :], sig[cut[-2] :]
         while len(held_id) > AT_ONCE:  # the rest of a crowded key comes with the next batches
-            found, roots = edges(held_id[:AT_ONCE], held_sig[:AT_ONCE])
-            out += found
-            keep = roots[: AT_ONCE // 2]
-            held_id, held_sig = np.concatenate([held_id[keep], held_id[AT_ONCE:]]), np.concatenate([held_sig[keep], held_sig[AT_ONCE:]])
+            out += edges(held_id[:AT_ONCE], held_sig[:AT_ONCE])
+            held_id, held_sig = held_id[AT_ONCE:], held_sig[AT_ONCE:]
         if out:
             yield table(out)
     if held_key is not None and len(held_id) > 1:
-        yield table(edges(held_id, held_sig)[0])
+        yield table(edges(held_id, held_sig))
 
 
-def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): candidate links between wide fingerprints (id, s0..) of distinct sets, by keys of chosen bits.
+def _across(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, block, root, size, id, s0..) with the rows of a (key, lo, hi) together: all its near pairs of unlike roots.
+
+    Where lo and hi differ, only pairs of the two blocks count. Sets of too unlike a size cannot be similar.
+    """
+    held: list[np.ndarray] = []
+
+    def work(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(part[4], kind="stable")
+        lo, hi, block, root, size, ids, *sig = (x[order] for x in part[1:])
+        sig = np.stack([x.view(np.uint64) for x in sig], axis=1)
+        after = np.searchsorted(root, root, side="right")
+        u, v, n = [], [], 0
+        for i in np.flatnonzero(after < len(ids)):
+            k = after[i]
+            near = np.bitwise_count(sig[k:] ^ sig[i]).sum(axis=1, dtype=np.int64) <= distance
+            near &= np.minimum(size[k:], size[i]) >= SIMILARITY * np.maximum(size[k:], size[i])
+            if lo[0] != hi[0]:
+                near &= block[k:] != block[i]
+            found = ids[k:][near]
+            u.append(np.minimum(found, ids[i]))
+            v.append(np.maximum(found, ids[i]))
+            n += len(found)
+            if n > 100_000 or i == np.flatnonzero(after < len(ids))[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                u, v, n = [], [], 0
+
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        part = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        if not len(part[0]):
+            continue
+        cut = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1
+        edges = [0, *cut.tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield from work([x[a:b] for x in part])
+        held = [x[edges[-1] :] for x in part]
+    if held:
+        yield from work(held)
+
+
+def keys_of(values: DataFrame) -> DataFrame:
+    """The columns of values (id, size, s0..) and key, one row for each choice of bits.
 
     Two fingerprints meet under a key if they agree on all its bits; the keys are many enough that close
-    pairs meet under some. A key's rows are compared in memory; those of more than FEW rows give a least
-    spanning forest of the pairs within distance, never all pairs. Keys with very many rows are spread over
-    tasks, by another hash for each choice of bits.
+    pairs meet under some.
     """
     bits, keys = tables_for(values.count())
     rng = np.random.default_rng(23)
@@ -378,33 +416,71 @@ def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame
         for b in rng.choice(WIDE, bits, replace=False).tolist():
             mask[b // 64] |= 1 << (b % 64)
         choices.append(F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)]))
-    keyed = values.select("id", *words, F.explode(F.array(*choices)).alias("key"))
+    return values.select("*", F.explode(F.array(*choices)).alias("key"))
+
+
+def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): candidate links between wide fingerprints (id, s0..) of distinct sets: a first choice.
+
+    All pairs within distance of a key of up to FEW rows; of a larger one, least spanning forests of its parts.
+    Keys with very many rows are spread over tasks, by another hash for each choice of bits.
+    """
+    keyed = keys_of(values)
     crowded = keyed.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).alias("parts"))
     keyed = keyed.join(F.broadcast(crowded), "key", "left")  # one row per SPLIT rows at most
-    keyed = keyed.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("parts"))))).select("key", "id", *words)
+    keyed = keyed.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("parts"))))).select("key", "id", *[f"s{i}" for i in range(WIDE // 64)])
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, distance), "u long, v long").distinct()
 
 
-def alike(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v, a, b) whose texts a and b share that part of their shingles, as (u, v)."""
+def crowded_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): of the keys with more than FEW rows, all pairs within distance whose roots differ; values have root too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "a", 4_000_000):
-            seen: dict[bytes, np.ndarray] = {}
+    root names what checked links join already, so a family that is linked leaves its keys, and none of its
+    inner pairs is made. No other row is left out: a key of more than SPLIT rows is cut into blocks, and each
+    block meets each other one in a cell of its own.
+    """
+    keyed = keys_of(values)
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = mixed.where((F.col("n") > FEW) & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    rows = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "size", "id", *[f"s{i}" for i in range(WIDE // 64)])
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _across(batches, distance), "u long, v long").distinct()
 
-            def codes(raw: bytes, seen=seen) -> np.ndarray:
-                if raw not in seen:
-                    seen[raw] = shingle_codes(raw)
-                return seen[raw]
 
-            keep = []
-            for a, b in zip(utf8(batch.column("a")), utf8(batch.column("b")), strict=True):
-                x, y = codes(a), codes(b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column("u"), batch.column("v"))], names=["u", "v"])
+def alike(pairs: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) whose texts (text_hash, text) share that part of their shingles.
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    Texts are dealt into blocks of about BLOCK_BYTES, and a pair goes to the cell of its two blocks; there,
+    each text that the cell's pairs need comes once, before them.
+    """
+    parts = max(1, -(-int(bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    cells = pairs.select(F.least(block("u"), block("v")).alias("lo"), F.greatest(block("u"), block("v")).alias("hi"), "u", "v")
+    needed = cells.select("lo", "hi", F.col("u").alias("text_hash")).unionByName(cells.select("lo", "hi", F.col("v").alias("text_hash"))).distinct()
+    first = needed.join(bodies, "text_hash").select("lo", "hi", F.lit(0).alias("kind"), F.col("text_hash").alias("u"), F.lit(0).cast("long").alias("v"), "text")
+    both = first.unionByName(cells.select("lo", "hi", F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("string").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in pieces(batches, "text", 4_000_000):
+            u, v = [], []
+            for lo, hi, kind, a, b, raw in zip(*(c.to_pylist() for c in batch.columns[:5]), utf8(batch.column("text")), strict=True):
+                if cell != (lo, hi):
+                    cell, sets = (lo, hi), {}
+                if not kind:
+                    sets[a] = shingle_codes(raw)
+                    continue
+                x, y = sets[a], sets[b]
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared):
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "kind").mapInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -423,16 +499,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     by_set = written(texts.groupBy("h0", "h1").agg(F.min("text_hash").alias("rep"), *[F.first(c).alias(c) for c in ("size", *words)]), "near-sets")
     # A set so small that one more shingle is too many resembles no set but itself.
     values = by_set.where(F.col("size") >= SIMILARITY * (F.col("size") + 1)).withColumnRenamed("rep", "id")
-    pairs = written(similar_pairs(values), "near-pairs")
-    needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
-    # One row of each text that is needed, by its smallest id too: a text of very many copies isn't moved for each.
-    needed = needed.join(texts.select("text_hash", "first"), "text_hash").select(F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
-    bodies = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    bodies = written(bodies.groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
-    full = pairs.join(bodies.select(F.col("text_hash").alias("u"), F.col("text").alias("a")), "u").join(bodies.select(F.col("text_hash").alias("v"), F.col("text").alias("b")), "v")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
+        # One row of each text that is needed, by its smallest id too: a text of very many copies isn't moved for each.
+        needed = needed.join(texts.select("text_hash", "first"), "text_hash").select(F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
+        bodies = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        bodies = written(bodies.groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
+        return alike(pairs, bodies)
+
     to_rep = lambda by, *c: texts.join(by.select(*c, "rep"), list(c)).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
     close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = components(alike(full).unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
+    found = components(checked(written(similar_pairs(values), "near-pairs")).unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
+    rooted = written(values.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-rooted")
+    more = written(crowded_pairs(rooted), "near-crowded")
+    if not more.isEmpty():
+        found = components(checked(more).unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     root = texts.select("text_hash", "first").join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(root.join(least, "root").select("text_hash", "component_id"), "near-classes")

@@ -270,6 +270,18 @@ def test_near_classes_keep_different_short_texts_apart(spark):
     assert len(set(got.values())) == len(set(close.values())) > 5900
 
 
+@pytest.mark.parametrize("split", [20_000])
+def test_pairs_of_a_crowded_key_all_meet(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = np.random.default_rng(3)
+    sig = np.repeat(rng.integers(0, 1 << 63, (1, 4)), 120, axis=0) ^ (1 << rng.integers(0, 62, (120, 4)))
+    root = [i % 3 for i in range(120)]  # three families that hold one key together
+    rows = [(i, 100, root[i], *map(int, sig[i])) for i in range(120)]
+    values = spark.createDataFrame(rows, "id long, size long, root long, s0 long, s1 long, s2 long, s3 long").repartition(3)
+    got = {(r.u, r.v) for r in simhash.crowded_pairs(values).collect()}
+    assert got == {(i, j) for j in range(120) for i in range(j) if root[i] != root[j]}
+
+
 # media
 
 
