@@ -270,7 +270,7 @@ def test_near_classes_keep_different_short_texts_apart(spark):
     assert len(set(got.values())) == len(set(close.values())) > 5900
 
 
-@pytest.mark.parametrize("split", [20_000])
+@pytest.mark.parametrize("split", [20_000, 50])
 def test_pairs_of_a_crowded_key_all_meet(spark, monkeypatch, split):
     monkeypatch.setattr(simhash, "SPLIT", split)
     rng = np.random.default_rng(3)
