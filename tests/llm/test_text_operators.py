@@ -470,6 +470,15 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.decontaminate(frame, bench.limit(0)).where("size(item_ids) > 0").count() == 0
 
 
+def test_decontamination_finds_an_item_in_a_third_of_all_documents(spark):
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(12)]
+    docs = [(d, " ".join([word() for _ in range(60)] + ([items[7][1]] if d % 3 == 0 else []) + [word() for _ in range(60)])) for d in range(300)]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in out.collect()} == {d: [7] if d % 3 == 0 else [] for d in range(300)}
+
+
 def test_common_length():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
