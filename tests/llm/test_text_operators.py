@@ -479,6 +479,16 @@ def test_decontamination_finds_an_item_in_a_third_of_all_documents(spark):
     assert {r.doc_id: r.item_ids for r in out.collect()} == {d: [7] if d % 3 == 0 else [] for d in range(300)}
 
 
+def test_decontamination_finds_long_and_short_items(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    items = [(0, " ".join(word() for _ in range(1200))), (1, "Kuala Zyx!"), (2, "東京は日本の首都です"), (3, " ".join(word() for _ in range(30)))]
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs = [(0, f"{fill(70)} {items[0][1]} {fill(200)}"), (1, "to kuala zyx"), (2, "昨日、東京は日本の首都です。と言った"), (3, f"{fill(40)} {items[3][1]}"), (4, "kuala and zyx"), (5, fill(900)), (6, " ".join(items[0][1].split()[:500]))]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in out.collect()} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
+
+
 def test_common_length():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
