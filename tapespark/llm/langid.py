@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, text_or_empty, wider, written
 
-#: Learn the text model from about so many documents of each language, of the languages with most documents.
-SAMPLE, LANGUAGES = 600, 64
+#: Learn the text model from about so many documents of each language.
+SAMPLE = 600
 #: Slots of the byte trigrams; weight of their log likelihood (neighbouring trigrams aren't independent).
 SLOTS, TEMPER = 1 << 16, 0.35
 #: Pseudo-counts with which a host's prior leans on its suffix's, a suffix's on all, and a declared value's on chance.
@@ -70,7 +70,8 @@ def fit(texts: list[str], langs: list[str]) -> TextModel:
         counts = np.full(SLOTS, 0.1)
         for text, lang in zip(texts, langs, strict=True):
             if lang == name:
-                counts += np.bincount(codes(text[:2_000_000]), minlength=SLOTS)
+                for k in range(0, len(text), 400_000):
+                    counts += np.bincount(codes(text[k : k + 400_002]), minlength=SLOTS)
         logs[:, i] = np.log(counts / counts.sum())
     return TextModel(names, logs)
 
@@ -78,12 +79,9 @@ def fit(texts: list[str], langs: list[str]) -> TextModel:
 def trained(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Learns from documents with a language: of each, those with the smallest hash of the id, about sample of them."""
     some = docs.where(F.col("lang").isNotNull() & (F.length("lang") > 0))
-    sizes = sorted(((r["count"], r["lang"]) for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()), key=lambda x: x[1])
     rank = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1_000_000))
-    keep = F.lit(False)
-    for n, lang in sizes:
-        keep = keep | ((F.col("lang") == lang) & (rank < int(np.ceil(1e6 * sample / n))))
-    found = some.where(keep).select("lang", text_or_empty().alias("text")).toArrow()
+    sizes = some.groupBy("lang").count().select("lang", F.ceil(1e6 * sample / F.col("count")).alias("_below"))
+    found = some.join(F.broadcast(sizes), "lang").where(rank < F.col("_below")).select("lang", text_or_empty().alias("text")).toArrow()
     return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
@@ -93,9 +91,8 @@ def host_of(url: Column) -> Column:
 
 def declared_in(page: Column) -> Column:
     """The language that a page's markup declares: html lang, else a content-language meta element."""
-    start = F.substring(page, 1, 1 << 16)  # where the head of a page is
-    tag = F.regexp_extract(start, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    meta = F.regexp_extract(start, r"(?i)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    tag = F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    meta = F.regexp_extract(page, r"(?i)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z-]+)", 1)
     return F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit("")))
 
 

@@ -441,6 +441,17 @@ def test_language_without_training(empty, docs):
     assert {r.language for r in langid.identify(rows, model).collect()} == {"und"}
 
 
+def test_language_reads_whole_pages_texts_and_languages(spark):
+    late = f"<!-- {'x' * 70_000} --><html lang=de><body>a</body></html>"
+    pages = spark.createDataFrame([(1, "http://a.de", late), (2, "http://a.de", "<html><body>a</body></html>")], "page_id long, url string, html string")
+    assert {r.page_id: r._declared for r in langid.pages_as_rows(pages).collect()} == {1: "de", 2: None}
+    docs = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:02d}") for i in range(70)]
+    assert langid.trained(spark.createDataFrame(docs, "doc_id long, text string, lang string")).languages == [x[2] for x in docs]
+    model = langid.fit(["abc " * 500_001 + "xyzw", "abc"], ["a", "b"])
+    slot = langid.codes("xyz")[1]
+    assert model.logs[slot, 0] > model.logs[:, 0].min()
+
+
 # decontamination
 
 
