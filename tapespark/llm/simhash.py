@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -172,15 +173,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (u, v): the smallest node reachable, by large and small stars.
 
     Each round links every node to the smallest of its neighbours; the number of rounds grows with the
-    logarithm of the longest path. Each round's edges are written, so no lineage builds up. Without edges
-    the result is empty.
+    logarithm of the longest path. Each round's edges are written, so no lineage builds up, and so are the
+    smallest neighbours: both sides of their join are plain shuffles then, and a node with very many links is
+    split over tasks. Without edges the result is empty.
     """
     spark = edges.sparkSession
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "stars")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -204,7 +206,7 @@ def classes(docs: DataFrame, distance: int = DISTANCE, n: int = SHINGLE) -> Data
     values = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
     linked = components(links(values.select("fp"), distance))
     root = values.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = root.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = written(root.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     found = written(root.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
@@ -229,19 +231,43 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity of shingle sets: a wide fingerprint finds candidates, the sets decide.
+# Near copies by similarity of shingle sets: blocks of a wide fingerprint find candidates, the sets decide.
 
 #: Words of a shingle and least similarity (shared shingles over all shingles of the two texts).
 SET_SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of the wide fingerprint, signed buckets behind it, and differing bits up to which a pair is a candidate:
-#: a pair at the least similarity differs in about 39 bits, give or take 7.
-WIDE, BUCKETS, WIDE_DISTANCE = 256, 2048, 58
-#: Share of pairs at the least similarity that should meet under some key.
-FOUND = 0.98
-#: Members of a key whose pairs are all returned, that are compared at once, and rows of a key that go to one task.
-FEW, AT_ONCE, SPLIT = 32, 1024, 20_000
+#: Signed buckets of the shingles. Each of two random rotations turns them into as many projections, in blocks of SIDE.
+BUCKETS, SIDE = 2048, 64
+BLOCKS = 2 * BUCKETS // SIDE
+#: Bits of the wide fingerprint (the signs of its first projections), and differing bits up to which a pair is a
+#: candidate: a pair at the least similarity differs in about 78 bits, give or take 9.
+WIDE, WIDE_DISTANCE = 512, 108
+WORDS = [f"s{i}" for i in range(WIDE // 64)]
+TOPS = [f"t{i}" for i in range(BLOCKS // 8)]  # eight tops a column
+#: Share of pairs at the least similarity that should meet under some key, and the logarithm of how many values may meet on a key by chance.
+FOUND, CHANCE = 0.98, 5.5
 #: Bytes of the texts of a block; a task holds the shingle sets of two blocks.
 BLOCK_BYTES = 8_000_000
+#: A table of keys up to so many rows is sent to all tasks; a larger one is joined.
+SMALL_TABLE = 100_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How a crowded key is worked off; no choice leaves a pair out.
+
+    few: rows of a key up to which many keys are compared together; at_once: rows compared as one part; split:
+    rows of a key that one task gets; heads: members of a class that meet other classes before all members do;
+    block_bytes: text of one block of the last, complete comparison.
+    """
+
+    few: int = 64
+    at_once: int = 1024
+    split: int = 20_000
+    heads: int = 16
+    block_bytes: int = BLOCK_BYTES
+
+
+LIMITS = Limits()
 
 
 def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
@@ -258,53 +284,103 @@ def shingle_codes(raw: bytes, n: int = SET_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], 7) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)), dtype=np.uint64))
 
 
-def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, WIDE / 64) words: the signs of random projections of the shingle sets, through signed buckets."""
-    plane = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (BUCKETS, WIDE))
-    out = np.zeros((len(sets), WIDE // 64), dtype=np.uint64)
-    for k in range(0, len(sets), 256):
-        part = np.zeros((min(256, len(sets) - k), BUCKETS), dtype=np.float32)
-        for i, h in enumerate(sets[k : k + 256]):
-            place = (h >> np.uint64(20)).astype(np.int64) % BUCKETS
-            part[i] = np.bincount(place, weights=np.where(h & np.uint64(1), 1.0, -1.0), minlength=BUCKETS)
-        bits = np.packbits(part @ plane > 0, axis=1)
-        out[k : k + len(part)] = bits.view(">u8").astype(np.uint64)
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
+def projections(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BLOCKS, SIDE): the sets in signed buckets, rotated by sign flips and Hadamard transforms, twice and once more."""
+    half = BLOCKS // 2
+    flips = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (3, half, SIDE))
+    left, right = _hadamard(half), _hadamard(SIDE)
+    codes = np.concatenate([np.empty(0, np.uint64), *sets])
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = row * BUCKETS + (codes >> np.uint64(20)).astype(np.int64) % BUCKETS
+    x = np.bincount(place, weights=np.where(codes & np.uint64(1), 1.0, -1.0), minlength=len(sets) * BUCKETS)
+    turns = [x.astype(np.float32).reshape(len(sets), half, SIDE)]
+    for flip in flips:
+        turns.append(left @ ((turns[-1] * flip).reshape(-1, SIDE) @ right).reshape(turns[-1].shape))
+    return np.concatenate(turns[2:], axis=1)
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, WIDE / 64) words of signs, and (sets, BLOCKS) tops: the place and the sign of each block's largest projection.
+
+    The largest projection of a block is the bit of it that a small change of the text flips least.
+    """
+    signs, tops = np.zeros((len(sets), WIDE // 64), dtype=np.uint64), np.zeros((len(sets), BLOCKS), dtype=np.uint8)
+    for k in range(0, len(sets), 128):
+        x = projections(sets[k : k + 128])
+        signs[k : k + len(x)] = np.packbits(x.reshape(len(x), -1)[:, :WIDE] > 0, axis=1).view(">u8").astype(np.uint64)
+        top = np.abs(x).argmax(axis=2)
+        tops[k : k + len(x)] = top + SIDE * (np.take_along_axis(x, top[:, :, None], 2)[:, :, 0] > 0)
+    return signs, tops
+
+
+def agreement(similarity: float = SIMILARITY, draws: int = 4000) -> float:
+    """How often two sets of this similarity have the same top in a block, by simulation."""
+    rng, cosine = np.random.default_rng(5), 2 * similarity / (1 + similarity)
+    x, other = rng.standard_normal((2, draws, SIDE))
+    y = cosine * x + np.sqrt(1 - cosine * cosine) * other
+    a, b = np.abs(x).argmax(1), np.abs(y).argmax(1)
+    at = np.arange(draws)
+    return float(((a == b) & ((x[at, a] > 0) == (y[at, b] > 0))).mean())
+
+
+def choices(count: int) -> list[list[int]]:
+    """The blocks whose tops make a key, for each key: long enough that few of count values meet by chance, and many enough that FOUND meet.
+
+    The number of keys grows with a small power of count: about 25 keys of two blocks up to 740 000 values, 70
+    of three to 95 million, 220 of four to 12 billion.
+    """
+    width = max(1, int(np.ceil((np.log2(max(count, 2)) - CHANCE) / np.log2(2 * SIDE))))
+    p = agreement()
+    likely = np.array([comb(BLOCKS, k) * p**k * (1 - p) ** (BLOCKS - k) for k in range(BLOCKS + 1)])  # that k blocks agree
+    hit = np.array([comb(k, width) / comb(BLOCKS, width) for k in range(BLOCKS + 1)])
+    many = 1
+    while likely @ (1 - hit) ** many > 1 - FOUND:
+        many += 1
+    rng, deck, out = np.random.default_rng(23), [], []
+    for _ in range(many):
+        if len(deck) < width:
+            deck = rng.permutation(BLOCKS).tolist()
+        out.append(sorted(deck[:width]))
+        deck = deck[width:]
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, the shingle set's size and 128-bit hash h0, h1, and the wide fingerprint s0.. of docs (doc_id, text_hash, text)."""
-    names = [f"s{i}" for i in range(WIDE // 64)]
+    """doc_id, text_hash, fp, the shingle set's size and 128-bit hash h0, h1, the tops t0.., and the wide fingerprint s0.. of docs (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4_000_000):
             raws = utf8(batch.column("text"))
             fps = np.array([fingerprint(r) for r in raws], dtype=np.uint64)
             sets = [shingle_codes(r) for r in raws]
-            wide = wide_fingerprints(sets)
+            wide, tops = wide_fingerprints(sets)
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
             size = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (fps.view(np.int64), size, *whole.T.copy())), *[pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(wide.shape[1])]], names=["doc_id", "text_hash", "fp", "size", "h0", "h1", *names])
+            found = [fps.view(np.int64), size, *whole.T.copy()]
+            signs = [np.ascontiguousarray(wide[:, i]).view(np.int64) for i in range(wide.shape[1])]
+            found += [*tops.view("<i8").T.copy(), *signs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, found)], names=["doc_id", "text_hash", *names])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, wider(docs.select("doc_id", "text_hash"), fp="long", size="long", h0="long", h1="long", **{n: "long" for n in names}))
+    names = ["fp", "size", "h0", "h1", *TOPS, *WORDS]
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, wider(docs.select("doc_id", "text_hash"), **{n: "long" for n in names}))
 
 
-def tables_for(count: int) -> tuple[int, int]:
-    """(bits of a key, number of keys): a key holds a few values by chance, and enough keys find a pair at the least similarity."""
-    cosine = 2 * SIMILARITY / (1 + SIMILARITY) - 0.04  # the buckets blur it
-    agree = 1 - np.arccos(cosine) / np.pi
-    bits = max(12, int(np.ceil(np.log2(max(count, 2)))) - 4)
-    return bits, int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree**bits) * 1.1))
-
-
-def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a least spanning forest of the pairs within distance (Prim's rule, one row of distances at a time)."""
+def _forest(sig: np.ndarray, distance: int) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
+    """Edges of a least spanning forest of the pairs within distance (Prim's rule), which rows have such a pair, and whether there are others than the edges."""
     n = len(sig)
-    best, via, open_ = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool)
+    best, via, open_, near = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool), np.zeros(n, np.int64)
     out, now = [], 0
     for _ in range(n):
         open_[now] = False
         d = np.bitwise_count(sig ^ sig[now]).sum(axis=1, dtype=np.int64)
+        near[now] = np.count_nonzero(d <= distance) - 1
         closer = open_ & (d < best)
         best[closer], via[closer] = d[closer], now
         left = np.flatnonzero(open_)
@@ -313,143 +389,125 @@ def _forest(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
         now = int(left[best[left].argmin()])
         if best[now] <= distance:
             out.append((int(via[now]), now))
-    return out
+    return out, near > 0, int(near.sum()) > 2 * len(out)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, s0..) with a key's rows together; the near pairs of small keys, least forests of larger ones.
+def _small_keys(group: np.ndarray, ids: np.ndarray, sig: np.ndarray, end: np.ndarray, few: int, distance: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Forests of many keys of up to few rows at once, as pairs of ids, and the rows of the pairs that they stand for. end: where a row's key ends (0: not of such a key)."""
+    left, a, d = np.arange(len(end)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    b = [np.empty(0, np.int64)]
+    for k in range(1, few):  # one distance between rows after the other
+        left = left[left + k < end[left]]
+        if not len(left):
+            break
+        bits = np.bitwise_count(sig[left] ^ sig[left + k]).sum(axis=1, dtype=np.int64)
+        near = bits <= distance
+        a.append(left[near])
+        b.append(left[near] + k)
+        d.append(bits[near])
+    a, b, d = map(np.concatenate, (a, b, d))
+    alone = np.bincount(group[a], minlength=int(group[-1]) + 1)[group[a]] == 1 if len(a) else np.empty(0, bool)
+    edges = list(zip(ids[a[alone]].tolist(), ids[b[alone]].tolist(), strict=True))
+    root: dict[int, int] = {}
 
-    A crowded key is worked off in parts; what lies between them, and the pairs that a forest stands for, are
-    left to crowded_pairs.
-    """
-    held_key, held_id, held_sig = None, np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        return i
 
-    def edges(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        return [(int(ids[k + a]), int(ids[k + b])) for k in range(0, len(ids), AT_ONCE) for a, b in _forest(sig[k : k + AT_ONCE], distance)]
+    marked: set[int] = set()
+    rest = np.flatnonzero(~alone)
+    rest = rest[np.argsort(d[rest], kind="stable")]
+    for i, j in zip(a[rest].tolist(), b[rest].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x == y:
+            marked |= {i, j}
+        else:
+            root[y] = x
+            edges.append((int(ids[i]), int(ids[j])))
+    return edges, sorted(marked)
 
-    def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sig = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
-        if held_key is not None:
-            key, ids, sig = np.concatenate([np.full(len(held_id), held_key), key]), np.concatenate([held_id, ids]), np.concatenate([held_sig, sig])
-        if not len(key):
-            continue
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        out = []
-        sizes = np.diff(cut)[:-1]
-        end = np.repeat(cut[1:-1], sizes) * (np.repeat(sizes, sizes) <= FEW)
-        left = np.arange(len(end))
-        for k in range(1, FEW):  # the small keys of the batch at once, one distance between rows after the other
-            left = left[left + k < end[left]]
-            if not len(left):
-                break
-            near = left[np.bitwise_count(sig[left] ^ sig[left + k]).sum(axis=1) <= distance]
-            out += zip(ids[near].tolist(), ids[near + k].tolist(), strict=True)
-        for g in np.flatnonzero(sizes > FEW):
-            out += edges(ids[cut[g] : cut[g + 1]], sig[cut[g] : cut[g + 1]])
-        held_key, held_id, held_sig = key[-1], ids[cut[-2] :], sig[cut[-2] :]
-        while len(held_id) > AT_ONCE:  # the rest of a crowded key comes with the next batches
-            out += edges(held_id[:AT_ONCE], held_sig[:AT_ONCE])
-            held_id, held_sig = held_id[AT_ONCE:], held_sig[AT_ONCE:]
-        if out:
-            yield table(out)
-    if held_key is not None and len(held_id) > 1:
-        yield table(edges(held_id, held_sig))
-
-
-def _across(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, block, root, size, id, s0..) with the rows of a (key, lo, hi) together: all its near pairs of unlike roots.
-
-    Where lo and hi differ, only pairs of the two blocks count. Sets of too unlike a size cannot be similar.
+def _candidates(batches: Iterator[pa.RecordBatch], distance: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, parts, id, s0..) with those of a (key, part) together: least forests of the near pairs, as (u, v), and marks.
+
+    A mark (u, null, key) says that under this key the id may be near others than its edges tell: a row of a
+    near pair that the forest stands for, and each row of a key that is worked off in several parts.
     """
     held: list[np.ndarray] = []
-
-    def work(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(part[4], kind="stable")
-        lo, hi, block, root, size, ids, *sig = (x[order] for x in part[1:])
-        sig = np.stack([x.view(np.uint64) for x in sig], axis=1)
-        after = np.searchsorted(root, root, side="right")
-        u, v, n = [], [], 0
-        for i in np.flatnonzero(after < len(ids)):
-            k = after[i]
-            near = np.bitwise_count(sig[k:] ^ sig[i]).sum(axis=1, dtype=np.int64) <= distance
-            near &= np.minimum(size[k:], size[i]) >= SIMILARITY * np.maximum(size[k:], size[i])
-            if lo[0] != hi[0]:
-                near &= block[k:] != block[i]
-            found = ids[k:][near]
-            u.append(np.minimum(found, ids[i]))
-            v.append(np.maximum(found, ids[i]))
-            n += len(found)
-            if n > 100_000 or i == np.flatnonzero(after < len(ids))[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-                u, v, n = [], [], 0
+    at_once = limits.at_once
+    anchor: tuple = (None, None, None)  # the first rows of the key at hand, which its later parts meet
+
+    def table(edges: list[tuple[int, int]], marks: list[tuple[int, int]]) -> pa.RecordBatch:
+        none = [None] * len(edges)
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges] + [m[0] for m in marks], pa.int64()), pa.array([e[1] for e in edges] + [None] * len(marks), pa.int64()), pa.array(none + [m[1] for m in marks], pa.int64())], names=["u", "v", "key"])
+
+    def large(key: int, part: int, split: bool, ids: np.ndarray, sig: np.ndarray, edges: list, marks: list) -> None:
+        nonlocal anchor
+        if anchor[0] != (key, part):
+            anchor = ((key, part), ids[:0], sig[:0])
+        crowded = split or len(ids) >= at_once or len(anchor[1]) > 0
+        for k in range(0, len(ids), at_once):
+            some, bits = np.concatenate([anchor[1], ids[k : k + at_once]]), np.concatenate([anchor[2], sig[k : k + at_once]])
+            found, near, others = _forest(bits, distance)
+            edges += [(int(some[a]), int(some[b])) for a, b in found]
+            if crowded or others:
+                marks += [(int(i), key) for i in (ids[k : k + at_once] if crowded else some[near])]
+            if not len(anchor[1]):
+                anchor = ((key, part), some[: limits.few], bits[: limits.few])
+
+    def work(key: np.ndarray, part: np.ndarray, parts: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, [len(key)]])
+        sizes = np.diff(cut)
+        few = (sizes <= limits.few) & (parts[cut[:-1]] == 1)
+        few[0] &= (key[0], part[0]) != anchor[0]
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        edges, marked = _small_keys(group, ids, sig, np.repeat(cut[1:], sizes) * np.repeat(few, sizes), limits.few, distance)
+        marks = [(int(ids[i]), int(key[i])) for i in marked]
+        for g in np.flatnonzero(~few):
+            a, b = cut[g], cut[g + 1]
+            large(int(key[a]), int(part[a]), bool(parts[a] > 1), ids[a:b], sig[a:b], edges, marks)
+        return table(edges, marks)
 
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
-        part = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-        if not len(part[0]):
+        new = [c.to_numpy() for c in batch.columns[:4]] + [np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[4:]], axis=1)]
+        rows = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        if not len(rows[0]):
             continue
-        cut = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1
-        edges = [0, *cut.tolist()]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield from work([x[a:b] for x in part])
-        held = [x[edges[-1] :] for x in part]
-    if held:
-        yield from work(held)
+        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if len(rows[0]) - cut > at_once:  # the rest of a crowded key comes with the next batches
+            cut = len(rows[0]) - (len(rows[0]) - cut) % at_once
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield work(*[x[:cut] for x in rows])
+    if held and len(held[0]):
+        yield work(*held)
 
 
-def keys_of(values: DataFrame) -> DataFrame:
-    """The columns of values (id, size, s0..) and key, one row for each choice of bits.
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table as a join's side: sent to all tasks if it is small."""
+    return F.broadcast(table) if table.count() <= SMALL_TABLE else table
 
-    Two fingerprints meet under a key if they agree on all its bits; the keys are many enough that close
-    pairs meet under some.
-    """
-    bits, keys = tables_for(values.count())
-    rng = np.random.default_rng(23)
-    words = [f"s{i}" for i in range(WIDE // 64)]
-    choices = []
-    for t in range(keys):
-        mask = [0] * len(words)
-        for b in rng.choice(WIDE, bits, replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        choices.append(F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask, strict=True)]))
-    return values.select("*", F.explode(F.array(*choices)).alias("key"))
-
-
-def similar_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): candidate links between wide fingerprints (id, s0..) of distinct sets: a first choice.
-
-    All pairs within distance of a key of up to FEW rows; of a larger one, least spanning forests of its parts.
-    Keys with very many rows are spread over tasks, by another hash for each choice of bits.
-    """
-    keyed = keys_of(values)
-    crowded = keyed.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).alias("parts"))
-    keyed = keyed.join(F.broadcast(crowded), "key", "left")  # one row per SPLIT rows at most
-    keyed = keyed.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("parts"))))).select("key", "id", *[f"s{i}" for i in range(WIDE // 64)])
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, distance), "u long, v long").distinct()
 
+def candidates(values: DataFrame, limits: Limits = LIMITS, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Candidate links (u, v, null) and marks (u, null, key) of _candidates among wide fingerprints (id, t0.., s0..).
 
-def crowded_pairs(values: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): of the keys with more than FEW rows, all pairs within distance whose roots differ; values have root too.
-
-    root names what checked links join already, so a family that is linked leaves its keys, and none of its
-    inner pairs is made. No other row is left out: a key of more than SPLIT rows is cut into blocks, and each
-    block meets each other one in a cell of its own.
+    Two values meet under a key if they agree in the tops of its blocks. A key with very many rows is spread
+    over tasks in parts; all its rows are marked then.
     """
-    keyed = keys_of(values)
-    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    mixed = mixed.where((F.col("n") > FEW) & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
-    rows = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "size", "id", *[f"s{i}" for i in range(WIDE // 64)])
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _across(batches, distance), "u long, v long").distinct()
+    some = choices(values.count())
+    top = lambda b: F.shiftright(TOPS[b // 8], 8 * (b % 8)).bitwiseAND(F.lit(255).cast("long"))
+    keys = [F.xxhash64(F.lit(t), *map(top, blocks)) for t, blocks in enumerate(some)]
+    keyed = values.select("id", *WORDS, F.explode(F.array(*keys)).alias("key"))
+    crowded = keyed.groupBy("key").count().where(F.col("count") > limits.split).select("key", F.ceil(F.col("count") / limits.split).alias("parts"))
+    keyed = keyed.join(_sent(written(crowded, "near-crowds")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    keyed = keyed.select("key", F.pmod(F.xxhash64("id", "key"), F.col("parts")).alias("part"), "parts", "id", *WORDS)
+    return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda batches: _candidates(batches, distance, limits), "u long, v long, key long")
 
 
 def alike(pairs: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) whose texts (text_hash, text) share that part of their shingles.
+    """The pairs (u, v) whose texts (id, text) share that part of their shingles.
 
     Texts are dealt into blocks of about BLOCK_BYTES, and a pair goes to the cell of its two blocks; there,
     each text that the cell's pairs need comes once, before them.
@@ -457,8 +515,8 @@ def alike(pairs: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -
     parts = max(1, -(-int(bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     cells = pairs.select(F.least(block("u"), block("v")).alias("lo"), F.greatest(block("u"), block("v")).alias("hi"), "u", "v")
-    needed = cells.select("lo", "hi", F.col("u").alias("text_hash")).unionByName(cells.select("lo", "hi", F.col("v").alias("text_hash"))).distinct()
-    first = needed.join(bodies, "text_hash").select("lo", "hi", F.lit(0).alias("kind"), F.col("text_hash").alias("u"), F.lit(0).cast("long").alias("v"), "text")
+    needed = cells.select("lo", "hi", F.col("u").alias("id")).unionByName(cells.select("lo", "hi", F.col("v").alias("id"))).distinct()
+    first = needed.join(bodies, "id").select("lo", "hi", F.lit(0).alias("kind"), F.col("id").alias("u"), F.lit(0).cast("long").alias("v"), "text")
     both = first.unionByName(cells.select("lo", "hi", F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,39 +541,137 @@ def alike(pairs: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -
     return both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "kind").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def _linked(ids: list[int], block: list[int], root: list[int], sets: list[np.ndarray], across: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the roots of a cell wherever two sets are similar; of rows of one block only, unless across."""
+    top: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := top.get(i, i)) != i:
+            top[i] = i = top.get(up, up)
+        return i
+
+    size = np.array([len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    main = max(set(root), key=root.count)  # pairs within the most frequent root are never needed
+    of, blocks, out = np.array(root), np.array(block), []
+    mark = np.zeros(int(place.max()) + 1, np.int64)
+    for i in sorted((k for k in range(len(ids)) if root[k] != main), key=lambda k: root[k]):
+        own = place[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[place], start)
+        mark[own] = 0
+        hit = (shared >= similarity * (size + size[i] - shared)) & (of != of[i])
+        if across:
+            hit &= blocks != blocks[i]
+        for j in np.flatnonzero(hit).tolist():
+            a, b = find(root[i]), find(root[j])
+            if a != b:
+                top[b] = a
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def crowd_links(open_: DataFrame, bodies: DataFrame, limits: Limits = LIMITS, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v) similar pairs that join the roots of marked rows (key, id, root): within each key all pairs of unlike roots are compared.
+
+    The sets are compared in the task and only links between roots leave it. A key's texts are cut into
+    blocks of about limits.block_bytes, and each block meets each other one in a cell of its own.
+    """
+    sized = open_.join(bodies.select("id", F.octet_length("text").alias("n")), "id")
+    parts = sized.groupBy("key").agg(F.ceil(F.sum("n") / limits.block_bytes).cast("int").alias("parts")).select("key", F.greatest("parts", F.lit(1)).alias("parts"))
+    rows = open_.join(written(parts, "near-parts"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "id").join(bodies, "id")
+    rows = rows.select("key", "lo", "hi", "block", "root", "id", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def work() -> pa.RecordBatch:
+            found = []
+            if len({r for _, r, _, _ in held}) > 1:
+                blocks, roots, ids, sets = map(list, zip(*held, strict=True))
+                found = _linked(ids, blocks, roots, sets, cell[1] != cell[2], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in pieces(batches, "text", 4_000_000):
+            for key, lo, hi, block, root, i, raw in zip(*(c.to_pylist() for c in batch.columns[:6]), utf8(batch.column("text")), strict=True):
+                if cell != (key, lo, hi):
+                    if held:
+                        yield work()
+                    cell, held = (key, lo, hi), []
+                held.append((block, root, i, shingle_codes(raw)))
+        if held:
+            yield work()
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def near_classes(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, text_hash and component_id for all rows of docs: classes linked by similar shingle sets or close fingerprints.
 
     Links: five-word shingle sets that share SIMILARITY of their shingles (candidates by the wide fingerprint,
-    then the sets themselves; equal sets are one), and the 64-bit fingerprints within DISTANCE. Texts are compared once however
-    often they occur. Nulls, empty texts and repeated rows as in classes().
+    then the sets themselves; equal sets are one), and the 64-bit fingerprints within DISTANCE. First the
+    links of least forests are checked; then, under the keys where those leave several classes, all pairs of
+    unlike classes are. Texts are compared once however often they occur; a text is named by its hash and its
+    set's, 192 bits. Nulls, empty texts and repeated rows as in classes().
     """
     text = text_or_empty()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    words = [f"s{i}" for i in range(WIDE // 64)]
     signed = written(signatures(rows), "near-rows")
-    texts = written(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "h0", "h1", *words)]), "near-texts")
-    by_fp = written(texts.groupBy("fp").agg(F.min("text_hash").alias("rep")), "near-fp")
-    by_set = written(texts.groupBy("h0", "h1").agg(F.min("text_hash").alias("rep"), *[F.first(c).alias(c) for c in ("size", *words)]), "near-sets")
+    name = ["text_hash", "h0", "h1"]
+    texts = signed.groupBy(*name).agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", *TOPS, *WORDS)])
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "near-texts")
+    by_fp = written(texts.groupBy("fp").agg(F.min("id").alias("rep")), "near-fp")
+    by_set = written(texts.groupBy("h0", "h1").agg(F.min("id").alias("rep")), "near-sets")
     # A set so small that one more shingle is too many resembles no set but itself.
-    values = by_set.where(F.col("size") >= SIMILARITY * (F.col("size") + 1)).withColumnRenamed("rep", "id")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
-        # One row of each text that is needed, by its smallest id too: a text of very many copies isn't moved for each.
-        needed = needed.join(texts.select("text_hash", "first"), "text_hash").select(F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
-        bodies = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        bodies = written(bodies.groupBy("text_hash").agg(F.first("text").alias("text")), "near-bodies")
-        return alike(pairs, bodies)
-
-    to_rep = lambda by, *c: texts.join(by.select(*c, "rep"), list(c)).where("text_hash != rep").select(F.col("text_hash").alias("u"), F.col("rep").alias("v"))
-    close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = components(checked(written(similar_pairs(values), "near-pairs")).unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
-    rooted = written(values.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-rooted")
-    more = written(crowded_pairs(rooted), "near-crowded")
-    if not more.isEmpty():
-        found = components(checked(more).unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    root = texts.select("text_hash", "first").join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
-    least = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(root.join(least, "root").select("text_hash", "component_id"), "near-classes")
-    return signed.select("doc_id", "text_hash").join(named, "text_hash")
+    values = texts.join(by_set.select(F.col("rep").alias("id")), "id", "left_semi").where(F.col("size") >= SIMILARITY * (F.col("size") + 1)).select("id", *TOPS, *WORDS)
+    values = written(values, "near-values")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text), one row of each text that is needed, by its smallest doc_id: a text of very many copies isn't moved for each."""
+        needed = ids.distinct().join(texts.select("id", "text_hash", "first"), "id").select("id", F.col("text_hash").alias("_hash"), F.col("first").alias("_id"))
+        found = rows.join(needed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        return written(found.groupBy("id").agg(F.first("text").alias("text")), "near-bodies")
+
+    def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Checked links and marks of candidates."""
+        pairs = written(found.where("v IS NOT NULL").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
+        bodies = texts_of(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))))
+        return alike(pairs, bodies), found.where("v IS NULL").select("key", F.col("u").alias("id")).distinct()
+
+    def open_rows(marks: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, id, root) of the marks whose key has several roots."""
+        rooted = written(marks.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "near-rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+        return written(rooted.join(written(mixed, "near-mixed"), "key", "left_semi"), "near-open")
+
+    to_rep = lambda by, *c: texts.join(by.select(*c, "rep"), list(c)).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    close = components(links(by_fp.select("fp")))  # as a forest of stars: one link for each value
+    close = close.join(by_fp.select(F.col("fp").alias("node"), F.col("rep").alias("u")), "node").join(by_fp.select(F.col("fp").alias("root"), F.col("rep").alias("v")), "root").where("u != v").select("u", "v")
+    same = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    some = written(candidates(values, limits), "near-candidates")
+    edges, marks = linked(some)
+    marks = written(marks, "near-marks")
+    found = components(edges.unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
+    left = open_rows(marks, found)
+    # Keys of many parts: a few members of each class meet first, so that the classes of the parts become one.
+    while not left.groupBy("key").count().where(F.col("count") > limits.split).isEmpty():
+        rank = F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("id", "key"), "id"))
+        heads = left.withColumn("rank", rank).where(F.col("rank") <= limits.heads).select("id").distinct()
+        edges, _ = linked(written(candidates(values.join(heads, "id", "left_semi"), limits), "near-candidates"))
+        roots = found.withColumnRenamed("root", "r")
+        edges = edges.join(roots.select(F.col("node").alias("u"), F.col("r").alias("a")), "u").join(roots.select(F.col("node").alias("v"), F.col("r").alias("b")), "v").where("a != b").select("u", "v")
+        edges = written(edges, "near-heads")
+        if edges.isEmpty():
+            break
+        found = components(edges.unionByName(same(found)))
+        left = open_rows(marks, found)
+    if not left.isEmpty():
+        more = written(crowd_links(left, texts_of(left.select("id")), limits), "near-more")
+        found = components(more.unionByName(same(found)))
+    root = texts.select(*name, "first", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(*name, "first", F.coalesce("root", "id").alias("root"))
+    least = written(root.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
+    named = written(root.join(least, "root").select(*name, "component_id"), "near-classes")
+    return signed.select("doc_id", *name).join(named, name).select("doc_id", "text_hash", "component_id")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -225,40 +226,89 @@ def similar(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize("crowd,at_once", [(60, 1024), (150, 16)])
-def test_near_classes_find_similar_texts(spark, monkeypatch, crowd, at_once):
-    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+def joined(texts, at_least=0.8, by_bits=True):
+    """Brute force: the class of each text by similar sets and close fingerprints, and the pairs with similar sets."""
+    sets, fps = [set(simhash.shingle_codes(t.encode()).tolist()) for t in texts], [simhash.fingerprint(t.encode()) for t in texts]
+    root, pairs = list(range(len(texts))), []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            alike = (n := len(x & sets[j])) >= at_least * (len(x) + len(sets[j]) - n)
+            if alike:
+                pairs.append((j, i))
+            if alike or by_bits and (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def random_word(rng):
+    return "".join(rng.choice(list("abcdefghij"), 6))
+
+
+SMALL_LIMITS = simhash.Limits(few=4, at_once=16, split=50, heads=3, block_bytes=20_000)
+
+
+@pytest.mark.parametrize("limits", [simhash.LIMITS, SMALL_LIMITS], ids=["usual", "small"])
+def test_near_classes_find_similar_texts(spark, limits):
     rng = np.random.default_rng(12)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    texts = [" ".join(word() for _ in range(rng.integers(100, 300))) for _ in range(60)]
-    base = [word() for _ in range(400)]
-    for _ in range(crowd):  # near copies of one text
+    texts = [" ".join(random_word(rng) for _ in range(rng.integers(100, 300))) for _ in range(60)]
+    base = [random_word(rng) for _ in range(200)]
+    for i in range(150):  # a family of copies that differ in one to sixteen words, and so resemble each other more or less
         w = list(base)
-        w[rng.integers(0, 400)] = word()
+        for k in rng.choice(200, 1 + i % 16, replace=False):
+            w[k] = random_word(rng)
         texts.append(" ".join(w))
     for i in range(40):  # pairs of graded likeness
         w = texts[i].split()
         for _ in range(1 + i // 8):
-            w[rng.integers(0, len(w))] = word()
+            w[rng.integers(0, len(w))] = random_word(rng)
         texts.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs, limits).collect()}
+    want, pairs = joined(texts)
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing else is joined
+
+
+def test_near_classes_find_pairs_at_the_edge(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(500):  # pairs whose likeness is 0.8 to 0.85: a run of new words at the end
+        n = int(rng.integers(40, 400))
+        w = [random_word(rng) for _ in range(n)]
+        k = max(1, int((n - 4) * rng.uniform(0.085, 0.108)))
+        texts += [" ".join(w), " ".join(w[:-k] + [random_word(rng) for _ in range(k)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()}
-    likeness = {(i, j): similar(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)}
-    root = list(range(len(texts)))
+    edge = [i for i in range(0, 1000, 2) if 0.8 <= similar(texts[i], texts[i + 1]) < 0.85]
+    assert len(edge) > 300
+    assert sum(got[i] == got[i + 1] for i in edge) >= 0.98 * len(edge)
+    assert all(c // 2 == i // 2 for i, c in got.items())
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for (i, j), s in likeness.items():
-        if s >= 0.8:
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    want = {i: find(i) for i in range(len(texts))}
-    pairs = [p for p, s in likeness.items() if s >= 0.8]
-    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
-    assert all(want[i] == want[c] for i, c in got.items())  # nothing else is joined
+def test_near_classes_of_a_crowd_with_far_members_first(spark):
+    rng = np.random.default_rng(22)
+    base, other = ([random_word(rng) for _ in range(120)] for _ in range(2))
+
+    def copy(words, changes):
+        w = list(words)
+        for k in rng.choice(len(w), changes, replace=False):
+            w[k] = random_word(rng)
+        return " ".join(w)
+
+    texts = [copy(base, 9) for _ in range(2200)] + [copy(base, 1) for _ in range(600)] + [copy(other, 2) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, pairs = joined(texts)
+    for limits in (simhash.LIMITS, simhash.Limits(few=32, at_once=200, split=1000, heads=8, block_bytes=300_000)):
+        got = {r.doc_id: r.component_id for r in simhash.near_classes(docs, limits).collect()}
+        assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+        assert all(want[i] == want[c] for i, c in got.items())
 
 
 def test_near_classes_keep_different_short_texts_apart(spark):
@@ -270,16 +320,45 @@ def test_near_classes_keep_different_short_texts_apart(spark):
     assert len(set(got.values())) == len(set(close.values())) > 5900
 
 
-@pytest.mark.parametrize("split", [20_000, 50])
-def test_pairs_of_a_crowded_key_all_meet(spark, monkeypatch, split):
-    monkeypatch.setattr(simhash, "SPLIT", split)
+@pytest.mark.parametrize("limits", [simhash.LIMITS, simhash.Limits(few=4, at_once=16, split=50, block_bytes=3000)], ids=["usual", "small"])
+def test_classes_of_a_crowded_key_all_meet(spark, limits):
     rng = np.random.default_rng(3)
-    sig = np.repeat(rng.integers(0, 1 << 63, (1, 4)), 120, axis=0) ^ (1 << rng.integers(0, 62, (120, 4)))
-    root = [i % 3 for i in range(120)]  # three families that hold one key together
-    rows = [(i, 100, root[i], *map(int, sig[i])) for i in range(120)]
-    values = spark.createDataFrame(rows, "id long, size long, root long, s0 long, s1 long, s2 long, s3 long").repartition(3)
-    got = {(r.u, r.v) for r in simhash.crowded_pairs(values).collect()}
-    assert got == {(i, j) for j in range(120) for i in range(j) if root[i] != root[j]}
+    base = [[random_word(rng) for _ in range(30)] for _ in range(40)]
+    texts = [" ".join(base[i % 40] + [random_word(rng)] * (i // 40)) for i in range(120)]
+    rows = [(k, i, i) for k in (1, 2) for i in range(120)]  # all in each key, each a class of its own
+    open_ = spark.createDataFrame(rows, "key long, id long, root long").repartition(3)
+    bodies = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [(r.u, r.v) for r in simhash.crowd_links(open_, bodies, limits).collect()]
+    root = list(range(120))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in got:
+        assert similar(texts[a], texts[b]) >= 0.8
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert [find(i) for i in range(120)] == joined(texts, by_bits=False)[0]
+    alone = open_.where("key = 1").withColumn("root", F.lit(5))
+    assert simhash.crowd_links(alone, bodies, limits).count() == 0
+
+
+def test_forests_span_and_mark_what_they_leave_out():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 6, 90))
+    sig = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)[rng.integers(0, 6, 90)]
+    sig ^= np.uint64(1) << rng.integers(0, 63, (90, 8)).astype(np.uint64)
+    near = {(i, j) for j in range(90) for i in range(j) if key[i] == key[j] and np.bitwise_count(sig[i] ^ sig[j]).sum() <= 40}
+    assert len(near) > 100
+    for limits in (simhash.LIMITS, simhash.Limits(few=4), simhash.Limits(few=2, at_once=8)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 25].copy()) for x in (key, np.zeros(90, np.int64), np.ones(90, np.int64), np.arange(90), *sig.view(np.int64).T)], names=["key", "part", "parts", "id", *simhash.WORDS]) for k in range(0, 90, 25)]
+        rows = [r for b in simhash._candidates(iter(batches), 40, limits) for r in b.to_pylist()]
+        edges = {(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in rows if r["v"] is not None}
+        marks = {(r["key"], r["u"]) for r in rows if r["v"] is None}
+        assert edges <= near and len(edges) < 90
+        assert all((i, j) in edges or {(key[i], i), (key[j], j)} <= marks for i, j in near)
 
 
 # media
