@@ -36,14 +36,14 @@ def visible(page: str) -> str:
     return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
 
 
-def codes(text: str) -> np.ndarray:
-    """Slots of the byte trigrams of the lower-cased text, with everything but letters as one space."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
-    raw = np.where((raw >= 128) | ((raw >= 97) & (raw <= 122)), raw, 32)
+def codes(text: str, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Slots of the byte trigrams of the lower-cased text, with everything but letters as one space; the end and the start count as one too. Long texts come in chunks."""
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    raw = np.where((raw >= 128) | ((raw >= 97) & (raw <= 122)), raw, np.uint8(32))
     raw = raw[np.concatenate([[True], (raw[1:] != 32) | (raw[:-1] != 32)])]
-    if len(raw) < 3:
-        return np.empty(0, np.uint32)
-    return ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    for k in range(0, len(raw) - 2, chunk):
+        part = raw[k : k + chunk + 2].astype(np.uint32)
+        yield ((part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
 @dataclass
@@ -55,34 +55,49 @@ class TextModel:
 
     def likelihood(self, text: str) -> tuple[np.ndarray, bool]:
         """Tempered log likelihood for each language, and whether there are letters."""
-        total, letters = np.zeros(len(self.languages)), False
-        for k in range(0, max(len(text), 1), 400_000):
-            part = text[k : k + 400_002]
-            total += self.logs[codes(part)].sum(axis=0, dtype=np.float64)
-            letters = letters or bool(LETTER.search(part))
-        return TEMPER * total, letters
+        total = np.zeros(len(self.languages))
+        for part in codes(text):
+            total += self.logs[part].sum(axis=0, dtype=np.float64)
+        return TEMPER * total, LETTER.search(text) is not None
 
 
-def fit(texts: list[str], langs: list[str]) -> TextModel:
-    names = sorted(set(langs))
+def fit(counts: dict[str, np.ndarray]) -> TextModel:
+    """The model of slot counts by language."""
+    names = sorted(counts)
     logs = np.zeros((SLOTS, len(names)), dtype=np.float32)
     for i, name in enumerate(names):
-        counts = np.full(SLOTS, 0.1)
-        for text, lang in zip(texts, langs, strict=True):
-            if lang == name:
-                for k in range(0, len(text), 400_000):
-                    counts += np.bincount(codes(text[k : k + 400_002]), minlength=SLOTS)
-        logs[:, i] = np.log(counts / counts.sum())
+        logs[:, i] = np.log((counts[name] + 0.1) / (counts[name] + 0.1).sum())
     return TextModel(names, logs)
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Learns from documents with a language: of each, those with the smallest hash of the id, about sample of them."""
+    """Learns from documents (doc_id, text, lang) with a language: of each, about sample of them, those with the smallest hash of the id.
+
+    Every language of the documents is learned, from whole texts; tasks count them, and the driver gets the
+    model's own size, 64 Ki slots for a language. A null text is empty, rows with a null or empty language are
+    not learned from, repeated rows count each. Without rows the model has no language.
+    """
     some = docs.where(F.col("lang").isNotNull() & (F.length("lang") > 0))
-    rank = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1_000_000))
-    sizes = some.groupBy("lang").count().select("lang", F.ceil(1e6 * sample / F.col("count")).alias("_below"))
-    found = some.join(F.broadcast(sizes), "lang").where(rank < F.col("_below")).select("lang", text_or_empty().alias("text")).toArrow()
-    return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
+    rank = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1 << 40))
+    sizes = some.groupBy("lang").count().select("lang", F.ceil(F.lit(float(1 << 40) * sample) / F.col("count")).alias("_below"))  # a row per language of the model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in pieces(batches, "text"):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = found.setdefault(lang, np.zeros(SLOTS, np.int64))
+                for part in codes(text):
+                    own += np.bincount(part, minlength=SLOTS)
+        for lang, own in found.items():
+            at = np.append(np.flatnonzero(own), 0)  # slot 0 too, so that a language without a letter is known
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(np.append(own[at[:-1]], 0))], names=["lang", "slot", "n"])
+
+    rows = some.join(F.broadcast(sizes), "lang").where(rank < F.col("_below")).select("lang", text_or_empty().alias("text"))
+    told = rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counts = {name: np.zeros(SLOTS) for name in set(told["lang"])}
+    for lang, slot, n in zip(told["lang"], told["slot"], told["n"], strict=True):
+        counts[lang][slot] += n
+    return fit(counts)
 
 
 def host_of(url: Column) -> Column:
@@ -91,8 +106,8 @@ def host_of(url: Column) -> Column:
 
 def declared_in(page: Column) -> Column:
     """The language that a page's markup declares: html lang, else a content-language meta element."""
-    tag = F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    meta = F.regexp_extract(page, r"(?i)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    tag = F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z][A-Za-z0-9_-]*)", 1)
+    meta = F.regexp_extract(page, r"(?i)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z][A-Za-z0-9_-]*)", 1)
     return F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit("")))
 
 
@@ -112,26 +127,30 @@ def _likelihoods(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
     return rows.mapInArrow(run, wider(rows, _ll="array<double>", _best="int"))
 
 
-def identify(rows: DataFrame, model: TextModel, markup: bool = False, least: float = LEAST) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel, markup: bool = False, least: float = LEAST, text: bool = True) -> DataFrame:
     """Adds language, posterior, text_language to all rows; rows have text, _host, _suffix and _declared.
 
     Posterior: tempered text likelihood x P(declared value | language) x P(language | host). The counts behind
     the last two are grouped over all rows by the language that their text alone suggests. A host's counts
-    lean on its suffix's, and those on all rows'; a row's own count is taken out of its host's. Rows without
+    lean on its suffix's, and those on all rows'; a row's own count is taken out of its host's. Of a declared
+    value its first part counts, in lower case; one that is no language of the model is "other". Rows without
     letters count nowhere and are UNKNOWN, as are rows whose best posterior is below least. A null text is
-    empty; null hosts and declared values are values of their own. Other columns pass through; those with
-    the names of the results are replaced.
+    empty; null hosts, suffixes and declared values are values of their own. Of equal posteriors the first
+    language counts. Other columns pass through; those with the names of the results are replaced. Each text
+    is read once; without text its column is left out of the result and of the table between.
     """
     names = model.languages
     rows = rows.drop("language", "posterior", "text_language")
+    kept = [c for c in rows.columns if text or c != "text"]
     if not names:
-        return rows.withColumns({"language": F.lit(UNKNOWN), "posterior": F.lit(0.0), "text_language": F.lit(None).cast("string")})
-    scored = _likelihoods(rows, model, markup)
-    known = F.substring(F.lower(F.coalesce("_declared", F.lit(""))), 1, 2)
+        return rows.select(*kept).withColumns({"language": F.lit(UNKNOWN), "posterior": F.lit(0.0), "text_language": F.lit(None).cast("string")})
+    known = F.split(F.lower(F.trim("_declared")), "[-_]")[0]
     said = F.when(F.col("_declared").isNull(), "none").when(known.isin(names), known).otherwise("other")
-    scored = scored.withColumns({"_host": F.coalesce("_host", F.lit("")), "_suffix": F.coalesce("_suffix", F.lit("")), "_said": said})
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    scored = _likelihoods(rows, model, markup).select(*kept, "_ll", "_best", named("_host").alias("_h"), named("_suffix").alias("_s"), said.alias("_said"))
+    scored = written(scored, "lang-rows")
     each = [F.sum((F.col("_best") == i).cast("long")).alias(f"n{i}") for i in range(len(names))]
-    counts = written(scored.groupBy("_host", "_suffix", "_said").agg(*each), "lang-counts")
+    counts = written(scored.groupBy("_h", "_s", "_said").agg(*each), "lang-counts")
     add = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]
     # Declared values are the known languages, other and none; so this table has a fixed size.
     by_value = {r["_said"]: [r[f"n{i}"] for i in range(len(names))] for r in counts.groupBy("_said").agg(*add).collect()}
@@ -139,14 +158,14 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False, least: flo
     base = (total + 1) / (total + 1).sum()
     values = [*names, "other", "none"]
     share = {v: [(by_value.get(v, [0] * len(names))[i] + DECLARED_LEAN / len(values)) / (total[i] + DECLARED_LEAN) for i in range(len(names))] for v in values}
-    suffixes = counts.groupBy("_suffix").agg(*add)
+    suffixes = counts.groupBy("_s").agg(*add)
     whole = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     columns = [f"n{i}" for i in range(len(names))]
-    suffixes = suffixes.select("_suffix", F.array(*[(F.col(c) + SUFFIX_LEAN * float(base[i])) / (whole(columns) + SUFFIX_LEAN) for i, c in enumerate(columns)]).alias("_p"))
-    hosts = counts.groupBy("_host", "_suffix").agg(*add).join(suffixes, "_suffix")
-    hosts = written(hosts.select("_host", "_suffix", F.array(*columns).alias("_n"), "_p"), "lang-hosts")
+    suffixes = suffixes.select("_s", F.array(*[(F.col(c) + SUFFIX_LEAN * float(base[i])) / (whole(columns) + SUFFIX_LEAN) for i, c in enumerate(columns)]).alias("_p"))
+    hosts = counts.groupBy("_h", "_s").agg(*add).join(suffixes, "_s")
+    hosts = written(hosts.select("_h", "_s", F.array(*columns).alias("_n"), "_p"), "lang-hosts")
     small = hosts.count() <= HOSTS
-    joined = scored.join(F.broadcast(hosts) if small else hosts, ["_host", "_suffix"])
+    joined = scored.join(F.broadcast(hosts) if small else hosts, ["_h", "_s"])
     own = lambda i: (F.col("_best") == i).cast("double")
     others = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x).cast("double") - (F.col("_best") >= 0).cast("double")
     prior = [(F.col("_n")[i] - own(i) + HOST_LEAN * F.col("_p")[i]) / (others + HOST_LEAN) for i in range(len(names))]
@@ -158,7 +177,7 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False, least: flo
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("_log", F.col("_max")).cast("int"))
     said_by_text = F.when(F.col("_best") >= 0, F.element_at(F.array(*map(F.lit, names)), F.col("_best") + 1))
     out = joined.withColumns({"language": F.when((F.col("_best") < 0) | (F.col("posterior") < least), UNKNOWN).otherwise(best), "text_language": said_by_text})
-    return out.select(*[c for c in rows.columns], "language", "posterior", "text_language")
+    return out.select(*kept, "language", "posterior", "text_language")
 
 
 def pages_as_rows(pages: DataFrame) -> DataFrame:
@@ -169,5 +188,5 @@ def pages_as_rows(pages: DataFrame) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages; the text model is learned from the documents' languages."""
     model = trained(table(spark, sf_dir, "documents"))
-    out = identify(pages_as_rows(table(spark, sf_dir, "pages")), model, markup=True)
+    out = identify(pages_as_rows(table(spark, sf_dir, "pages")), model, markup=True, text=False)
     return out.select("page_id", F.col("_host").alias("host"), F.col("_declared").alias("declared"), "language", "posterior", "text_language")

@@ -526,8 +526,8 @@ def test_language_reads_whole_pages_texts_and_languages(spark):
     assert {r.page_id: r._declared for r in langid.pages_as_rows(pages).collect()} == {1: "de", 2: None}
     docs = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:02d}") for i in range(70)]
     assert langid.trained(spark.createDataFrame(docs, "doc_id long, text string, lang string")).languages == [x[2] for x in docs]
-    model = langid.fit(["abc " * 500_001 + "xyzw", "abc"], ["a", "b"])
-    slot = langid.codes("xyz")[1]
+    model = langid.trained(spark.createDataFrame([(1, "abc " * 500_001 + "xyzw", "a"), (2, "abc", "b")], "doc_id long, text string, lang string"))
+    slot = next(langid.codes("xyz"))[1]
     assert model.logs[slot, 0] > model.logs[:, 0].min()
 
 
@@ -576,6 +576,55 @@ def test_decontamination_finds_long_and_short_items(spark):
     fill = lambda n: " ".join(word() for _ in range(n))
     docs = [(0, f"{fill(70)} {items[0][1]} {fill(200)}"), (1, "to kuala zyx"), (2, "昨日、東京は日本の首都です。と言った"), (3, f"{fill(40)} {items[3][1]}"), (4, "kuala and zyx"), (5, fill(900)), (6, " ".join(items[0][1].split()[:500]))]
     out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+def test_language_chunks_change_nothing():
+    text = "Der Fluß, die Häuser; 12 und? " * 50
+    whole = np.concatenate(list(langid.codes(text)))
+    for chunk in (1, 7, 64, 1000):
+        assert np.concatenate(list(langid.codes(text, chunk))).tolist() == whole.tolist()
+    assert list(langid.codes("")) == []
+
+
+def test_language_codes_and_null_hosts(spark):
+    docs = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate([("alpha beta gamma", "en"), ("kamusta ka aking", "fil"), ("tervetuloa kaikki", "fi")] * 20)], "doc_id long, text string, lang string")
+    rows = [(1, "xq", "h", "s", "fil-PH"), (2, "xq", "h", "s", "FI"), (3, "xq", "h", "s", "en_GB"), (4, "kamusta", None, None, None), (5, "tervetuloa", "", "", "deu")]
+    got = {r.id: r for r in langid.identify(spark.createDataFrame(rows, "id long, text string, _host string, _suffix string, _declared string"), langid.trained(docs), least=0.0).collect()}
+    assert [got[i]._host for i in (4, 5)] == [None, ""] and got[4].language == "fil" and got[5].language == "fi"
+
+
+def posteriors(rows, model):
+    """Bayes' rule by the book: rows are (text, host, suffix, declared)."""
+    names, logs = model.languages, [model.likelihood(r[0] or "") for r in rows]
+    best = [int(ll.argmax()) if letters else -1 for ll, letters in logs]
+    value = [("none" if d is None else v if (v := d.lower().split("-")[0]) in names else "other") for *_, d in rows]
+    count = lambda test: np.array([sum(b == i and test(k) for k, b in enumerate(best)) for i in range(len(names))], float)
+    every = count(lambda k: True)
+    base = (every + 1) / (every + 1).sum()
+    for k, (_, host, suffix, _) in enumerate(rows):
+        if best[k] < 0:
+            yield langid.UNKNOWN, 0.0
+            continue
+        of_suffix = count(lambda j, s=suffix: rows[j][2] == s)
+        of_suffix = (of_suffix + langid.SUFFIX_LEAN * base) / (of_suffix.sum() + langid.SUFFIX_LEAN)
+        of_host = count(lambda j, h=host, s=suffix, k=k: rows[j][1] == h and rows[j][2] == s and j != k)
+        prior = (of_host + langid.HOST_LEAN * of_suffix) / (of_host.sum() + langid.HOST_LEAN)
+        said = count(lambda j, k=k: value[j] == value[k])
+        said = (said + langid.DECLARED_LEAN / (len(names) + 2)) / (every + langid.DECLARED_LEAN)
+        log = logs[k][0] + np.log(prior) + np.log(said)
+        p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        yield (names[int(p.argmax())] if p.max() >= langid.LEAST else langid.UNKNOWN), float(p.max())
+
+
+def test_language_matches_brute_force(spark, docs):
+    model = langid.trained(docs)
+    rng = np.random.default_rng(15)
+    rows = [(t if k % 9 else " ".join(t.split()[:2]), f"h{k % 5}" if k % 11 else None, ("com", "de", None)[k % 3], (None, "en", "de-AT", "xx")[int(rng.integers(0, 4))]) for k, t, *_ in corpus(90, 17)]
+    rows += [(None, "h1", "com", "en"), ("123", "h1", "com", "de"), ("und the", "h1", "de", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, _host string, _suffix string, _declared string").repartition(3)
+    got = {r.id: (r.language, r.posterior) for r in langid.identify(frame, model).collect()}
+    for i, (language, p) in enumerate(posteriors(rows, model)):
+        assert got[i][0] == language and got[i][1] == pytest.approx(p, abs=1e-9)
+
+
     assert {r.doc_id: r.item_ids for r in out.collect()} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
 
 
