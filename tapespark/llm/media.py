@@ -18,8 +18,13 @@ from .common import pieces, table, text_or_empty, utf8, wider
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXER, WRITER, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+DEFAULT_DURATION = 0x23E383
+CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: Elements that end a cluster or a segment of unknown size.
+AFTER_CLUSTER = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
+AFTER_SEGMENT = {EBML, SEGMENT}
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0, 1, 2, 3
 
 #: Samples of a frame: 24 ms at 8000 a second. Frames of a laced block, blocks of a cluster.
@@ -71,7 +76,7 @@ def write(payload: bytes) -> bytes:
     head = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 4) + number(DOC_READ_VERSION, 2))
     info = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / SAMPLE_RATE)) + element(MUXER, b"tapespark") + element(WRITER, b"tapespark"))
     audio = element(AUDIO, element(RATE, struct.pack(">f", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    parts = [info, element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))]
+    parts = [info, element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + number(DEFAULT_DURATION, FRAME_MS * 1_000_000) + audio))]
     at, cues, block = sum(map(len, parts)), [], FRAME * LACED
     for start in range(0, len(payload), block * BLOCKS):
         time = start // FRAME * FRAME_MS
@@ -112,17 +117,31 @@ def vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(identifier, start, end) of the bodies; a size that isn't known reaches to the end of the parent."""
+    """(identifier, start, end) of the bodies. A size that isn't known reaches to the end of the parent, or of a
+    cluster or segment to the first element that cannot be in it."""
     while at < end:
         ident, _, at = vint(data, at, keep=True)
         n, width, at = vint(data, at)
-        stop = end if n == (1 << 7 * width) - 1 else at + n
+        stop = at + n
+        if n == (1 << 7 * width) - 1:
+            stop = _first_of(data, at, end, AFTER_CLUSTER if ident == CLUSTER else AFTER_SEGMENT) if ident in (CLUSTER, SEGMENT) else end
         if stop > end:
             raise ValueError(f"element {ident:x} at byte {at} ends outside its parent")
         yield ident, at, stop
         at = stop
 
 
+def _first_of(data: bytes, at: int, end: int, kinds: set[int]) -> int:
+    """Where the first element of these kinds begins among the elements from at on; end without one."""
+    while at < end:
+        ident, _, body = vint(data, at, keep=True)
+        if ident in kinds:
+            return at
+        n, width, body = vint(data, body)
+        at = body + n if n != (1 << 7 * width) - 1 else _first_of(data, body, end, AFTER_CLUSTER) if ident == CLUSTER else end
+    return end
+
+
 def _unlace(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     """(offset, size) of the frames of a block."""
     if lacing == NO_LACING:
@@ -178,7 +197,7 @@ def read(data: bytes) -> Media:
                 for _, c, d in (x for x in elements(data, a, b) if x[0] == TRACK):
                     track = {k: (e, f) for k, e, f in elements(data, c, d)}
                     sound = {k: (e, f) for k, e, f in elements(data, *track[AUDIO])} if AUDIO in track else {}
-                    out.tracks[whole(*track[TRACK_NUMBER])] = {"type": whole(*track[TRACK_TYPE]), "codec": data[slice(*track[CODEC])].decode(), "depth": whole(*sound[DEPTH]) if DEPTH in sound else None}
+                    out.tracks[whole(*track[TRACK_NUMBER])] = {"type": whole(*track[TRACK_TYPE]), "codec": data[slice(*track[CODEC])].decode(), "depth": whole(*sound[DEPTH]) if DEPTH in sound else None, "frame_ns": whole(*track[DEFAULT_DURATION]) if DEFAULT_DURATION in track else None}
             elif ident == CLUSTER:
                 _cluster(data, a, b, out)
                 out.clusters.append(head)
@@ -192,22 +211,27 @@ def read(data: bytes) -> Media:
 
 
 def _cluster(data: bytes, a: int, b: int, out: Media) -> None:
+    """Adds a cluster's packets. A laced frame begins one frame's length after the one before: the block's duration shared out, else its track's default; without either all begin with the block."""
     time, blocks = 0, []
     for ident, c, d in elements(data, a, b):
         if ident == CLUSTER_TIME:
             time = int.from_bytes(data[c:d], "big")
         elif ident == SIMPLE_BLOCK:
-            blocks.append((c, d, None))
+            blocks.append((c, d, None, None))
         elif ident == BLOCK_GROUP:
             group = {k: (e, f) for k, e, f in elements(data, c, d)}
-            blocks.append((*group[BLOCK], int.from_bytes(data[slice(*group[BLOCK_DURATION])], "big") if BLOCK_DURATION in group else 0))
-    for c, d, lasts in blocks:
+            lasts = int.from_bytes(data[slice(*group[BLOCK_DURATION])], "big") if BLOCK_DURATION in group else None
+            blocks.append((*group[BLOCK], lasts, REFERENCE_BLOCK not in group))
+    for c, d, lasts, key in blocks:
         track, _, at = vint(data, c)
+        if at + 3 > d:
+            raise ValueError(f"block at byte {c} is cut off")
         offset, flags = struct.unpack(">h", data[at : at + 2])[0], data[at + 2]
         frames = _unlace(data, at + 3, d, flags >> 1 & 3)
+        step = out.tracks.get(track, {}).get("frame_ns") or 0 if lasts is None else lasts * out.scale / len(frames)
         for i, (start, n) in enumerate(frames):
-            step = FRAME_MS if lasts is None else lasts / len(frames)  # simple blocks here have frames of one length
-            out.packets.append((track, len(out.clusters), round((time + offset + i * step) * out.scale / 1_000_000), start, n, lasts is not None or bool(flags & 0x80)))
+            ms = round(((time + offset) * out.scale + i * step) / 1_000_000)
+            out.packets.append((track, len(out.clusters), ms, start, n, bool(flags & 0x80) if key is None else key))
 
 
 def encoded(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -233,9 +257,9 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
                 try:
                     found.append([dict(zip(names, p, strict=True)) for p in read(data or b"").packets])
                     errors.append(None)
-                except (ValueError, KeyError, IndexError) as e:
+                except (ValueError, KeyError, IndexError, struct.error) as e:
                     found.append([])
-                    errors.append(str(e))
+                    errors.append(f"{type(e).__name__}: {e}")
             kind = pa.list_(pa.struct([("track", pa.int32()), ("cluster", pa.int32()), ("timestamp_ms", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(errors, pa.string())], names=[*batch.schema.names, "packets", "error"])
 
@@ -256,7 +280,11 @@ def digest(raw: bytes) -> tuple:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text): sizes and digests of what is read back from the stored file."""
+    """One row per document (doc_id, text): sizes and digests of what is read back from the stored file.
+
+    Null and empty texts are one frame of spaces; a null doc_id stays null; repeated rows give a row each; an
+    empty table gives none. Other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

@@ -371,7 +371,7 @@ def test_media_round_trip(n):
     found = media.read(stored)
     payload = b"".join(stored[at : at + size] for *_, at, size, _ in [(p[0], p[3], p[4], p[5]) for p in found.packets])
     assert payload == media.padded(raw) and len(payload) % 192 == 0 and payload
-    assert found.doc_type == "matroska" and found.tracks[1] == {"type": 2, "codec": "A_PCM/INT/LIT", "depth": 8}
+    assert found.doc_type == "matroska" and found.tracks[1] == {"type": 2, "codec": "A_PCM/INT/LIT", "depth": 8, "frame_ns": 24_000_000}
     assert [p[2] for p in found.packets] == [24 * i for i in range(len(found.packets))]
     assert [c[2] for c in found.cues] == found.clusters
 
@@ -387,6 +387,51 @@ def test_media_laces(lacing):
     assert [(p[0], p[2]) for p in found.packets] == [(2, 1005 + 10 * i) for i in range(len(frames))]
 
 
+UNKNOWN = b"\x01" + b"\xff" * 7
+HEAD = media.element(media.EBML, media.element(media.DOC_TYPE, b"webm"))
+
+
+def open_element(ident, body):
+    return ident.to_bytes(4, "big") + UNKNOWN + body
+
+
+def simple(time, frame, flags=0x80):
+    return media.element(media.SIMPLE_BLOCK, b"\x81" + time.to_bytes(2, "big") + bytes([flags]) + frame)
+
+
+def test_media_clusters_of_unknown_size():
+    cues = media.element(media.CUES, media.element(media.CUE_POINT, media.number(media.CUE_TIME, 0) + media.element(media.CUE_POSITIONS, media.number(media.CUE_TRACK, 1) + media.number(media.CUE_CLUSTER, 0))))
+    live = b"".join(open_element(media.CLUSTER, media.number(media.CLUSTER_TIME, 100 * k) + simple(1, b"a%d" % k) + simple(2, b"b%d" % k, 0)) for k in range(3))
+    for segment in (open_element(media.SEGMENT, live + cues), media.element(media.SEGMENT, live + cues), open_element(media.SEGMENT, live) + open_element(media.SEGMENT, live)):
+        data = HEAD + segment
+        found = media.read(data)
+        times = len(found.packets) // 6
+        assert [(p[1], p[2], data[p[3] : p[3] + p[4]], p[5]) for p in found.packets] == [(3 * s + k, 100 * k + 1 + j, b"%s%d" % (b"ab"[j : j + 1], k), j == 0) for s in range(times) for k in range(3) for j in range(2)]
+        assert len(found.clusters) == 3 * times and len(found.cues) == (times == 1)
+
+
+def test_media_durations_and_key_frames():
+    def track(n, *more):
+        return media.element(media.TRACK, media.number(media.TRACK_NUMBER, n) + media.number(media.TRACK_TYPE, 2) + media.element(media.CODEC, b"x") + b"".join(more))
+
+    tracks = media.element(media.TRACKS, track(1, media.number(media.DEFAULT_DURATION, 20_000_000)) + track(2))
+    block = lambda n: bytes([0x80 | n]) + (0).to_bytes(2, "big") + bytes([media.FIXED_LACING << 1]) + media.lace([b"x", b"y"], media.FIXED_LACING)
+    body = media.number(media.CLUSTER_TIME, 50) + media.element(media.SIMPLE_BLOCK, block(1)) + media.element(media.SIMPLE_BLOCK, block(2))
+    body += media.element(media.BLOCK_GROUP, media.element(media.BLOCK, block(1)))
+    body += media.element(media.BLOCK_GROUP, media.element(media.BLOCK, block(2)) + media.number(media.BLOCK_DURATION, 8) + media.element(media.REFERENCE_BLOCK, b"\xff"))
+    found = media.read(HEAD + media.element(media.SEGMENT, tracks + media.element(media.CLUSTER, body)))
+    assert [(p[0], p[2], p[5]) for p in found.packets] == [(1, 50, False), (1, 70, False), (2, 50, False), (2, 50, False), (1, 50, True), (1, 70, True), (2, 50, False), (2, 54, False)]
+
+
+def test_media_damage_is_told(spark):
+    bad_duration = media.element(media.INFO, media.element(media.DURATION, b"abc"))
+    short_block = media.element(media.CLUSTER, media.element(media.SIMPLE_BLOCK, b"\x81\x00"))
+    whole = media.write(media.padded(b"x" * 1000))
+    rows = [(1, HEAD + media.element(media.SEGMENT, bad_duration)), (2, HEAD + media.element(media.SEGMENT, short_block)), (3, None), (4, b""), (5, whole[: len(whole) // 2]), (6, whole)]
+    got = {r.id: (r.error is not None, len(r.packets)) for r in media.packets(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (True, 0), 4: (True, 0), 5: (True, 0), 6: (False, 6)}
+
+
 def test_media_tables(docs, empty):
     rows = {r.doc_id: r for r in media.digests(docs).collect() if r.doc_id not in (None, 5)}
     for r in docs.where("doc_id != 5").collect():
