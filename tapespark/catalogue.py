@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import books, composed, evaluation, events, execution, ingest, labels, live, rolling
+from .plans import books, composed, evaluation, events, execution, ingest, labels, live, rolling, venues
 
-MODULES = [rolling, events, books, labels, evaluation, execution, ingest, live, composed]
+MODULES = [rolling, events, books, labels, evaluation, execution, ingest, venues, live, composed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -141,18 +142,27 @@ def ensemble(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("members"))
 
 
-def nth_largest(rows: DataFrame, value: str, n: int) -> float | None:
-    """The n-th largest value, or the least if there are fewer."""
+def nth_largest(rows: DataFrame, value: str, n: int) -> DataFrame:
+    """The n-th largest value as threshold, or the least if there are fewer. One row."""
     top = rows.select(value).where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(n)
-    return top.agg(F.min(value)).first()[0]
+    return top.agg(F.min(value).cast("double").alias("threshold"))
 
 
-def day_bootstrap(rows: DataFrame, day: str, value: str, draws: int = 2000, seed: int = 7) -> tuple[float, float, float]:
-    """Mean of the daily means and a 95 % interval by drawing whole days; one row per day goes to the driver."""
-    means = np.array(sorted(r[0] for r in rows.groupBy(day).agg(F.avg(value).alias("m")).select("m").collect()))
-    rng = np.random.default_rng(seed)
-    drawn = means[rng.integers(0, len(means), (draws, len(means)))].mean(axis=1)
-    return float(means.mean()), *(float(x) for x in np.quantile(drawn, [0.025, 0.975]))
+def block_bootstrap(rows: DataFrame, block: str, value: str, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """mean of the blocks' (days, weeks) means, and low and high, a 95 % interval by drawing whole blocks. One row.
+
+    The place of draw d's k-th block is a hash of (seed, d, k), so that a rerun draws the same. There is one
+    row per block, and draws times as many are drawn.
+    """
+    means = rows.groupBy(block).agg(F.avg(value).alias("_m"))
+    place = F.row_number().over(Window.orderBy(block)) - 1  # one row per block
+    means = means.select("_m", place.cast("long").alias("_i"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("_n"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_d", "_k")), 1, 8), 16, 10).cast("long")
+    drawn = means.agg(F.max("_n").alias("_n")).select("_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("_d", F.pmod(hashed, F.col("_n")).alias("_i"))
+    of_draw = drawn.join(F.broadcast(means.select("_m", "_i")), "_i").groupBy("_d").agg(F.avg("_m").alias("_m"))  # one row per block
+    interval = of_draw.agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
+    return means.agg(F.avg("_m").alias("mean")).crossJoin(interval)  # one row each
 
 
 def cosine_knn(queries: DataFrame, references: DataFrame, k: int, vector: str = "embedding", block: int = 2048) -> DataFrame:
@@ -208,10 +218,23 @@ def reverse_sum(x: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     return F.sum(x).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
 
 
-def discounted(rows: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], gamma: float, name: str = "returns") -> DataFrame:
-    """x_t + gamma x_{t+1} + ... within the key, folded from the end of its ordered values."""
-    every = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn(name, F.aggregate(F.reverse(F.collect_list(F.col(x).cast("double")).over(every)), F.lit(0.0), lambda s, v: s * gamma + v))
+def discounted(rows: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], gamma: float, name: str = "returns", chunk: int = 256) -> DataFrame:
+    """x_t + gamma x_{t+1} + ... within the key, for gamma below 1 (reverse_sum is the form without discount).
+
+    The ordered rows of a key are cut into chunks. A row folds what follows it in its chunk, and adds what the
+    next chunks hold, discounted to the chunk's end; chunks beyond those whose weight is under 2^-64 add
+    nothing that a double could show. So a row costs at most a chunk, whatever the length of its key.
+    """
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("_c", F.floor(F.col("_n") / chunk))
+    fold = lambda a, g: F.aggregate(F.reverse(a), F.lit(0.0), lambda s, v: s * g + v)
+    inside = Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"_own": fold(F.collect_list(F.col(x).cast("double")).over(inside), gamma), "_left": F.count(F.lit(1)).over(inside)})
+    reach = max(1, math.ceil(64 * math.log(2) / (-math.log(gamma) * chunk))) if gamma > 0 else 1
+    heads = rows.where(F.col("_n") == F.col("_c") * chunk).select(*keys, "_c", F.col("_own").alias("_head"))
+    after = Window.partitionBy(*keys).orderBy("_c").rowsBetween(1, reach)
+    heads = heads.select(*keys, "_c", fold(F.collect_list("_head").over(after), gamma**chunk).alias("_next"))  # one row per chunk
+    out = rows.join(heads, [*keys, "_c"]).withColumn(name, F.col("_own") + F.pow(F.lit(float(gamma)), F.col("_left")) * F.col("_next"))
+    return out.drop("_n", "_c", "_own", "_left", "_next")
 
 
 def temperature(rows: DataFrame, logit: str, label: str, grid: Sequence[float]) -> DataFrame:

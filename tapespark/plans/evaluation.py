@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import metrics as M
-from .base import BARS, HOUR, QUOTE, SEG, TICK, Plans, bars, quotes, r6, table, ticks
+from .base import BARS, HOUR, QUOTE, SEG, TICK, Plans, bars, cents, quotes, r6, table, ticks
 
 P = Plans()
 QUERIES, SQL = P.QUERIES, P.SQL
@@ -91,26 +91,29 @@ def curve_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return M.curve_metrics(rows, [("l_discount", "p")], 0.45).select("curve", *[r6(F.col(c), c) for c in ("mae", "corr", "precision", "recall")])
 
 
-@P.add("""WITH ref AS (SELECT o_totalprice AS s FROM orders WHERE o_orderkey % 3 = 0), q AS (SELECT o_orderkey, o_totalprice AS s FROM orders WHERE o_orderkey % 3 = 1), n AS (SELECT count(*) AS n FROM ref),
+@P.add("""WITH ref AS (SELECT l_extendedprice AS s FROM lineitem), q AS (SELECT o_orderkey, o_totalprice AS s FROM orders), n AS (SELECT count(*) AS n FROM ref),
 b AS (SELECT s, o_orderkey FROM q UNION ALL SELECT s, NULL FROM ref), c AS (SELECT *, count(CASE WHEN o_orderkey IS NULL THEN 1 END) OVER (ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM b)
 SELECT o_orderkey, round(k / n, 8) AS share FROM c, n WHERE o_orderkey IS NOT NULL""")
 def percentile_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of all lines' prices that is at most an order's."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("s"))
-    third = F.pmod("o_orderkey", F.lit(3))
-    return M.percentile_scores(o.where(third == 1), o.where(third == 0), "s", "o_orderkey").select("o_orderkey", r6(F.col("share"), "share", 8))
+    lines = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("s"))
+    return M.percentile_scores(o, lines, "s", "o_orderkey").select("o_orderkey", r6(F.col("share"), "share", 8))
 
 
-@P.add("""WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderpriority LIKE '1%' GROUP BY 1)
+@P.add("""WITH c AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1)
 SELECT label, n, round(least(sqrt(max(n) OVER () / n), 8), 6) AS root_weight, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS inverse_weight FROM c""")
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where((F.pmod("o_orderkey", F.lit(5)) != 0) | F.col("o_orderpriority").startswith("1")).select(F.col("o_orderpriority").alias("label"))
-    return M.class_weights(o, "label").select("label", "n", r6(F.col("root_weight"), "root_weight"), r6(F.col("inverse_weight"), "inverse_weight"))
+    return M.class_weights(table(spark, sf, "events").select(F.col("event_type").alias("label")), "label").select("label", "n", r6(F.col("root_weight"), "root_weight"), r6(F.col("inverse_weight"), "inverse_weight"))
 
 
-@P.add("SELECT l_orderkey, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount) + 1e-9, 6) AS std, count(l_discount) AS members FROM lineitem GROUP BY l_orderkey")
+@P.add("""WITH d AS (SELECT l_orderkey, CAST(round_even(l_discount * 100, 0) AS BIGINT) AS d FROM lineitem), s AS (SELECT l_orderkey, CAST(sum(d) AS BIGINT) AS total, CAST(sum(d * d) AS BIGINT) AS squares, count(d) AS members FROM d GROUP BY l_orderkey)
+SELECT l_orderkey, total, members, members * squares - total * total AS spread FROM s""")
 def ensemble_disagreement(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.ensemble(table(spark, sf, "lineitem"), ["l_orderkey"], "l_discount")
-    return out.select("l_orderkey", r6(F.col("mean"), "mean"), r6(F.col("std") + 1e-9, "std"), "members")
+    """Mean and deviation of the members in whole hundredths: members times the mean, and members squared times the variance, are whole numbers."""
+    out = M.ensemble(table(spark, sf, "lineitem").select("l_orderkey", cents(F.col("l_discount")).alias("d")), ["l_orderkey"], "d")
+    n = F.col("members")
+    return out.select("l_orderkey", F.rint(F.col("mean") * n).cast("long").alias("total"), n, F.rint(F.col("std") * F.col("std") * n * n).cast("long").alias("spread"))
 
 
 def vectors(spark: SparkSession, sf: str, odd: bool) -> DataFrame:
@@ -141,10 +144,12 @@ def reverse_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("series", "seq", M.reverse_sum(F.col("px"), ["series", "day"], ["ts", "seq"]).alias("suffix"))
 
 
-@P.add()
+@P.add(f"""WITH {TICK}, l AS (SELECT series, seq, list(CAST(px AS DOUBLE)) OVER (PARTITION BY series, ts // {24 * HOUR} ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM tick)
+SELECT series, seq, round(list_reduce(list_reverse(x), lambda a, b: a * 0.96875 + b), 3) AS returns FROM l""")
 def discounted_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns to the end of the day; the factor is a binary fraction, so that short sums are exact and round alike everywhere."""
     rows = ticks(spark, sf).withColumn("day", F.floor(F.col("ts") / (24 * HOUR)))
-    return M.discounted(rows, "px", ["series", "day"], ["ts", "seq"], 0.97).select("series", "seq", "returns")
+    return M.discounted(rows, "px", ["series", "day"], ["ts", "seq"], 0.96875, chunk=32).select("series", "seq", r6(F.col("returns"), "returns", 3))
 
 
 GRID = (0.5, 1.0, 2.0, 4.0)
@@ -160,16 +165,28 @@ def temperature_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @P.add("SELECT CAST(min(v) AS DOUBLE) AS threshold FROM (SELECT l_extendedprice AS v FROM lineitem ORDER BY v DESC LIMIT 250)")
 def nth_largest(spark: SparkSession, sf: str) -> DataFrame:
-    value = M.nth_largest(table(spark, sf, "lineitem"), "l_extendedprice", 250)
-    return spark.range(1).select(F.lit(value).cast("double").alias("threshold"))
+    return M.nth_largest(table(spark, sf, "lineitem"), "l_extendedprice", 250)
 
 
-@P.add()
+def boot_sql(block: str) -> str:
+    return f"""WITH m AS (SELECT {block} AS block, avg(value) AS m FROM events GROUP BY 1), o AS (SELECT m, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM m),
+d AS (SELECT draw, (('0x' || substr(md5(concat('7:', draw, ':', k)), 1, 8))::BIGINT) % n AS i FROM (SELECT unnest(range(400)) AS draw), (SELECT DISTINCT n FROM o), LATERAL (SELECT unnest(range(n)) AS k)),
+w AS (SELECT draw, avg(m) AS mean FROM d JOIN o USING (i) GROUP BY draw)
+SELECT (SELECT round(avg(m), 6) FROM m) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM w"""
+
+
+@P.add(boot_sql("CAST(ts AS DATE)"))
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Interval of the mean by drawing whole days."""
     rows = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    mean, low, high = M.day_bootstrap(rows, "day", "value")
-    return spark.range(1).select(F.lit(mean).alias("mean"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    return M.block_bootstrap(rows, "day", "value", 400).select(*[r6(F.col(c), c) for c in ("mean", "low", "high")])
+
+
+@P.add(boot_sql("date_trunc('week', ts)"))
+def weekly_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with whole weeks."""
+    rows = table(spark, sf, "events").withColumn("week", F.date_trunc("week", F.col("ts").cast("timestamp")))
+    return M.block_bootstrap(rows, "week", "value", 400).select(*[r6(F.col(c), c) for c in ("mean", "low", "high")])
 
 
 @P.add("""SELECT DISTINCT event_type, CASE lower(event_type) WHEN 'click' THEN 'x' ELSE 'y' END AS k, 'bid' AS a, '' AS b, 'ask' AS c, 'book' AS d, 'l3' AS e, 'liquidation' AS f, 'binance_perpetual' AS g, 'kraken_spot' AS h, 'okx' AS i, 'BTC-USDT-SWAP' AS j, 'books' AS l, CAST(NULL AS VARCHAR) AS m FROM events""")

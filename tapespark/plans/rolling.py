@@ -124,13 +124,13 @@ def asof_grid(spark: SparkSession, sf: str) -> DataFrame:
 LATENCIES = (100_000, 250_000, 500_000)
 
 
-@P.add(f"""WITH {QUOTE}, signals AS (SELECT series, seq, ts, ts + l AS due, l AS latency FROM quote, (SELECT unnest([{', '.join(map(str, LATENCIES))}]::BIGINT[]) AS l) WHERE seq % 7 = 0)
+@P.add(f"""WITH {QUOTE}, signals AS (SELECT series, seq, ts, ts + l AS due, l AS latency FROM quote, (SELECT unnest([{', '.join(map(str, LATENCIES))}]::BIGINT[]) AS l))
 SELECT s.series, s.seq, s.latency, q.bid, q.ask, coalesce(s.due - q.ts <= {4 * HOUR} AND q.bid > 0 AND q.bid <= q.ask AND q.k >= 10, false) AS valid
 FROM signals s ASOF LEFT JOIN quote q ON s.series = q.series AND s.due >= q.ts""")
 def latency_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes that signals meet after each latency, valid if fresh, sound and large enough."""
     q = quotes(spark, sf)
-    grid = q.where(F.pmod("seq", F.lit(7)) == 0).select("series", "seq", F.explode(F.array(*[F.lit(x).cast("long") for x in LATENCIES])).alias("latency"), "ts")
+    grid = q.select("series", "seq", F.explode(F.array(*[F.lit(x).cast("long") for x in LATENCIES])).alias("latency"), "ts")
     grid = grid.withColumn("due", F.col("ts") + F.col("latency"))
     out = T.asof_last(grid, q.withColumnRenamed("seq", "n"), ["series"], ["bid", "ask", "k"], at="due", order=["n"], bucket_width=DAY)
     ok = (F.col("due") - F.col("asof_ts") <= 4 * HOUR) & S.quote_valid(F.col("bid").cast("double"), F.col("ask").cast("double")) & (F.col("k") >= 10)
