@@ -15,7 +15,7 @@ from ..sources import files
 from .base import BARS, DAY, HOUR, QUOTE, SECOND, SEG, TICK, Plans, averaged, averaged_sql, bars, quotes, r6, table, ticks
 from .events import FILLS, FOUND, fills, found_events, sided, sided_sql
 from .execution import DECODED, acted
-from .labels import LINES, RUN, placed, quoted, run_rows
+from .labels import LINES, PEAK_RUN, RUN, RUNS, peaks_sql, placed, quoted, run_rows
 
 P = Plans()
 QUERIES, SQL = P.QUERIES, P.SQL
@@ -171,11 +171,19 @@ def example_table(spark: SparkSession, sf: str) -> DataFrame:
     return R.examples(flat, none, SEG, "place", 4, 3, 2, 0, 4, 3)
 
 
-@P.add()
+SOFT = C.gaussian(1.0, 1.0, 2.0)
+
+
+@P.add(f"""WITH RECURSIVE {RUNS}, o AS (SELECT unnest(range(-2, 3)) AS i, unnest([{', '.join(map(repr, SOFT))}]::DOUBLE[]) AS w),
+sm AS (SELECT a.series, a.segment_id, a.run, a.bar, a.p, a.n, sum(b.x * w) AS m FROM rr a CROSS JOIN o JOIN rr b ON b.series = a.series AND b.segment_id = a.segment_id AND b.run = a.run AND b.p = least(greatest(a.p + i, 1), a.n) GROUP BY ALL),
+{peaks_sql('sm', 'm', 250.0, 4)},
+zone AS (SELECT *, coalesce(max(CASE WHEN q < p AND v <= 25 THEN q END) OVER w + 1, lo) AS za, coalesce(min(CASE WHEN q > p AND v <= 25 THEN q END) OVER w, hi) AS zz FROM halves WINDOW w AS (PARTITION BY {PEAK_RUN}, p)),
+val AS (SELECT {PEAK_RUN}, t, CASE WHEN q - p BETWEEN -6 AND 3 THEN (0.2 + 0.8 * least(greatest((top - 250) / 150, 0), 1)) * pow(least(greatest(v / top, 0), 1), 2) * CASE WHEN q <= p THEN exp((q - p) / 2.0) ELSE exp(-(q - p) / 1.0) END ELSE 0 END AS soft FROM zone WHERE q >= za AND q < zz)
+SELECT s.series, s.segment_id, CAST(s.run AS BIGINT) AS run, s.bar, round(coalesce(max(soft), 0), 6) AS target FROM sm s LEFT JOIN val z ON z.series = s.series AND z.segment_id = s.segment_id AND z.run = s.run AND z.t = s.bar GROUP BY s.series, s.segment_id, s.run, s.bar""")
 def soft_peak_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Soft targets around separated peaks of the smoothed series."""
-    rows = C.smoothed(run_rows(spark, sf), "x", RUN, ["bar"], C.gaussian(1.0, 1.0, 2.0), "m")
-    return R.soft_peaks(rows, "m", RUN, "bar", 1.0, 12.0, 250.0, 400.0)
+    rows = C.smoothed(run_rows(spark, sf), "x", RUN, ["bar"], SOFT, "m")
+    return R.soft_peaks(rows, "m", RUN, "bar", 1.0, 12.0, 250.0, 400.0).withColumn("target", F.round("target", 6))
 
 
 @P.add(f"""WITH {BARS} SELECT series, bar, round(CASE WHEN close >= 25000 THEN 0.2 + 0.8 * least(greatest((close - 25000) / 15000.0::DOUBLE, 0), 1) ELSE 0 END, 6) AS target, round(ln(1 + greatest(close, 0)), 6) AS auxiliary FROM bars""")

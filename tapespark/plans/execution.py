@@ -32,7 +32,10 @@ def decode_actions(spark: SparkSession, sf: str) -> DataFrame:
     return L.decode(hazards(spark, sf), SEG, "bar", 0.6)
 
 
-@P.add()
+LIKELIEST = DECODED.replace("d.position = 0 AND greatest(z.h0, z.h1) >= 0.6", "d.position = 0 AND z.h0 + z.h1 > 0 AND greatest(z.h0, z.h1) * (1 - exp(-(z.h0 + z.h1))) / nullif(z.h0 + z.h1, 0) > exp(-(z.h0 + z.h1))").replace("z.h2 >= 0.6", "z.h2 > ln(2)").replace("z.h3 >= 0.6", "z.h3 > ln(2)")
+
+
+@P.add(f"WITH RECURSIVE {LIKELIEST} SELECT series, segment_id, bar, CAST(action AS INTEGER) AS action, CAST(position AS INTEGER) AS position FROM dec WHERE n > 0")
 def decode_likeliest(spark: SparkSession, sf: str) -> DataFrame:
     """The decoder without a threshold: the likeliest event of the hazards."""
     return L.decode(hazards(spark, sf), SEG, "bar")
@@ -60,7 +63,9 @@ def env_equity(spark: SparkSession, sf: str) -> DataFrame:
     return L.equity(acted(spark, sf), SEG, "bar", 3.0, 1.0).select("series", "bar", "cash", "equity", "reward")
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE {DECODED}, a AS (SELECT d.*, b.last_bid AS bid, b.last_ask AS ask, b.observed FROM dec d JOIN bars b USING (series, segment_id, bar) WHERE n > 0),
+s AS (SELECT series, segment_id, sum(CASE WHEN action IN (2, 3) THEN bid - 4 WHEN action IN (1, 4) THEN -(ask + 4) ELSE 0 END) AS cash, arg_max(position, bar) AS position, arg_max(bid, bar) FILTER (observed) AS bid, arg_max(ask, bar) FILTER (observed) AS ask FROM a GROUP BY ALL)
+SELECT series, segment_id, CAST(cash + CASE WHEN position > 0 THEN bid - 4 WHEN position < 0 THEN -(ask + 4) ELSE 0 END AS DOUBLE) AS net FROM s""")
 def env_final(spark: SparkSession, sf: str) -> DataFrame:
     """Net cash of every segment after the forced close."""
     return L.final_cash(acted(spark, sf), SEG, "bar", 3.0, 1.0)
@@ -106,7 +111,7 @@ def vwap_cross_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return L.cross_ledger(averaged_sides(spark, sf), SEG, "bar", 1, 0.6, 1.0, 3.0, 1.0)
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE {CROSSED.replace(">= 1 AS closing", ">= 2 AS closing")} SELECT series, segment_id, x_entry AS entry_at, x_at AS exit_at, x_pos AS side, x_in AS entry_price, x_price AS exit_price, (x_price - x_in) * x_pos - 6 AS net_ticks, x_cnt AS crossings, term AS terminal FROM st WHERE x_at IS NOT NULL""")
 def vwap_cross_second(spark: SparkSession, sf: str) -> DataFrame:
     """The variant that waits for the second crossing."""
     return L.cross_ledger(averaged_sides(spark, sf), SEG, "bar", 2, 0.6, 1.0, 3.0, 1.0)
@@ -145,7 +150,17 @@ def curve_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("series", "bar", L.decide(F.col("position"), (0.6, 0.5, 0.6, 0.5)).alias("action"))
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE {HAZARDS}, lz AS (SELECT series, segment_id, bar, n - 1 AS i, count(*) OVER (PARTITION BY series, segment_id) AS n, first_bid, first_ask, lead(first_bid) OVER w AS nb, lead(first_ask) OVER w AS na, observed, CASE WHEN h0 > 0.6 THEN 1 WHEN h1 > 0.6 THEN -1 ELSE 0 END AS want FROM hz WINDOW w AS (PARTITION BY series, segment_id ORDER BY bar)),
+ls(series, segment_id, i, side, cash, swaps, seen, run, delay) AS (
+  SELECT series, segment_id, i, 1, CAST(-(na + 4) AS DOUBLE), 0, 0, 0, -1 FROM lz WHERE i = 0 AND n >= 3
+  UNION ALL
+  SELECT z.series, z.segment_id, z.i, CASE WHEN q.turn THEN z.want ELSE s.side END, s.cash + CASE WHEN q.turn THEN 2 * CASE WHEN s.side > 0 THEN z.nb - 4 ELSE -(z.na + 4) END ELSE 0 END, s.swaps + CASE WHEN q.turn THEN 1 ELSE 0 END,
+    CASE WHEN q.turn OR NOT q.other THEN 0 ELSE z.want END, CASE WHEN q.turn OR NOT q.other THEN 0 ELSE q.r END, CASE WHEN q.turn AND s.delay < 0 THEN CAST(z.i AS INTEGER) ELSE s.delay END
+  FROM ls s JOIN lz z ON z.series = s.series AND z.segment_id = s.segment_id AND z.i = s.i + 1 AND z.i <= z.n - 3,
+  LATERAL (SELECT *, other AND r >= 2 AND s.swaps < 3 AS turn FROM (SELECT z.observed AND z.want <> 0 AND z.want <> s.side AS other, CASE WHEN z.want = s.seen THEN s.run + 1 ELSE 1 END AS r)) q),
+fin AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY series, segment_id ORDER BY i DESC) = 1)
+SELECT f.series, f.segment_id, a.bar AS entry_at, 1 AS initial_side, CAST(f.side AS INTEGER) AS final_side, CAST(f.swaps AS INTEGER) AS swaps, CAST(f.delay AS INTEGER) AS first_delay, f.cash + CASE WHEN f.side > 0 THEN z.first_bid - 4 ELSE -(z.first_ask + 4) END AS pnl
+FROM fin f JOIN lz a ON a.series = f.series AND a.segment_id = f.segment_id AND a.i = 0 JOIN lz z ON z.series = f.series AND z.segment_id = f.segment_id AND z.i = z.n - 1""")
 def live_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Positions that turn on confirmed evidence, each segment taken as one event."""
     rows = hazards(spark, sf).withColumns({"desired": F.when(F.col("h0") > 0.6, 1).when(F.col("h1") > 0.6, -1).otherwise(0), "usable": F.col("observed"), "side": F.lit(1)})
@@ -174,7 +189,11 @@ def scaled_horizons(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("series", "bar", "dominant", r6(F.col("dominant_score"), "dominant_score"))
 
 
-@P.add()
+@P.add(f"""WITH {BARS}, p AS (SELECT series, segment_id, bar // {HOUR} AS place, close, observed FROM bars), e AS (SELECT series, segment_id, arg_min(place, (close, place)) AS entry FROM p WHERE observed GROUP BY ALL),
+s AS (SELECT e.series, e.segment_id, e.entry, p.place, p.close AS v, coalesce(p.close >= lag(p.close) OVER w AND p.close > lead(p.close) OVER w, false) AS peak FROM e JOIN p ON p.series = e.series AND p.segment_id = e.segment_id AND p.place > e.entry AND p.place <= e.entry + 12 WINDOW w AS (PARTITION BY e.series, e.segment_id ORDER BY p.place)),
+b AS (SELECT series, segment_id, v AS top, place AS best FROM s QUALIFY row_number() OVER (PARTITION BY series, segment_id ORDER BY peak DESC, v DESC, place) = 1)
+SELECT s.series, s.segment_id, s.entry AS place, coalesce(max(CASE WHEN v < top * 0.75 AND s.place < best THEN s.place END) + 1, min(s.place)) AS close_start, coalesce(min(CASE WHEN v < top * 0.75 AND s.place > best THEN s.place END), max(s.place) + 1) AS close_end, best AS close_peak, top AS close_score
+FROM s JOIN b USING (series, segment_id) WHERE top > 0 GROUP BY s.series, s.segment_id, s.entry, best, top""")
 def oracle_episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Entries where the close is highest in its segment, with the zone in which the open peaks afterwards."""
     rows = bars(spark, sf).withColumn("place", (F.col("bar") / HOUR).cast("long"))

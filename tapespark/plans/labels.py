@@ -223,10 +223,28 @@ def peak_zones(spark: SparkSession, sf: str) -> DataFrame:
     return C.peak_zones(run_rows(spark, sf), "x", RUN, "bar", 300.0, 100.0, 0.75).withColumn("run", F.col("run").cast("decimal(38,0)"))
 
 
-@P.add()
+PEAK_RUN = "series, segment_id, run"
+
+
+def peaks_sql(rows: str, x: str, high: float, apart: int) -> str:
+    """chosen: greedy suppression as a recursion over the candidates of a run, the best first; halves: the rows that belong to each."""
+    same = lambda a, b: f"{a}.series = {b}.series AND {a}.segment_id = {b}.segment_id AND {a}.run = {b}.run"
+    return f"""cand AS (SELECT *, row_number() OVER (PARTITION BY {PEAK_RUN} ORDER BY {x} DESC, p) AS o FROM (SELECT *, lag({x}) OVER w AS before, lead({x}) OVER w AS after FROM {rows} WINDOW w AS (PARTITION BY {PEAK_RUN} ORDER BY bar)) WHERE {x} >= {high} AND {x} >= before AND {x} > after),
+taken({PEAK_RUN}, o, found) AS (
+  SELECT DISTINCT {PEAK_RUN}, 0::BIGINT, []::BIGINT[] FROM cand
+  UNION ALL SELECT c.series, c.segment_id, c.run, c.o, CASE WHEN len(list_filter(t.found, lambda f: abs(f - c.p) <= {apart})) = 0 THEN list_append(t.found, c.p) ELSE t.found END FROM taken t JOIN cand c ON {same('c', 't')} AND c.o = t.o + 1),
+last AS (SELECT {PEAK_RUN}, found FROM taken QUALIFY row_number() OVER (PARTITION BY {PEAK_RUN} ORDER BY o DESC) = 1),
+chosen AS (SELECT *, coalesce((lag(p) OVER w + p - 2) // 2 + 2, 1) AS lo, coalesce((p + lead(p) OVER w - 2) // 2 + 2, n + 1) AS hi FROM (SELECT l.series, l.segment_id, l.run, r.p, r.n, r.bar, r.{x} AS top FROM last l JOIN {rows} r ON {same('r', 'l')} AND list_contains(l.found, r.p)) WINDOW w AS (PARTITION BY {PEAK_RUN} ORDER BY p)),
+halves AS (SELECT c.*, r.p AS q, r.bar AS t, r.{x} AS v FROM chosen c JOIN {rows} r ON {same('r', 'c')} AND r.p >= c.lo AND r.p < c.hi)"""
+
+
+@P.add(f"""WITH RECURSIVE {RUNS}, {peaks_sql('rr', 'x', 100.0, 3)},
+zone AS (SELECT *, coalesce(max(CASE WHEN q < p AND v <= 20 THEN q END) OVER w + 1, lo) AS za, coalesce(min(CASE WHEN q > p AND v <= 20 THEN q END) OVER w, hi) AS zz FROM halves WINDOW w AS (PARTITION BY {PEAK_RUN}, p)),
+core AS (SELECT *, coalesce(max(CASE WHEN q < p AND v < top * 0.75 THEN q END) OVER w + 1, za) AS ca, coalesce(min(CASE WHEN q > p AND v < top * 0.75 THEN q END) OVER w, zz) AS cz FROM zone WHERE q >= za AND q < zz WINDOW w AS (PARTITION BY {PEAK_RUN}, p))
+SELECT series, segment_id, CAST(run AS BIGINT) AS run, bar AS peak, max(CASE WHEN q = za THEN t END) AS start, max(CASE WHEN q = zz - 1 THEN t END) AS "end", max(CASE WHEN q = ca THEN t END) AS core_start, max(CASE WHEN q = cz - 1 THEN t END) AS core_end, top AS score FROM core GROUP BY {PEAK_RUN}, p, bar, top""")
 def nms_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks by greedy suppression, with zones that end halfway to the next."""
-    return C.separated_peaks(run_rows(spark, sf), "x", RUN, "bar", 100.0, 20.0, 0.75, 1)
+    return C.separated_peaks(run_rows(spark, sf), "x", RUN, "bar", 100.0, 20.0, 0.75, 3)
 
 
 def sampled(spark: SparkSession, sf: str) -> DataFrame:
