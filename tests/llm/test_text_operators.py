@@ -576,51 +576,6 @@ def test_language_reads_whole_pages_texts_and_languages(spark):
     assert model.logs[slot, 0] > model.logs[:, 0].min()
 
 
-# decontamination
-
-
-def test_decontamination_matches_brute_force(spark):
-    rng = np.random.default_rng(6)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
-    items = [(i, " ".join(word() for _ in range(rng.integers(15, 60))) + ". " + " ".join(word() for _ in range(5)) + ".") for i in range(40)] + [(100, None), (101, "a b"), (None, "nothing to find here at all")]
-    filler = [word() for _ in range(400)]
-    docs, want = [], {}
-    for d in range(200):
-        w = list(rng.choice(filler, rng.integers(0, 300)))
-        if d % 5 == 0:
-            i = int(rng.integers(0, 40))
-            p = items[i][1].upper().split()
-            if d % 10 == 0:  # a paraphrase: some words fall out
-                p = [x for k, x in enumerate(p) if k % 9 != 4]
-            k = int(rng.integers(0, len(w) + 1))
-            w[k:k] = p
-            want[d] = [i]
-        docs.append((d, " ".join(w), "x"))
-    docs += [(900, None, "x"), (901, "", "x")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, share string").repartition(3)
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    for n in (20_000, 10):
-        got = {r.doc_id: r.item_ids for r in decontamination.decontaminate(frame, bench, items=n).collect()}
-        assert {d: x for d, x in got.items() if x} == want and len(got) == 202
-    assert decontamination.decontaminate(frame, bench.limit(0)).where("size(item_ids) > 0").count() == 0
-
-
-def test_decontamination_finds_an_item_in_a_third_of_all_documents(spark):
-    rng = np.random.default_rng(16)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
-    items = [(i, " ".join(word() for _ in range(30))) for i in range(12)]
-    docs = [(d, " ".join([word() for _ in range(60)] + ([items[7][1]] if d % 3 == 0 else []) + [word() for _ in range(60)])) for d in range(300)]
-    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r.doc_id: r.item_ids for r in out.collect()} == {d: [7] if d % 3 == 0 else [] for d in range(300)}
-
-
-def test_decontamination_finds_long_and_short_items(spark):
-    rng = np.random.default_rng(17)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
-    items = [(0, " ".join(word() for _ in range(1200))), (1, "Kuala Zyx!"), (2, "東京は日本の首都です"), (3, " ".join(word() for _ in range(30)))]
-    fill = lambda n: " ".join(word() for _ in range(n))
-    docs = [(0, f"{fill(70)} {items[0][1]} {fill(200)}"), (1, "to kuala zyx"), (2, "昨日、東京は日本の首都です。と言った"), (3, f"{fill(40)} {items[3][1]}"), (4, "kuala and zyx"), (5, fill(900)), (6, " ".join(items[0][1].split()[:500]))]
-    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
 def test_language_chunks_change_nothing():
     text = "Der Fluß, die Häuser; 12 und? " * 50
     whole = np.concatenate(list(langid.codes(text)))
@@ -670,9 +625,113 @@ def test_language_matches_brute_force(spark, docs):
         assert got[i][0] == language and got[i][1] == pytest.approx(p, abs=1e-9)
 
 
+# decontamination
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.integers(15, 60))) + ". " + " ".join(word() for _ in range(5)) + ".") for i in range(40)] + [(100, None), (101, "a b"), (None, "nothing to find here at all")]
+    filler = [word() for _ in range(400)]
+    docs, want = [], {}
+    for d in range(200):
+        w = list(rng.choice(filler, rng.integers(0, 300)))
+        if d % 5 == 0:
+            i = int(rng.integers(0, 40))
+            p = items[i][1].upper().split()
+            if d % 10 == 0:  # a paraphrase: some words fall out
+                p = [x for k, x in enumerate(p) if k % 9 != 4]
+            k = int(rng.integers(0, len(w) + 1))
+            w[k:k] = p
+            want[d] = [i]
+        docs.append((d, " ".join(w), "x"))
+    docs += [(900, None, "x"), (901, "", "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, share string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for n in (20_000, 10):
+        got = {r.doc_id: r.item_ids for r in decontamination.decontaminate(frame, bench, items=n).collect()}
+        assert {d: x for d, x in got.items() if x} == want and len(got) == 202
+    assert decontamination.decontaminate(frame, bench.limit(0)).where("size(item_ids) > 0").count() == 0
+
+
+def test_decontamination_finds_an_item_in_a_third_of_all_documents(spark):
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(12)]
+    docs = [(d, " ".join([word() for _ in range(60)] + ([items[7][1]] if d % 3 == 0 else []) + [word() for _ in range(60)])) for d in range(300)]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in out.collect()} == {d: [7] if d % 3 == 0 else [] for d in range(300)}
+
+
+def test_decontamination_finds_a_word_for_word_item_in_many_documents(spark):
+    rng = np.random.default_rng(18)
+    items = [(i, " ".join(random_word(rng) for _ in range(15))) for i in range(5)]
+    docs = [(d, " ".join([random_word(rng) for _ in range(40)] + ([items[2][1]] if d % 10 == 0 else []) + [random_word(rng) for _ in range(40)])) for d in range(200)]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in out.where("size(item_ids) > 0").collect()} == set(range(0, 200, 10))
+
+
+@pytest.mark.parametrize("kind", ["dropped", "substituted", "reordered"])
+def test_decontamination_recalls_paraphrases(spark, monkeypatch, kind):
+    """Against an exhaustive search: every passage of every document is compared with every item."""
+    rng = np.random.default_rng(19)
+    vocab = np.array([random_word(rng)[: 2 + k // 500] + str(k) for k in range(2500)])
+    zipf = 1 / np.arange(1, 2501)
+    draw = lambda n: rng.choice(vocab, n, p=zipf / zipf.sum()).tolist()
+    items = [(i, " ".join(draw(int(rng.integers(20, 60)))) + ". " + " ".join(draw(6)) + ".") for i in range(60)]
+    docs = []
+    for d in range(240):
+        w = items[d % 60][1].replace(".", "").split()
+        share = (0.05, 0.15, 0.25)[d % 3]
+        if kind == "dropped":
+            w = [x for x in w if rng.random() > share]
+        elif kind == "substituted":
+            w = [draw(1)[0] if rng.random() < share else x for x in w]
+        else:
+            for k in range(0, len(w) - 1, 2):
+                if rng.random() < 2 * share:
+                    w[k], w[k + 1] = w[k + 1], w[k]
+        docs.append((d, " ".join(draw(int(rng.integers(0, 120))) + w + draw(int(rng.integers(0, 120))))))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, i) for r in decontamination.decontaminate(frame, bench).collect() for i in r.item_ids}
+    names, spaces, _ = decontamination.index(frame, items)
+    monkeypatch.setattr(decontamination.Space, "near", lambda self, flat: tuple(x.ravel() for x in np.meshgrid(np.arange(len(flat) // decontamination.BLOCK), np.arange(len(self.ids)), indexing="ij")))
+    terms = decontamination.Terms(names)
+    want = {(d, i) for space in spaces for (d, _), found in zip(docs, space.search([terms.numbers(text.encode()) for _, text in docs]), strict=True) for i in found}
+    assert got <= want and len(want) > 150
+    assert len(got) >= 0.95 * len(want)
+
+
+def test_decontamination_of_one_very_long_text(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    items = [(i, " ".join(random_word(rng) for _ in range(40))) for i in range(8)]
+    fill = [random_word(rng) for _ in range(300)]
+    size = decontamination.AT_ONCE * decontamination.BLOCK
+    w = rng.choice(fill + items[6][1].split(), 3 * size).tolist()
+    for i, at in enumerate((0, size - 20, size + 40, 2 * size - 1, 3 * size)):  # items on the edges of what is searched at once
+        w[at:at] = items[i][1].split()
+    out = decontamination.decontaminate(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert out.first().item_ids == [0, 1, 2, 3, 4]
+
+
+def test_decontamination_finds_long_and_short_items(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    items = [(0, " ".join(word() for _ in range(1200))), (1, "Kuala Zyx!"), (2, "東京は日本の首都です"), (3, " ".join(word() for _ in range(30)))]
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs = [(0, f"{fill(70)} {items[0][1]} {fill(200)}"), (1, "to kuala zyx"), (2, "昨日、東京は日本の首都です。と言った"), (3, f"{fill(40)} {items[3][1]}"), (4, "kuala and zyx"), (5, fill(900)), (6, " ".join(items[0][1].split()[:500]))]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: r.item_ids for r in out.collect()} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
 
 
+def test_terms_of_a_column_are_those_of_its_texts():
+    terms = decontamination.Terms([b"a", b"b\xc3\xa9", b"c"])
+    texts = ["a  bé\x0bc\x0c (c) ... D ", "", None, "\x1c a\u0085 \u00a0c c\u2003a", "*** --", "A\tBé."]
+    got = terms.of_column(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == [decontamination.Terms([b"a", b"b\xc3\xa9", b"c"]).numbers((t or "").encode()).tolist() for t in texts]
+    assert terms.of_column(pa.array([], pa.string())) == []
+
+
 def test_common_length():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
