@@ -765,12 +765,83 @@ def test_lm_base_and_normalisation(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_probabilities_add_up():
-    p = scoring.start(np.full(scoring.UNITS, 1 / scoring.UNITS))
-    m = scoring.Model.of(p)
-    every = np.arange(scoring.UNITS)
-    for a, b in ((0, 1), (255, 255), (17, 200)):
-        assert (10 ** m.log10(np.full(scoring.UNITS, a), np.full(scoring.UNITS, b), every)).sum() == pytest.approx(1, abs=1e-4)
+def zipf_docs(n=400, seed=23):
+    """Texts over 3000 words, in which a word tells much about the next one; doc_id, text."""
+    rng = np.random.default_rng(seed)
+    vocab = [random_word(rng)[: 2 + k % 5] + str(k % 97) for k in range(3000)]
+    start = 1 / np.arange(1, 3001)
+    out = []
+    for d in range(n):
+        k, w = int(rng.choice(3000, p=start / start.sum())), []
+        for _ in range(rng.integers(0, 120)):
+            w.append(vocab[k])
+            k = int(rng.choice(3000, p=start / start.sum())) if rng.random() < 0.3 else (7 * k + int(rng.integers(0, 3))) % 3000
+        out.append((d, " ".join(w)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def language_model(spark):
+    rows = zipf_docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2)
+    scoring.FREQUENT, kept = 1500, scoring.FREQUENT  # so that some words are not sent to all tasks
+    try:
+        vocab, model, counts = scoring.trained(learn)
+        scored = scoring.lm_scores(docs).collect()
+    finally:
+        scoring.FREQUENT = kept
+    return rows, vocab, model, {bytes(r.word): r.n for r in counts.collect()}, scored
+
+
+def test_lm_probabilities_add_up(language_model):
+    _, vocab, model, counts, _ = language_model
+    assert scoring.SHORT < len(vocab.words) <= 1500 < vocab.types and vocab.rest_tokens.sum() > 0
+    words = len(vocab.words)
+    for two, one in ((0, 1), (scoring.STOP, scoring.STOP), (17, 200)):
+        total = 0.0
+        unit = np.append(vocab.units, scoring.STOP)  # every frequent word and the end
+        target = np.append(vocab.targets(np.arange(words), vocab.units), -1)
+        total += (10 ** model.log10(np.full(words + 1, two), np.full(words + 1, one), unit, target)).sum()
+        kinds = np.arange(scoring.CLASSES)  # what each class leaves to its other words
+        total += (10 ** model.log10(np.full(len(kinds), two), np.full(len(kinds), one), scoring.SHORT + kinds, words + kinds)).sum()
+        assert total == pytest.approx(1, abs=1e-4)
+    for kind in range(scoring.CLASSES):  # shared among them and one unseen word
+        rest = [n for w, n in counts.items() if w != b"\n" and w not in vocab.places and scoring.class_of(w) == scoring.SHORT + kind]
+        assert sum(rest) == vocab.rest_tokens[kind] and len(rest) == vocab.rest_types[kind]
+        assert sum(n + 1 for n in rest) + 1 == vocab.rest_tokens[kind] + vocab.rest_types[kind] + 1
+
+
+def test_lm_scores_match_plain_sums(language_model):
+    rows, vocab, model, counts, scored = language_model
+    got = {r.doc_id: r for r in scored}
+
+    def log10_softmax(values, at):
+        return (values[at] - max(values) - np.log(sum(np.exp(v - max(values)) for v in values))) / np.log(10)
+
+    for d, text in rows[::9]:
+        before, total = [scoring.STOP, scoring.STOP], 0.0
+        for w in [*words(text), None]:
+            place = vocab.places[w] if w is not None else -2
+            unit = scoring.STOP if w is None else place if 0 <= place < scoring.SHORT else scoring.class_of(w)
+            i, j = before[-2:]
+            total += log10_softmax([float(model.far[i, k] + model.near[j, k]) for k in range(scoring.UNITS)], unit)
+            if scoring.SHORT <= unit < scoring.STOP:
+                kind = unit - scoring.SHORT
+                targets = [*vocab.members(kind).tolist(), len(vocab.words) + kind]
+                own = place if place >= 0 else len(vocab.words) + kind
+                total += log10_softmax([float(model.before[kind, scoring.BEFORE[j]] @ model.target[x] + model.bias[x]) for x in targets], targets.index(own))
+                if place < 0:
+                    total += np.log10((counts.get(w, 0) + 1) / (vocab.rest_tokens[kind] + vocab.rest_types[kind] + 1))
+            before.append(unit)
+        assert got[d].score == pytest.approx(total, abs=1e-3 * max(1, got[d].n_tokens))
+
+
+def test_lm_tells_what_words_follow(language_model):
+    scored = language_model[-1]
+    held = [r for r in scored if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.1
 
 
 def test_lm_of_nothing(empty, spark):
