@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -509,10 +509,11 @@ def candidates(values: DataFrame, limits: Limits = LIMITS, distance: int = WIDE_
 def alike(pairs: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose texts (id, text) share that part of their shingles.
 
-    Texts are dealt into blocks of about BLOCK_BYTES, and a pair goes to the cell of its two blocks; there,
+    Texts are dealt into blocks of BLOCK_BYTES or less, enough of them to keep all tasks busy, and a pair goes to the cell of its two blocks; there,
     each text that the cell's pairs need comes once, before them.
     """
-    parts = max(1, -(-int(bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    tasks = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(ceil(sqrt(2 * tasks)), -(-int(bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     cells = pairs.select(F.least(block("u"), block("v")).alias("lo"), F.greatest(block("u"), block("v")).alias("hi"), "u", "v")
     needed = cells.select("lo", "hi", F.col("u").alias("id")).unionByName(cells.select("lo", "hi", F.col("v").alias("id"))).distinct()
