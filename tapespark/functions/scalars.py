@@ -89,6 +89,13 @@ def quote_valid(bid: Column, ask: Column, strict: bool = False) -> Column:
     return F.coalesce((finite(bid) > 0) & (finite(ask) > 0) & order, F.lit(False))
 
 
+def capacity(bid: Column, ask: Column, bid_qty: Column, ask_qty: Column, notional: float, stale_ms: Column, most_stale: float = 2000.0) -> Column:
+    """Whether both sides of a fresh, uncrossed quote hold the quantity that a notional buys at the ask."""
+    needed = F.lit(float(notional)) / F.greatest(ask, F.lit(1e-12))
+    held = F.coalesce((bid_qty >= needed) & (ask_qty >= needed), F.lit(False))
+    return quote_valid(bid, ask, strict=True) & held & F.coalesce(stale_ms <= most_stale, F.lit(False))
+
+
 def mid(bid: Column, ask: Column) -> Column:
     return (bid + ask) * 0.5
 

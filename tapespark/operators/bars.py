@@ -73,9 +73,17 @@ def ohlc(rows: DataFrame, keys: Sequence[str], at: str, width: int, price: str,
     return rows.groupBy(*keys, S.bucket(F.col(at), width).alias("bar")).agg(*aggs)
 
 
-def regular(bars: DataFrame, keys: Sequence[str], width: int, carry: int, per_ms: int = 1000) -> DataFrame:
+def last_of_bars(rows: DataFrame, keys: Sequence[str], at: str, width: int, order: Sequence[str], state: Sequence[str], totals: Sequence[str], price: str) -> DataFrame:
+    """Longer bars: the last row's state (as last_<column>), sums of totals (<column>_total), rows, and the price's range and change."""
+    by = F.struct(*order)
+    first, last = first_last(price, order)
+    out = rows.groupBy(*keys, S.bucket(F.col(at), width).alias("bar")).agg(F.max_by(F.struct(*state), by).alias("_last"), *[F.sum(c).alias(f"{c}_total") for c in totals], F.count("*").alias("n"), (F.max(price) - F.min(price)).alias("mid_range"), (last - first).alias("mid_change"))
+    return out.select(*keys, "bar", *[F.col(f"_last.{c}").alias(f"last_{c}") for c in state], *[f"{c}_total" for c in totals], "n", "mid_range", "mid_change")
+
+
+def regular(bars: DataFrame, keys: Sequence[str], width: int, carry: int, per_ms: int = 1000, part: int | None = None) -> DataFrame:
     """gap_fill for bars: carried rows are flat at the close, have no ticks or weight, and their quotes age."""
-    out = T.gap_fill(bars, keys, "bar", width, carry)
+    out = T.gap_fill(bars, keys, "bar", width, carry, part)
     flat = ~F.col("observed")
     cols = {c: F.when(flat, F.col("close")).otherwise(F.col(c)) for c in ("open", "high", "low")}
     cols |= {c: F.when(flat, F.col("last_" + c.removeprefix("first_"))).otherwise(F.col(c)) for c in bars.columns if c.startswith("first_")}
@@ -118,11 +126,18 @@ def scale_stats(bars: DataFrame, mid: str = "mid", horizons: Sequence[int] = HOR
     return bars.withColumns({"scale_slope": dot(linear), "scale_curvature": dot(curved), "scale_consensus": sum(signs[1:], signs[0]) / float(len(signs))})
 
 
-def tick_features(bars: DataFrame, keys: Sequence[str], order: Sequence[str], tick: float = 1.0) -> DataFrame:
-    """Distances in ticks from the close to the bar's other prices, quotes and averages, and the close's change."""
+def tick_features(bars: DataFrame, keys: Sequence[str], order: Sequence[str], tick: float = 1.0, averages: bool = False) -> DataFrame:
+    """Distances in ticks from the close to the bar's other prices and quotes, and the close's change.
+
+    With averages also those to book_average, daily_average, average_60 and average_300, and of the sided
+    averages bid_average_60 and ask_average_60 to their quotes, beside these averages themselves.
+    """
     c = F.col("close")
+    more = {f"{n}_ticks": (F.col(n) - c) / tick for n in ("book_average", "daily_average", "average_60", "average_300")}
+    more |= {f"{s}_average_60_ticks": (F.col(f"{s}_average_60") - F.col(f"last_{s}")) / tick for s in ("bid", "ask")}
     return bars.withColumns(
-        {
+        (more if averages else {})
+        | {
             "open_ticks": (F.col("open") - c) / tick,
             "high_ticks": (F.col("high") - c) / tick,
             "low_ticks": (F.col("low") - c) / tick,

@@ -89,6 +89,16 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequ
     return out.select(*keys, F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").when(same, "same").otherwise("differs").alias("state"))
 
 
+def block_comparison(left: DataFrame, right: DataFrame, keys: Sequence[str], block: Column, truth: str, guess: str) -> DataFrame:
+    """Two versions of predictions on the keys that both have, by blocks (weeks): rows, mean errors of both, and the gain of the second."""
+    a = left.select(*keys, F.col(truth).alias("_t"), F.col(guess).alias("_a"))
+    b = right.select(*keys, F.col(guess).alias("_b"))
+    both = a.join(b, list(keys)).withColumn("block", block)
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("_t")))
+    out = both.groupBy("block").agg(F.count("*").alias("rows"), err("_a").alias("mae_left"), err("_b").alias("mae_right"))
+    return out.withColumn("gain", F.col("mae_left") - F.col("mae_right"))
+
+
 def extended(base: DataFrame, extension: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """base and the rows after it; raises unless the extension repeats none of base's times with other values, and starts after it."""
     last = base.agg(F.max(at)).first()[0]

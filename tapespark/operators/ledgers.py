@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import temporal as T
 
+DAY_US = 86_400_000_000
 NOOP, OPEN_LONG, OPEN_SHORT, CLOSE_LONG, CLOSE_SHORT = range(5)
 FLAT, LONG, SHORT = 0, 1, -1
 
@@ -274,6 +275,32 @@ def live_swaps(rows: DataFrame, keys: Sequence[str], order: str, confirm: int, m
     return per_segment(rows, keys, order, work, SWAPS)
 
 
+def exit_metrics(trades: DataFrame, pnl: str, hold: str, edges: Sequence[float], order: Sequence[str]) -> DataFrame:
+    """Counts by side and kind of exit, profit, profit factor, deepest fall and holding times of a ledger, with a count for each holding bucket. One row.
+
+    Buckets end at the edges, which belong to them; the last one has what is longer. Without losses the profit
+    factor is infinite, or 0 without gains either. An empty ledger gives zeros.
+    """
+    c, p = F.col, F.col(pnl)
+    zero = lambda x, n: F.coalesce(x, F.lit(0.0)).alias(n)
+    gains, losses = F.sum(F.when(p > 0, p).otherwise(0.0)), -F.sum(F.when(p < 0, p).otherwise(0.0))
+    factor = F.when(losses > 0, gains / losses).when(gains > 0, F.lit(float("inf"))).otherwise(0.0)
+    lows = [None, *edges]
+    counts = [F.count_if((F.lit(True) if a is None else c(hold) > a) & (F.lit(True) if b is None else c(hold) <= b)).alias(f"hold_{i}") for i, (a, b) in enumerate(zip(lows, [*edges, None], strict=True))]
+    out = trades.agg(F.count("*").alias("trades"), F.count_if(c("side") > 0).alias("long_trades"), F.count_if(c("side") < 0).alias("short_trades"), F.count_if(~c("terminal")).alias("crossed"), F.count_if("terminal").alias("forced"), zero(F.sum(p), "total"), zero(F.avg(p), "mean"), zero(F.median(p), "median"), zero(F.avg((p > 0).cast("double")), "hit_rate"), zero(factor, "profit_factor"), zero(F.avg(c(hold)), "hold_mean"), zero(F.median(c(hold)), "hold_median"), *counts)
+    # The running total over all trades is taken by days, so that no task sorts them all.
+    day = F.floor(F.col(order[0]) / DAY_US)
+    rows = trades.select(pnl, *order, day.alias("_day"), F.lit(0).alias("_all"))
+    inside = Window.partitionBy("_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(pnl).over(inside)).withColumn("_top", F.greatest(F.max("_sum").over(inside), F.lit(0.0)))
+    days = rows.groupBy("_day").agg(F.sum(pnl).alias("_total"), F.max("_sum").alias("_high"), F.max(F.col("_top") - F.col("_sum")).alias("_fall"), F.min("_sum").alias("_low"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    days = days.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    days = days.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_before") + F.greatest("_high", F.lit(0.0))).over(earlier), F.lit(0.0)), F.lit(0.0)))
+    fall = days.agg(F.coalesce(F.max(F.greatest("_fall", F.col("_peak") - F.col("_before") - F.col("_low"))), F.lit(0.0)).alias("max_drawdown"))
+    return out.crossJoin(fall)  # one row each
+
+
 def position_path(rows: DataFrame, keys: Sequence[str], order: str, cadence: float, side: Column, entry_price: Column, bid: str = "bid", ask: str = "ask") -> DataFrame:
     """Per row of a trade: log age, profit in bps, its running extremes and what was given back."""
     leave = F.when(side > 0, F.col(bid)).otherwise(F.col(ask))

@@ -274,17 +274,18 @@ def separated_peaks(rows: DataFrame, x: str, keys: Sequence[str], order: str, hi
 def line(price: str, place: str, keys: Sequence[str], order: Sequence[str], horizon: int, backward: bool = False) -> dict[str, Column]:
     """Least-squares line through the row's own point over the next (or last) horizon rows: slope, end, actual, rmse.
 
-    sum(tau y) and sum(y^2) come from frame sums of price, place * price and price^2, so a row costs no loop
-    over the horizon; exact for whole prices. Null where the frame is not full. Backward lines start at the
-    row `horizon` before and end here.
+    sum(tau y) and sum(y^2) come from differences of running sums of price, place * price and price^2, so a row
+    costs no loop over the horizon; exact for whole prices. Null where the frame is not full. Backward lines
+    start at the row `horizon` before and end here.
     """
     plain = Window.partitionBy(*keys).orderBy(*order)
-    w = plain.rowsBetween(-horizon + 1, 0) if backward else plain.rowsBetween(1, horizon)
+    until = lambda x, k: F.coalesce(F.sum(x).over(plain.rowsBetween(Window.unboundedPreceding, k)), F.lit(0))
+    total = lambda x: until(x, 0) - until(x, -horizon) if backward else until(x, horizon) - until(x, 0)
     p, i = F.col(price), F.col(place)
     base = F.lag(price, horizon).over(plain) if backward else p
     start = F.lag(place, horizon).over(plain) if backward else i
-    sp, sip, spp = F.sum(p).over(w), F.sum(p * i).over(w), F.sum(p * p).over(w)
-    n = F.count(p).over(w)
+    sp, sip, spp = total(p), total(p * i), total(p * p)
+    n = total(p.isNotNull().cast("long"))
     t1, t2 = horizon * (horizon + 1) // 2, horizon * (horizon + 1) * (2 * horizon + 1) // 6
     ty = sip - start * sp - base * t1
     yy = spp - 2 * base * sp + base * base * horizon
@@ -294,6 +295,11 @@ def line(price: str, place: str, keys: Sequence[str], order: Sequence[str], hori
     return {"slope": slope, "end": slope * horizon, "actual": F.when(full, (p if backward else F.lead(price, horizon).over(plain)) - base), "rmse": F.when(full, F.sqrt(residual / horizon)), "path_rms": F.when(full, F.sqrt(F.greatest(yy.cast("double"), F.lit(0.0)) / horizon))}
 
 
+def persistence(past_end: Column, past_steps: float, horizons: Sequence[float]) -> Column:
+    """Ends of a line that goes on as the past one did, for each horizon: the baseline that predictions must beat."""
+    return F.array(*[past_end / float(past_steps) * float(h) for h in horizons])
+
+
 def line_quality(slope: Column, end: Column, rmse: Column, noise: Column, horizon: int) -> Column:
     """sqrt(linearity * magnitude) of a line against the noise to expect."""
     t2 = horizon * (horizon + 1) * (2 * horizon + 1) / 6.0

@@ -71,43 +71,107 @@ def chunked(rows: DataFrame, keys: Keys, place: Column, reach: int, chunk: int,
 
 
 def merged(streams: Sequence[DataFrame], order: Keys) -> DataFrame:
-    """Rows of several streams with serial, the stream's place: the tie-break after order."""
+    """Rows of several streams in one order, with serial, the stream's place: the tie-break after order.
+
+    A range exchange deals the rows to sorted partitions that follow one another, so no task merges all.
+    """
     out = None
     for i, s in enumerate(streams):
         s = s.withColumn("serial", F.lit(i))
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    return out.sortWithinPartitions(*order, "serial")
+    return out.orderBy(*order, "serial")
 
 
-def forward_fill(rows: DataFrame, keys: Keys, order: Keys, values: Keys) -> DataFrame:
-    w = over(keys, order)
-    return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in values})
+def shifted(grid: DataFrame, sums: DataFrame, keys: Keys, at: str, columns: Keys) -> DataFrame:
+    """On a dense grid the sums of the cell before: what was known when a cell began. 0 without rows."""
+    rows = grid.join(sums, [*keys, at], "left")
+    w = Window.partitionBy(*keys).orderBy(at)
+    zero = F.lit(0).cast("long")
+    return rows.select(*keys, at, *[F.coalesce(F.lag(F.coalesce(F.col(c), zero)).over(w), zero).alias(c) for c in columns])
+
 
+def in_parts(rows: DataFrame, at: str, width: int) -> DataFrame:
+    """rows with _part, the stretch of time of that width: what a hot key is split by."""
+    return rows.withColumn("_part", F.floor(F.col(at) / width))
 
-def islands(rows: DataFrame, keys: Keys, order: Keys, starts: Column, name: str = "island") -> DataFrame:
+
+def carried_in(rows: DataFrame, keys: Keys, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, following: dict[str, Column] | None = None) -> DataFrame:
+    """rows (with _part) and what the other parts of their key leave to them, one aggregate of a part for each name.
+
+    last: that of the last earlier part in which it isn't null; total: the sum over the earlier parts, 0 without
+    any; following: that of the first later part in which it isn't null. Only one row per key and part is sorted
+    by key; the rows themselves stay in tasks of their own parts.
+    """
+    last, total, following = last or {}, total or {}, following or {}
+    ends = rows.groupBy(*keys, "_part").agg(*[x.alias(n) for n, x in (last | total | following).items()])
+    w = Window.partitionBy(*keys).orderBy("_part")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    cols = [F.last(n, ignorenulls=True).over(before).alias(n) for n in last]
+    cols += [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in total]
+    cols += [F.first(n, ignorenulls=True).over(after).alias(n) for n in following]
+    return rows.join(ends.select(*keys, "_part", *cols), [*keys, "_part"])
+
+
+def running_total(rows: DataFrame, keys: Keys, order: Keys, x: Column, name: str, width: int | None = None) -> DataFrame:
+    """Adds the sum of x from the start of the key to the row; with a width (of order's first column, a time) by parts."""
+    if width is None:
+        return rows.withColumn(name, F.sum(x).over(over(keys, order)))
+    rows = carried_in(in_parts(rows.withColumn("_x", x), order[0], width), keys, total={"_sum": F.sum("_x")})
+    return rows.withColumn(name, F.coalesce(F.sum("_x").over(over([*keys, "_part"], order)), F.lit(0)) + F.col("_sum")).drop("_x", "_part", "_sum")
+
+
+def neighbours(rows: DataFrame, keys: Keys, order: Keys, columns: Keys, width: int | None = None, lead: bool = False) -> DataFrame:
+    """Adds lag_<column> (and with lead lead_<column>), the values of the rows before and after within the key; with a width by parts."""
+    row = F.struct(*columns)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn("_lag", F.lag(row).over(w))
+        rows = rows.withColumn("_lead", F.lead(row).over(w)) if lead else rows
+    else:
+        at = F.struct(*order)
+        rows = carried_in(in_parts(rows, order[0], width), keys, last={"_in": F.max_by(row, at)}, following={"_out": F.min_by(row, at)} if lead else None)
+        w = Window.partitionBy(*keys, "_part").orderBy(*order)
+        rows = rows.withColumn("_lag", F.coalesce(F.lag(row).over(w), "_in"))
+        rows = rows.withColumn("_lead", F.coalesce(F.lead(row).over(w), "_out")).drop("_out") if lead else rows
+        rows = rows.drop("_in", "_part")
+    return rows.withColumns({f"{kind}_{c}": F.col(f"_{kind}.{c}") for kind in ("lag", *(["lead"] if lead else [])) for c in columns}).drop("_lag", "_lead")
+
+
+def forward_fill(rows: DataFrame, keys: Keys, order: Keys, values: Keys, width: int | None = None) -> DataFrame:
+    """Each value's last one that isn't null; with a width (of order's first column, a time) by parts."""
+    if width is None:
+        w = over(keys, order)
+        return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in values})
+    ends = {f"_in_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))) for c in values}
+    rows = carried_in(in_parts(rows, order[0], width), keys, last=ends)
+    w = over([*keys, "_part"], order)
+    return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), f"_in_{c}") for c in values}).drop("_part", *ends)
+
+
+def islands(rows: DataFrame, keys: Keys, order: Keys, starts: Column, name: str = "island", width: int | None = None) -> DataFrame:
     """Numbers runs from 0: a new one begins where starts holds; the first row begins one either way."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    rows = rows.withColumn("_new", F.when(first, 0).otherwise(F.coalesce(starts, F.lit(False)).cast("int")))
-    return rows.withColumn(name, F.sum("_new").over(over(keys, order)).cast("long")).drop("_new")
+    rows = neighbours(rows.withColumns({"_start": F.coalesce(starts, F.lit(False)).cast("long"), "_any": F.lit(1)}), keys, order, ["_any"], width)
+    new = F.when(F.col("lag__any").isNull(), 0).otherwise(F.col("_start"))
+    rows = running_total(rows.withColumn("_new", new.cast("long")), keys, order, F.col("_new"), name, width)
+    return rows.withColumn(name, F.col(name).cast("long")).drop("_start", "_any", "lag__any", "_new")
 
 
 def changed(column: str, keys: Keys, order: Keys) -> Column:
     return ~F.col(column).eqNullSafe(F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def gap_fill(bars: DataFrame, keys: Keys, at: str, width: int, carry: int) -> DataFrame:
+def gap_fill(bars: DataFrame, keys: Keys, at: str, width: int, carry: int, part: int | None = None) -> DataFrame:
     """Regularises bars: up to carry rows after each bar before the next one, then a new segment.
 
     Adds observed, gap_rows (0 for the bar itself) and segment_id; a hole of more than carry rows ends the
-    segment. The last bar of a key is not carried.
+    segment. The last bar of a key is not carried. With part (a time) a long key is worked off by parts.
     """
-    w = Window.partitionBy(*keys).orderBy(at)
-    gap = ((F.lead(at).over(w) - F.col(at)) / F.lit(width)).cast("long")
-    rows = bars.withColumns({"_gap": gap, "_back": ((F.col(at) - F.lag(at).over(w)) / F.lit(width)).cast("long")})
-    rows = rows.withColumn("segment_id", F.sum(F.when(F.col("_back") > carry + 1, 1).otherwise(0)).over(over(keys, [at])).cast("long"))
+    rows = neighbours(bars, keys, [at], [at], part, lead=True)
+    rows = rows.withColumns({"_gap": ((F.col(f"lead_{at}") - F.col(at)) / F.lit(width)).cast("long"), "_back": ((F.col(at) - F.col(f"lag_{at}")) / F.lit(width)).cast("long")})
+    rows = running_total(rows, keys, [at], F.when(F.col("_back") > carry + 1, 1).otherwise(0).cast("long"), "segment_id", part)
     last = F.when(F.col("_gap").isNull(), 0).otherwise(F.least(F.col("_gap") - 1, F.lit(carry)))
     rows = rows.withColumn("gap_rows", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    return rows.withColumns({at: F.col(at) + F.col("gap_rows") * width, "observed": F.col("gap_rows") == 0}).drop("_gap", "_back")
+    return rows.withColumns({at: F.col(at) + F.col("gap_rows") * width, "observed": F.col("gap_rows") == 0}).drop("_gap", "_back", f"lag_{at}", f"lead_{at}")
 
 
 def rolling_sum(x: Column, keys: Keys, order: Keys, window: int | None) -> Column:
@@ -134,20 +198,24 @@ def weighted_average(value: Column, weight: Column, keys: Keys, order: Keys, win
     return F.when(den > 0, num / den).otherwise(value)
 
 
+def _seen(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def full_mean(x: Column, keys: Keys, order: Keys, window: int) -> Column:
-    """Mean over exactly window values, null with fewer."""
-    w = over(keys, order, window - 1)
-    return F.when(F.count(x).over(w) == window, F.sum(x).over(w) / float(window))
+    """Mean over exactly window values, null with fewer; values that aren't finite are none. By running sums."""
+    n = rolling_sum(_seen(x).isNotNull().cast("long"), keys, order, window)
+    return F.when(n == window, rolling_sum(_seen(x), keys, order, window) / float(window))
 
 
 def full_rms(x: Column, keys: Keys, order: Keys, window: int) -> Column:
-    w = over(keys, order, window - 1)
-    return F.when(F.count(x).over(w) == window, F.sqrt(F.sum(x * x).over(w) / float(window)))
+    n = rolling_sum(_seen(x).isNotNull().cast("long"), keys, order, window)
+    return F.when(n == window, F.sqrt(F.greatest(rolling_sum(_seen(x * x), keys, order, window).cast("double"), F.lit(0.0)) / float(window)))
 
 
 def partial_mean(x: Column, keys: Keys, order: Keys, window: int) -> Column:
     """Mean over what there is of the last window rows."""
-    return F.avg(x).over(over(keys, order, window - 1))
+    return F.try_divide(rolling_sum(_seen(x), keys, order, window), rolling_sum(_seen(x).isNotNull().cast("long"), keys, order, window))
 
 
 def lag_delta(x: Column, keys: Keys, order: Keys, k: int = 1) -> Column:
@@ -155,14 +223,16 @@ def lag_delta(x: Column, keys: Keys, order: Keys, k: int = 1) -> Column:
 
 
 def correlation(x: Column, y: Column, valid: Column, keys: Keys, order: Keys, window: int, floor: float = 1e-12) -> tuple[Column, Column]:
-    """Causal correlation and beta of y on x over the valid rows of the window; 0 where a variance is at most floor."""
-    w = over(keys, order, window - 1)
-    one = F.when(valid, 1)
-    n = F.sum(one).over(w)
-    ex, ey = F.sum(one * x).over(w) / n, F.sum(one * y).over(w) / n
-    vx = F.sum(one * x * x).over(w) / n - ex * ex
-    vy = F.sum(one * y * y).over(w) / n - ey * ey
-    cov = F.sum(one * x * y).over(w) / n - ex * ey
+    """Causal correlation and beta of y on x over the valid rows of the window; 0 where a variance is at most floor.
+
+    By running sums; over chunked keys their rounding stays that of a chunk.
+    """
+    total = lambda c: rolling_sum(F.when(valid, c), keys, order, window)
+    n = F.nullif(total(F.lit(1)), F.lit(0))
+    ex, ey = total(x) / n, total(y) / n
+    vx = total(x * x) / n - ex * ex
+    vy = total(y * y) / n - ey * ey
+    cov = total(x * y) / n - ex * ey
     return F.when((vx > floor) & (vy > floor), cov / F.sqrt(vx * vy)).otherwise(0.0), F.when(vx > floor, cov / vx).otherwise(0.0)
 
 
@@ -177,6 +247,7 @@ def keep_last(rows: DataFrame, keys: Keys, order: Keys) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def every_nth(rows: DataFrame, keys: Keys, order: Keys, stride: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where(F.pmod(F.col("_rank") - 1, F.lit(stride)) == 0).drop("_rank")
+def every_nth(rows: DataFrame, keys: Keys, order: Keys, stride: int, width: int | None = None) -> DataFrame:
+    """Every stride-th row of a key from the first on; with a width by parts."""
+    rows = running_total(rows, keys, order, F.lit(1).cast("long"), "_rank", width)
+    return rows.where(F.pmod(F.col("_rank") - 1, F.lit(stride)) == 0).drop("_rank")

@@ -72,7 +72,7 @@ QUOTE = TICK + """, quote AS (SELECT *, px - (5 + k % 5) AS bid, px + (5 + k % 5
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars of each series from quotes, regular and in segments; weight is k, 0 on carried rows."""
     raw = B.ohlc(quotes(spark, sf), ["series"], "ts", HOUR, "px", ["ts", "seq"], carry=("bid", "ask"), totals=("k",))
-    out = B.regular(raw, ["series"], HOUR, CARRY)
+    out = B.regular(raw, ["series"], HOUR, CARRY, part=28 * DAY)
     return out.withColumn("weight", F.when(F.col("observed"), F.col("k")).otherwise(F.lit(0).cast("long"))).drop("k")
 
 

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import bars as B
 from ..operators import book as K
 from ..operators import temporal as T
-from .base import HOUR, QUOTE, TICK, Plans, cents, quotes, r6, table, ticks
+from .base import DAY, HOUR, QUOTE, TICK, Plans, cents, quotes, r6, table, ticks
 
 P = Plans()
 QUERIES, SQL = P.QUERIES, P.SQL
@@ -31,7 +31,7 @@ LEVELS = TICK + """, lvl AS (SELECT series, ts, seq, CASE WHEN event_type IN ('c
 def standing(spark: SparkSession, sf: str, cadence: int) -> DataFrame:
     rows = levels(spark, sf)
     last = rows.groupBy("series").agg(F.max("ts").alias("last"))
-    held = K.versions(rows, ["series"], ["ts", "seq"], F.col("is_snapshot"), alive=F.col("quantity") > 0)
+    held = K.versions(rows, ["series"], ["ts", "seq"], F.col("is_snapshot"), alive=F.col("quantity") > 0, width=7 * DAY)
     return K.at_ticks(held.join(F.broadcast(last), "series"), cadence, F.col("last"))  # one row per venue
 
 
@@ -77,7 +77,7 @@ SELECT series, seq, coalesce(last <= prev, false) AS stale, gap, CAST(sum(CASE W
 def seq_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Sequence checks of a diff stream: stale and missing updates, and the runs between resyncs."""
     rows = ticks(spark, sf).withColumns({"last": F.col("k"), "first": F.col("k") - 3})
-    return K.flagged_gaps(rows, ["series"], ["ts", "seq"], "first", "last").select("series", "seq", "stale", "gap", "run")
+    return K.flagged_gaps(rows, ["series"], ["ts", "seq"], "first", "last", width=7 * DAY).select("series", "seq", "stale", "gap", "run")
 
 
 TRADE = """trade AS (SELECT l_suppkey % 9 AS venue, epoch_us(l_shipdate) // 86400000000 AS day, l_orderkey AS trade_id, l_linenumber AS line, CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS notional, CAST(l_quantity AS BIGINT) AS quantity,
@@ -92,15 +92,13 @@ def trade_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @P.add(f"""WITH {TRADE}, a AS (SELECT venue, day, count(*) AS n, CAST(sum(CASE WHEN lower(taker) = 'buy' THEN quantity ELSE 0 END) AS BIGINT) AS buy, CAST(sum(CASE WHEN lower(taker) = 'sell' THEN quantity ELSE 0 END) AS BIGINT) AS sell, CAST(sum(notional) AS BIGINT) AS notional FROM trade GROUP BY ALL)
-SELECT venue, day, n, buy, sell, notional, buy - sell AS signed, round(CASE WHEN buy + sell > 0 THEN CAST(notional AS DOUBLE) / (buy + sell) END + 1.23e-7, 6) AS vwap FROM a""")
+SELECT venue, day, n, buy, sell, notional, buy - sell AS signed, CASE WHEN buy + sell > 0 THEN notional END AS paid FROM a""")
 def trade_tick(spark: SparkSession, sf: str) -> DataFrame:
-    """Trades per venue and day; the average divides all notional by the quantity of known takers."""
-    rows = trade_rows(spark, sf).withColumn("price", F.lit(1))
-    rows = rows.withColumn("side", S.side(F.col("taker")))
-    known = lambda s: F.sum(F.when(F.col("side") == s, F.col("quantity")).otherwise(0))
-    out = rows.groupBy("venue", "day").agg(F.count("*").alias("n"), known("bid").alias("buy"), known("ask").alias("sell"), F.sum("notional").alias("notional"))
+    """Trades per venue and day; the average, here times that quantity, divides all notional by the quantity of known takers."""
+    rows = trade_rows(spark, sf).withColumns({"price": F.col("notional") / F.col("quantity").cast("double")})
+    out = K.trades(rows, ["venue", "day"])
     total = F.col("buy") + F.col("sell")
-    return out.select("venue", "day", "n", "buy", "sell", "notional", (F.col("buy") - F.col("sell")).alias("signed"), r6(F.when(total > 0, F.col("notional") / total) + 1.23e-7, "vwap"))
+    return out.select("venue", "day", "n", "buy", "sell", F.rint("notional").cast("long").alias("notional"), "signed", F.rint(F.col("vwap") * total).cast("long").alias("paid"))
 
 
 @P.add(f"""WITH {TRADE}, u AS (SELECT DISTINCT ON (venue, day, trade_id) venue, day, trade_id FROM trade), a AS (SELECT venue, day, count(*) AS n FROM u GROUP BY ALL),
@@ -117,10 +115,9 @@ def trade_options(spark: SparkSession, sf: str) -> DataFrame:
   count(CASE WHEN event_type = 'error' THEN 1 END) AS n FROM tick GROUP BY ALL""")
 def liquidations(spark: SparkSession, sf: str) -> DataFrame:
     """Liquidated amounts by side within each tick; counters start anew in the next."""
-    t = ticks(spark, sf)
-    hit = F.col("event_type") == "error"
-    of = lambda odd: F.sum(F.when(hit & (F.pmod("k", F.lit(2)) == odd), F.col("px")).otherwise(0))
-    return t.groupBy("series", F.floor(F.col("ts") / HOUR).alias("h")).agg(of(0).alias("long_liquidated"), of(1).alias("short_liquidated"), F.count_if(hit).alias("n"))
+    side = F.when(F.col("event_type") == "error", F.when(F.pmod("k", F.lit(2)) == 0, "long").otherwise("short"))
+    rows = ticks(spark, sf).withColumn("h", F.floor(F.col("ts") / HOUR))
+    return K.liquidated(rows, ["series", "h"], side, F.col("px"))
 
 
 @P.add(f"""WITH {TICK} SELECT series, seq, last_value(CASE WHEN event_type = 'click' THEN px END IGNORE NULLS) OVER w AS mark, last_value(CASE WHEN event_type = 'view' THEN px END IGNORE NULLS) OVER w AS index_price,
@@ -129,7 +126,7 @@ def context_carry(spark: SparkSession, sf: str) -> DataFrame:
     """Derivative context: each field keeps its last value, as updates leave the others out."""
     kind = F.col("event_type")
     rows = ticks(spark, sf).withColumns({"mark": F.when(kind == "click", F.col("px")), "index_price": F.when(kind == "view", F.col("px")), "open_interest": F.when((kind == "signup") & (F.col("k") > 50), F.col("k"))})
-    return T.forward_fill(rows, ["series"], ["ts", "seq"], ["mark", "index_price", "open_interest"]).select("series", "seq", "mark", "index_price", "open_interest")
+    return T.forward_fill(rows, ["series"], ["ts", "seq"], ["mark", "index_price", "open_interest"], 7 * DAY).select("series", "seq", "mark", "index_price", "open_interest")
 
 
 VENUE_LIST = ", ".join(f"'{v}'" for v in S.VENUES)
@@ -162,8 +159,8 @@ SELECT series, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, count(
   round(quantile_cont(CAST(ask - bid AS DOUBLE), 0.5), 4) AS spread_p50, round(quantile_cont(CAST(ask - bid AS DOUBLE), 0.95), 4) AS spread_p95, round(quantile_cont(step_us, 0.5), 3) AS step_p50, round(quantile_cont(step_us, 0.99), 3) AS step_p99 FROM d GROUP BY series""")
 def recording_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Counts, bounds, invalid rows, backward steps and exact quantiles of a recording."""
-    w = Window.partitionBy("series").orderBy("ts", "seq")
-    rows = quotes(spark, sf).withColumns({"step_us": (F.col("ts") - F.lag("ts").over(w)).cast("double"), "falls": F.col("px") <= F.lag("px").over(w), "spread": (F.col("ask") - F.col("bid")).cast("double")})
+    rows = T.neighbours(quotes(spark, sf), ["series"], ["ts", "seq"], ["ts", "px"], 7 * DAY)
+    rows = rows.withColumns({"step_us": (F.col("ts") - F.col("lag_ts")).cast("double"), "falls": F.col("px") <= F.col("lag_px"), "spread": (F.col("ask") - F.col("bid")).cast("double")})
     bad = (F.col("bid") <= 0) | (F.col("ask") <= F.col("bid")) | (F.col("k") <= 0)
     q = lambda c, p, name, d: r6(F.percentile(c, F.lit(p)), name, d)
     return rows.groupBy("series").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(bad).alias("invalid"), F.count_if("falls").alias("falls"), F.countDistinct("event_type").alias("kinds"), q("spread", 0.5, "spread_p50", 4), q("spread", 0.95, "spread_p95", 4), q("step_us", 0.5, "step_p50", 3), q("step_us", 0.99, "step_p99", 3))
@@ -185,7 +182,7 @@ def quote_book(spark: SparkSession, sf: str) -> DataFrame:
     bid = kind.isin("click", "view")
     rows = ticks(spark, sf).select("series", "ts", "seq", F.pmod("k", F.lit(20)).alias("quote_id"), F.when(bid, "bid").otherwise("ask").alias("side"), F.when(bid, 100_000 - F.pmod(px, F.lit(20))).otherwise(100_001 + F.pmod(px, F.lit(20))).alias("price"), (1 + F.pmod(px, F.lit(7))).alias("size"), F.when(kind == "error", "deleted").otherwise("new").alias("type"))
     last = rows.groupBy("series").agg(F.max("ts").alias("last"))
-    out = K.quote_book(rows.join(F.broadcast(last), "series"), ["series"], ["ts", "seq"], SIX, F.col("last"))
+    out = K.quote_book(rows.join(F.broadcast(last), "series"), ["series"], ["ts", "seq"], SIX, F.col("last"), 7 * DAY)
     return out.select("series", "tick", "best_bid", "best_ask", "bid_size", "ask_size", "bid_levels", "ask_levels", r6(F.col("bid_average"), "bid_average", 5), r6(F.col("microprice"), "microprice", 5))
 
 
@@ -212,12 +209,28 @@ def snapshot_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
 @P.add(f"""WITH {LEVELS} SELECT series, seq, greatest(CAST(sum(CASE WHEN is_snapshot THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1, 0) AS segment FROM lvl""")
 def snapshot_segments(spark: SparkSession, sf: str) -> DataFrame:
     """A new snapshot of the anchor stream starts a segment; the first one does not."""
-    n = F.sum(F.col("is_snapshot").cast("long")).over(T.over(["series"], ["ts", "seq"]))
-    return levels(spark, sf).select("series", "seq", F.greatest(n - 1, F.lit(0).cast("long")).alias("segment"))
+    rows = T.running_total(levels(spark, sf), ["series"], ["ts", "seq"], F.col("is_snapshot").cast("long"), "n", 7 * DAY)
+    return rows.select("series", "seq", F.greatest(F.col("n") - 1, F.lit(0).cast("long")).alias("segment"))
 
 
-@P.add()
+@P.add(f"""WITH {LEVELS}, r AS (SELECT series, ts, seq, 'o' || (seq % 37) AS oid, side, price, quantity AS q, quantity % 5 = 0 AS gone, is_snapshot, -(-ts // {HOUR}) AS x, row_number() OVER w AS rn, sum(CASE WHEN is_snapshot THEN 1 ELSE 0 END) OVER w AS epoch FROM lvl WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
+c AS (SELECT *, ts - ts % {HOUR} + CASE WHEN ts % {HOUR} > 0 THEN {HOUR} ELSE 0 END AS cell, NOT gone AND side IS NOT NULL AS live FROM r),
+h AS (SELECT *, coalesce(lag(live) OVER o, false) AS had, lag(q) OVER o AS old, least(coalesce(lead(rn) OVER o, 1000000000), coalesce(min(rn) OVER e, 1000000000)) AS until FROM c
+  WINDOW o AS (PARTITION BY series, epoch, oid ORDER BY rn), e AS (PARTITION BY series ORDER BY epoch RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)),
+n AS (SELECT series, cell, max(rn) AS z, count(CASE WHEN live AND NOT had THEN 1 END) AS adds, count(CASE WHEN gone THEN 1 END) AS deletes, count(CASE WHEN live AND had THEN 1 END) AS modifies, sum(CASE WHEN live AND NOT had THEN q ELSE 0 END) AS add_qty, sum(CASE WHEN gone AND had THEN old ELSE 0 END) AS delete_qty FROM h GROUP BY ALL),
+st AS (SELECT n.series, n.cell, count(h.oid) AS orders, coalesce(sum(CASE WHEN side = 'bid' THEN q END), 0) AS b, coalesce(sum(CASE WHEN side = 'ask' THEN q END), 0) AS a, max(CASE WHEN side = 'bid' THEN price END) AS bb, min(CASE WHEN side = 'ask' THEN price END) AS ba FROM n LEFT JOIN h ON h.series = n.series AND live AND h.rn <= n.z AND h.until > n.z GROUP BY ALL)
+SELECT series, cell AS tick, orders, CAST(b AS DOUBLE) AS bid_qty, CAST(a AS DOUBLE) AS ask_qty, round(CAST(b - a AS DOUBLE) / greatest(a + b, 1e-12), 6) AS imbalance, adds, deletes, modifies, CAST(add_qty AS DOUBLE) AS add_qty, CAST(delete_qty AS DOUBLE) AS delete_qty, CAST(bb AS DOUBLE) AS best_bid, CAST(ba AS DOUBLE) AS best_ask FROM n JOIN st USING (series, cell)""")
 def l3_book(spark: SparkSession, sf: str) -> DataFrame:
     """Order-by-order book: state and counters per hour, with permanent eviction beyond 30 levels a side."""
     rows = levels(spark, sf).withColumns({"order_id": F.concat(F.lit("o"), F.pmod("seq", F.lit(37)).cast("string")), "action": F.when(F.pmod("quantity", F.lit(5)) == 0, "delete").otherwise("set"), "event_id": F.col("seq"), "row_idx": F.lit(0), "price": F.col("price").cast("double"), "quantity": F.col("quantity").cast("double")})
-    return K.l3_features(rows.select("series", "ts", "event_id", "row_idx", "is_snapshot", "order_id", "side", "price", "quantity", "action"), "series", HOUR, 30)
+    return K.l3_features(rows.select("series", "ts", "event_id", "row_idx", "is_snapshot", "order_id", "side", "price", "quantity", "action"), "series", HOUR, 30).withColumn("imbalance", F.round("imbalance", 6))
+
+
+@P.add(f"""WITH {QUOTE}, s AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY series ORDER BY ts, seq)) / 1000.0::DOUBLE AS stale FROM quote)
+SELECT series, seq, coalesce(bid > 0 AND bid < ask AND stale <= 3600000 AND k >= 800000.0 / greatest(ask, 1e-12) AND 99 - k >= 800000.0 / greatest(ask, 1e-12), false) AS able FROM s""")
+def liquidity_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes whose both sides hold what a notional buys, and are fresh: age is the time since the series' last quote."""
+    rows = T.neighbours(quotes(spark, sf), ["series"], ["ts", "seq"], ["ts"], 7 * DAY)
+    c = F.col
+    able = S.capacity(c("bid").cast("double"), c("ask").cast("double"), c("k"), 99 - c("k"), 800_000.0, (c("ts") - c("lag_ts")) / 1000.0, 3_600_000.0)
+    return rows.select("series", "seq", able.alias("able"))

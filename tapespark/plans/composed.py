@@ -12,9 +12,9 @@ from ..operators import ledgers as L
 from ..operators import scores as C
 from ..operators import temporal as T
 from ..sources import files
-from .base import BARS, DAY, HOUR, QUOTE, SECOND, SEG, TICK, Plans, averaged, averaged_sql, bars, quotes, r6, table, ticks
+from .base import BARS, DAY, HOUR, QUOTE, SECOND, SEG, TICK, Plans, average_sql, averaged, averaged_sql, bars, quotes, r6, table, ticks
 from .events import FILLS, FOUND, fills, found_events, sided, sided_sql
-from .execution import DECODED, acted
+from .execution import CROSSED, DECODED, acted, averaged_sides
 from .labels import LINES, PEAK_RUN, RUN, RUNS, peaks_sql, placed, quoted, run_rows
 
 P = Plans()
@@ -229,3 +229,50 @@ def renumbered_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.keep_last(t, ["connection", "segment", "bar"], ["seq"])
     out = files.renumbered(rows, "connection", "segment", "bar", ["seq"])
     return out.select("bar", "connection", "segment", "seq")
+
+
+TIMES = average_sql("mid", "weight", 60), average_sql("mid", "weight", 300), average_sql("mid", "weight", None, f"series, segment_id, bar // {DAY}"), average_sql("last_bid", "weight", 60), average_sql("last_ask", "weight", 60)
+
+
+@P.add(f"""WITH {BARS}, m AS (SELECT *, last_bid + last_ask AS mid FROM bars), a AS (SELECT *, {TIMES[0]} / 2 AS a60, {TIMES[1]} / 2 AS a300, {TIMES[2]} / 2 AS day_avg, {TIMES[3]} AS b60, {TIMES[4]} AS k60 FROM m)
+SELECT series, bar, low - close AS low_ticks, last_ask - close AS ask_ticks, mid - 2 * close AS twice_book, round(day_avg - close, 4) AS daily_average_ticks, round(a60 - close, 4) AS average_60_ticks, round(a300 - close, 4) AS average_300_ticks, round(b60, 4) AS bid_average_60, round(k60, 4) AS ask_average_60, round(b60 - last_bid, 4) AS bid_average_60_ticks, round(k60 - last_ask, 4) AS ask_average_60_ticks FROM a""")
+def tick_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """The other distances in ticks: to the book's, the day's and the rolling averages, and of the sided averages to their quotes."""
+    rows = bars(spark, sf).withColumns({"mid": F.col("last_bid") + F.col("last_ask"), "day": F.floor(F.col("bar") / DAY)})
+    avg = lambda c, n, keys=SEG: T.weighted_average(F.col(c), F.col("weight"), keys, ["bar"], n)
+    rows = rows.withColumns({"book_average": F.col("mid") / 2, "daily_average": avg("mid", None, [*SEG, "day"]) / 2, "average_60": avg("mid", 60) / 2, "average_300": avg("mid", 300) / 2, "bid_average_60": avg("last_bid", 60), "ask_average_60": avg("last_ask", 60)})
+    out = B.tick_features(rows, SEG, ["bar"], averages=True)
+    four = ("daily_average_ticks", "average_60_ticks", "average_300_ticks", "bid_average_60", "ask_average_60", "bid_average_60_ticks", "ask_average_60_ticks")
+    return out.select("series", "bar", *[F.col(c).cast("long").alias(c) for c in ("low_ticks", "ask_ticks")], (F.col("book_average_ticks") * 2).cast("long").alias("twice_book"), *[r6(F.col(c), c, 4) for c in four])
+
+
+@P.add(f"""WITH {LINES}, h AS (SELECT unnest([1, 3, 6])::INTEGER AS steps) SELECT series, bar, steps, round(fit / 6 * steps, 4) AS guess FROM ahead, h""")
+def persistence_line(spark: SparkSession, sf: str) -> DataFrame:
+    """A line that goes on as it was, at several horizons."""
+    rows = placed(spark, sf)
+    rows = rows.withColumns(C.line("mid", "place", SEG, ["bar"], 6)).where("slope IS NOT NULL")
+    steps = (1, 3, 6)
+    ends = F.arrays_zip(F.array(*map(F.lit, steps)).alias("steps"), C.persistence(F.col("end"), 6.0, steps).alias("guess"))
+    out = rows.select("series", "bar", F.explode(ends).alias("x"))
+    return out.select("series", "bar", F.col("x.steps").alias("steps"), r6(F.col("x.guess"), "guess", 4))
+
+
+@P.add(f"""WITH {TICK}, v AS (SELECT seq, ts // {7 * DAY} AS block, px AS truth, px + k AS a, px - k // 2 AS b FROM tick)
+SELECT block, count(*) AS rows, round(avg(abs(a - truth)), 6) AS mae_left, round(avg(abs(b - truth)), 6) AS mae_right, round(avg(abs(a - truth)) - avg(abs(b - truth)), 6) AS gain FROM v GROUP BY block""")
+def weekly_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of a prediction against the truth, by weeks."""
+    t = ticks(spark, sf).withColumns({"a": F.col("px") + F.col("k"), "b": F.col("px") - F.floor(F.col("k") / 2)})
+    out = R.block_comparison(t.select("seq", "ts", "px", F.col("a").alias("guess")), t.select("seq", "ts", F.col("b").alias("guess")), ["seq", "ts"], F.floor(F.col("ts") / (7 * DAY)), "px", "guess")
+    return out.select("block", "rows", *[r6(F.col(c), c) for c in ("mae_left", "mae_right", "gain")])
+
+
+@P.add(f"""WITH RECURSIVE {CROSSED}, t AS (SELECT series, segment_id, x_entry AS entry_at, x_at AS exit_at, x_pos AS side, (x_price - x_in) * x_pos - 6 AS pnl, term AS terminal, (x_at - x_entry) / {HOUR}.0::DOUBLE AS hold FROM st WHERE x_at IS NOT NULL),
+r AS (SELECT sum(pnl) OVER (ORDER BY exit_at, entry_at, series, segment_id) AS total FROM t), d AS (SELECT total, greatest(max(total) OVER (ORDER BY i), 0) - total AS fall FROM (SELECT total, row_number() OVER () AS i FROM (SELECT sum(pnl) OVER w AS total, row_number() OVER w AS n FROM t WINDOW w AS (ORDER BY exit_at, entry_at, series, segment_id) ORDER BY n)))
+SELECT count(*) AS trades, count(CASE WHEN side > 0 THEN 1 END) AS long_trades, count(CASE WHEN side < 0 THEN 1 END) AS short_trades, count(CASE WHEN NOT terminal THEN 1 END) AS crossed, count(CASE WHEN terminal THEN 1 END) AS forced, sum(pnl) AS total, round(avg(pnl), 5) AS mean, median(pnl) AS median, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
+  round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / -sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END), 6) AS profit_factor, (SELECT max(fall) FROM d) AS max_drawdown, round(avg(hold), 6) AS hold_mean, median(hold) AS hold_median,
+  count(CASE WHEN hold <= 2 THEN 1 END) AS hold_0, count(CASE WHEN hold > 2 AND hold <= 6 THEN 1 END) AS hold_1, count(CASE WHEN hold > 6 AND hold <= 24 THEN 1 END) AS hold_2, count(CASE WHEN hold > 24 THEN 1 END) AS hold_3 FROM t""")
+def exit_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A ledger's metrics with holding buckets."""
+    trades = L.cross_ledger(averaged_sides(spark, sf), SEG, "bar", 1, 0.6, 1.0, 3.0, 1.0).withColumn("hold", (F.col("exit_at") - F.col("entry_at")) / float(HOUR))
+    out = L.exit_metrics(trades, "net_ticks", "hold", (2.0, 6.0, 24.0), ["exit_at", "entry_at", "series", "segment_id"])
+    return out.withColumns({"mean": F.round("mean", 5), "hit_rate": F.round("hit_rate", 6), "profit_factor": F.round("profit_factor", 6), "hold_mean": F.round("hold_mean", 6)})

@@ -105,8 +105,14 @@ def rolling_corr(spark: SparkSession, sf: str) -> DataFrame:
     rows = averaged(spark, sf, 5)
     rows = rows.withColumns({"p": T.lag_delta(F.col("mid"), SEG, ["bar"]).cast("double"), "v": F.round(T.lag_delta(F.col("avg_5"), SEG, ["bar"]), 4), "ok": F.col("observed") & F.lag("observed").over(s)})
     rows = rows.withColumns({"p1": F.lag("p").over(s), "v1": F.lag("v").over(s), "good": F.coalesce(F.col("ok") & F.lag("ok").over(s), F.lit(False))})
-    one = T.correlation(F.col("p1"), F.col("v"), F.col("good"), SEG, ["bar"], 60, floor=1e-4)
-    two = T.correlation(F.col("v1"), F.col("p"), F.col("good"), SEG, ["bar"], 60, floor=1e-4)
+
+    def over_chunks(part: DataFrame, keys: list[str]) -> DataFrame:
+        one = T.correlation(F.col("p1"), F.col("v"), F.col("good"), keys, ["bar"], 60, floor=1e-4)
+        two = T.correlation(F.col("v1"), F.col("p"), F.col("good"), keys, ["bar"], 60, floor=1e-4)
+        return part.withColumns({"o0": one[0], "o1": one[1], "t0": two[0], "t1": two[1]})
+
+    rows = T.chunked(rows, SEG, (F.col("bar") / HOUR).cast("long"), 59, 480, over_chunks)
+    one, two = (F.col("o0"), F.col("o1")), (F.col("t0"), F.col("t1"))
     return rows.select("series", "bar", r6(one[0], "price_leads", 4), r6(one[1], "price_beta", 4), r6(two[0], "average_leads", 4), r6(two[1], "average_beta", 4))
 
 
@@ -170,8 +176,9 @@ SELECT series, ts, seq, px, serial, CAST(row_number() OVER (PARTITION BY series
 def merge_streams(spark: SparkSession, sf: str) -> DataFrame:
     """Three streams in one causal order; the stream's place breaks ties."""
     t = ticks(spark, sf).select("series", "ts", "seq", "px", "event_type")
-    rows = T.merged([t.where(F.col("event_type") == x).drop("event_type") for x in ("click", "view", "purchase")], ["series", "ts", "seq"])
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("ts", "seq", "serial")))
+    rows = T.merged([t.where(F.col("event_type") == x).drop("event_type") for x in ("click", "view", "purchase")], ["ts", "seq"])
+    at = rows.withColumn("at", F.monotonically_increasing_id())  # grows with the merged order
+    return at.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("at"))).drop("at")
 
 
 @P.add(f"""WITH {TICK} SELECT series, k, ts, seq, px FROM tick QUALIFY row_number() OVER (PARTITION BY series, k ORDER BY ts DESC, seq DESC) = 1""")
@@ -181,17 +188,14 @@ def dedupe_last(spark: SparkSession, sf: str) -> DataFrame:
 
 @P.add(f"""WITH {TICK} SELECT series, seq, px FROM tick QUALIFY (row_number() OVER (PARTITION BY series ORDER BY ts, seq) - 1) % 5 = 0""")
 def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return T.every_nth(ticks(spark, sf), ["series"], ["ts", "seq"], 5).select("series", "seq", "px")
+    return T.every_nth(ticks(spark, sf), ["series"], ["ts", "seq"], 5, 7 * DAY).select("series", "seq", "px")
 
 
 @P.add(f"""WITH {QUOTE} SELECT series, ts // {2 * HOUR} * {2 * HOUR} AS bar, arg_max(bid, seq) AS last_bid, arg_max(ask, seq) AS last_ask, arg_max(k, seq) AS last_k, CAST(sum(k) AS BIGINT) AS k_total, count(*) AS n,
   max(px) - min(px) AS mid_range, arg_max(px, seq) - arg_min(px, seq) AS mid_change FROM quote GROUP BY ALL""")
 def last_of_bar(spark: SparkSession, sf: str) -> DataFrame:
     """Longer bars: the last row's state as one struct, sums, range and change."""
-    q = quotes(spark, sf)
-    order = F.struct("ts", "seq")
-    out = q.groupBy("series", S.bucket(F.col("ts"), 2 * HOUR).alias("bar")).agg(F.max_by(F.struct("bid", "ask", "k"), order).alias("last"), F.sum("k").alias("k_total"), F.count("*").alias("n"), (F.max("px") - F.min("px")).alias("mid_range"), (F.max_by("px", order) - F.min_by("px", order)).alias("mid_change"))
-    return out.select("series", "bar", F.col("last.bid").alias("last_bid"), F.col("last.ask").alias("last_ask"), F.col("last.k").alias("last_k"), "k_total", "n", "mid_range", "mid_change")
+    return B.last_of_bars(quotes(spark, sf), ["series"], "ts", 2 * HOUR, ["ts", "seq"], ["bid", "ask", "k"], ["k"], "px")
 
 
 @P.add(f"""WITH {TICK}, bounds AS (SELECT series, min(ts) // {HOUR} AS lo, max(ts) // {HOUR} AS hi FROM tick GROUP BY series),
@@ -205,10 +209,7 @@ def shifted_trades(spark: SparkSession, sf: str) -> DataFrame:
     grid = T.grid(t.groupBy("series").agg(F.min("h").alias("lo"), F.max("h").alias("hi")), ["series"], "lo", "hi", 1, "h")
     of = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("k")).otherwise(0))
     sums = t.groupBy("series", "h").agg(of("purchase").alias("buy"), of("click").alias("sell"), F.count("*").alias("n"))
-    w = Window.partitionBy("series").orderBy("h")
-    zero = F.lit(0).cast("long")
-    later = lambda c: F.coalesce(F.lag(F.coalesce(F.col(c), zero)).over(w), zero).alias(c)
-    return grid.join(sums, ["series", "h"], "left").select("series", "h", later("buy"), later("sell"), later("n"))
+    return T.shifted(grid, sums, ["series"], "h", ["buy", "sell", "n"])
 
 
 @P.add(f"""WITH {BARS}, m AS (SELECT *, last_bid + last_ask AS mid FROM bars WHERE last_bid > 0),

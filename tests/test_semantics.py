@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,18 +95,61 @@ def test_cross_ledger_by_hand(spark):
 
 def test_order_book_keeps_missing_fields():
     b = K.OrderBook(2)
-    b.apply("1", "add", "buy", 10.0, 5.0)
-    b.apply("1", "modify", None, None, 3.0)
-    b.apply("2", "add", "sell", 11.0, 1.0)
-    assert b.orders == {"1": ("bid", 10.0, 3.0), "2": ("ask", 11.0, 1.0)} and (b.adds, b.modifies, b.add_qty) == (2, 1, 6.0)
-    b.apply("1", "delete", None, None, None)
-    b.apply("9", "delete", None, None, None)
-    b.apply("3", "add", None, 5.0, 1.0)
-    assert (b.deletes, b.delete_qty, b.total["bid"], set(b.orders)) == (2, 3.0, 0.0, {"2"})
+    b.update("1", False, ["bid", 10.0, 5.0])
+    b.update("1", False, [None, None, 3.0])
+    b.update("2", False, ["ask", 11.0, 1.0])
+    assert b.orders == {"1": ["bid", 10.0, 3.0], "2": ["ask", 11.0, 1.0]} and (b.counts["adds"], b.counts["modifies"], b.counts["add_qty"]) == (2, 1, 6.0)
+    b.update("1", True, [None, None, None])
+    b.update("9", True, [None, None, None])
+    b.update("3", False, [None, 5.0, 1.0])
+    assert (b.counts["deletes"], b.counts["delete_qty"], b.total["bid"], set(b.orders)) == (2, 3.0, 0.0, {"2"})
     for i in range(4):
-        b.apply(f"b{i}", "add", "bid", float(i), 1.0)
+        b.update(f"b{i}", False, ["bid", float(i), 1.0])
     b.truncate()
-    assert sorted(b.members["bid"]) == [2.0, 3.0]  # the worst levels go for good
+    assert sorted(b.levels["bid"]) == [2.0, 3.0]  # the worst levels go for good
+
+
+def test_packets_of_type_snapshot_clear_the_order_book(spark):
+    rows = [("v", 10, 1, 0, "a", "buy", 5.0, 2.0, "add", False, "update"), ("v", 10, 1, 1, "b", "offer", 6.0, 1.0, "add", False, "update"), ("v", 20, 2, 0, "c", "bid", 4.0, 3.0, "add", False, "Snapshot"), ("v", 30, 3, 0, "c", None, float("nan"), 1.0, "modify", None, None)]
+    frame = spark.createDataFrame(rows, "venue string, ts long, event_id long, row_idx int, order_id string, side string, price double, quantity double, action string, is_snapshot boolean, event_type string")
+    got = {r.tick: r for r in K.l3_features(frame, "venue", 10).collect()}
+    assert [(got[t].orders, got[t].bid_qty, got[t].ask_qty, got[t].best_bid, got[t].best_ask) for t in (10, 20, 30)] == [(2, 2.0, 1.0, 5.0, 6.0), (1, 3.0, 0.0, 4.0, None), (1, 1.0, 0.0, 4.0, None)]
+    assert [(got[t].adds, got[t].modifies, got[t].deletes) for t in (10, 20, 30)] == [(2, 0, 0), (1, 0, 0), (0, 1, 0)]
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
+def test_parts_change_nothing(spark, width):
+    """Windows over a whole key and by stretches of time agree, with ties, nulls, empty stretches and keys of one row."""
+    rng = np.random.default_rng(width)
+    rows = [(k, int(t), i, None if rng.random() < 0.4 else int(rng.integers(0, 9)), bool(rng.random() < 0.2)) for k in range(3) for i, t in enumerate(np.sort(rng.integers(0, 300, (1, 60, 90)[k])))]
+    frame = spark.createDataFrame(rows, "k long, ts long, seq long, v long, snap boolean").repartition(3)
+    same = lambda f: sorted(map(str, f(None).collect())) == sorted(map(str, f(width).collect()))
+    keys, order, v = ["k"], ["ts", "seq"], F.col("v")
+    assert same(lambda w: T.forward_fill(frame, keys, order, ["v"], w).select("k", "seq", "v"))
+    assert same(lambda w: T.running_total(frame, keys, order, F.coalesce(v, F.lit(0)), "x", w).select("k", "seq", "x"))
+    assert same(lambda w: T.neighbours(frame, keys, order, ["ts", "v"], w, lead=True).select("k", "seq", "lag_ts", "lag_v", "lead_ts", "lead_v"))
+    assert same(lambda w: T.islands(frame, keys, order, F.col("snap"), "x", w).select("k", "seq", "x"))
+    assert same(lambda w: T.every_nth(frame, keys, order, 4, w).select("k", "seq"))
+    assert same(lambda w: K.flagged_gaps(frame, keys, order, "v", "v", width=w).select("k", "seq", "stale", "gap", "run"))
+    assert same(lambda w: K.versions(frame, keys, order, F.col("snap"), ("v",), width=w).select("k", "seq", "epoch", "valid_from", "valid_to"))
+    bars = frame.groupBy("k", (F.floor(F.col("ts") / 5) * 5).alias("bar")).agg(F.count("*").alias("n"))
+    assert same(lambda w: T.gap_fill(bars, keys, "bar", 5, 2, w).select("k", "bar", "observed", "segment_id"))
+
+
+def test_rolling_windows_match_their_frames(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if rng.random() < 0.2 else float("nan") if rng.random() < 0.1 else float(rng.normal(100, 3)), float(rng.normal(0, 1)), bool(rng.random() < 0.7)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "t long, x double, y double, ok boolean").withColumn("k", F.lit(1))
+    x, y = F.coalesce(F.nanvl("x", F.lit(0.0)), F.lit(0.0)), F.col("y")
+    corr, beta = T.correlation(x, y, F.col("ok"), ["k"], ["t"], 30)
+    out = frame.select("t", T.full_mean(F.col("x"), ["k"], ["t"], 3).alias("full"), T.partial_mean(F.col("x"), ["k"], ["t"], 5).alias("part"), corr.alias("corr"), beta.alias("beta")).orderBy("t").collect()
+    seen = lambda lo, hi: [r[1] for r in rows[max(lo, 0) : hi] if r[1] is not None and r[1] == r[1]]
+    for i, r in enumerate(out):
+        three, five = seen(i - 2, i + 1), seen(i - 4, i + 1)
+        assert r.full == (pytest.approx(np.mean(three)) if len(three) == 3 else None) and r.part == (pytest.approx(np.mean(five)) if five else None)
+        pairs = np.array([(0.0 if a is None or a != a else a, b) for _, a, b, ok in rows[max(0, i - 29) : i + 1] if ok]).reshape(-1, 2)
+        if len(pairs) > 2:
+            assert r.corr == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=1e-6) and r.beta == pytest.approx(np.cov(pairs.T, bias=True)[0, 1] / pairs[:, 0].var(), abs=1e-6)
 
 
 def test_book_versions_equal_a_replay(spark):
