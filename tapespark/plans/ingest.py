@@ -7,7 +7,6 @@ import uuid
 import zipfile
 
 import pyarrow as pa
-import pyarrow.csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,14 +76,14 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return ticks(spark, sf).select(*[have.get(n, F.lit(None)).cast(k).alias(n) for n, k in (c.strip().split() for c in RECORD.split(","))])
 
 
-@P.add()
+@P.add(f"""WITH {TICK} SELECT seq AS event_id, ts * 1000 AS local_ts_ns, CAST(px / 100.0 AS DOUBLE) AS price, CAST(k AS DOUBLE) AS quantity FROM tick""")
 def recordlog_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Records through the framed log's sink and source, and the suffix after a time."""
+    """Records through the framed log's sink and source: only the four columns that are asked for are decoded."""
     spark.dataSource.register(recordlog.RecordLog)
     path = scratch(spark, "log")
     records(spark, sf).write.format("recordlog").mode("append").save(path)
-    rows = spark.read.format("recordlog").load(path)
-    return recordlog.after(rows, 0).select("event_id", "local_ts_ns", "price", "quantity")
+    rows = spark.read.format("recordlog").option("columns", "event_id,local_ts_ns,price,quantity").option("after", 0).load(path)
+    return recordlog.after(rows, 0)
 
 
 @P.add(f"""WITH {TICK}, c AS (SELECT (min(ts) + max(ts)) // 2 AS cut FROM tick) SELECT seq, ts FROM tick, c WHERE ts > cut""")
@@ -124,11 +123,29 @@ def compaction_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(files.logical_name(F.col("stem")).alias("name")).agg(F.countDistinct("stem").alias("sources"), F.count("*").alias("rows"))
 
 
-@P.add()
+SEGMENTS = ("a_20240101_000000", "a_20240101_000100_2", "b_20240101_000000", "c")
+
+
+def rename_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """Moves the one file of each folder name=<stem> to target/<stem>.parquet, on whatever file system they are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(target))
+    for part in fs.listStatus(hadoop.Path(folder)):
+        if (name := part.getPath().getName()).startswith("name="):
+            for f in fs.listStatus(part.getPath()):
+                if f.getPath().getName().endswith(".parquet"):
+                    fs.rename(f.getPath(), hadoop.Path(f"{target}/{name.removeprefix('name=')}.parquet"))
+
+
+@P.add(f"""WITH {TICK}, s AS (SELECT [{', '.join(map(repr, SEGMENTS))}][k % 4 + 1] AS stem FROM tick)
+SELECT regexp_replace(stem, '_\\d{{8}}_\\d{{6}}(_\\d+)?$', '') AS name, count(DISTINCT stem) AS sources, count(*) AS rows FROM s GROUP BY 1""")
 def compact_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """A real rewrite: the events' files as one per logical name, with checked counts."""
-    source = scratch(spark, "segments")
-    ticks(spark, sf).write.parquet(source)
+    """A real rewrite: rotated segments as one file per logical name, with checked counts."""
+    stem = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.pmod("k", F.lit(4)) + 1).cast("int"))
+    parts, source = scratch(spark, "parts"), scratch(spark, "segments")
+    ticks(spark, sf).withColumn("name", stem).repartition(4, "name").write.partitionBy("name").parquet(parts)
+    rename_parts(spark, parts, source)
     return files.compact(spark, source, scratch(spark, "compacted"))
 
 
@@ -152,7 +169,7 @@ def trendbar_decode(spark: SparkSession, sf: str) -> DataFrame:
     return files.trendbars(rows, 5).drop("volume")
 
 
-@P.add()
+@P.add(f"WITH {TICK} SELECT seq, ts, px FROM tick")
 def zip_archives(spark: SparkSession, sf: str) -> DataFrame:
     """Zipped CSV archives, one a day, written and read back."""
     t = ticks(spark, sf).withColumn("day", F.floor(F.col("ts") / DAY))
@@ -164,16 +181,8 @@ def zip_archives(spark: SparkSession, sf: str) -> DataFrame:
             z.writestr("day.csv", "\n".join(lines))
         return pa.table({"content": pa.array([out.getvalue()], pa.binary())})
 
-    # The archives stay a column here; zipped_csv reads such files from a folder.
     packed = t.select("day", "seq", "ts", "px").groupBy("day").applyInArrow(pack, "content binary")
-    return packed.mapInArrow(unpack, "seq long, ts long, px long")
-
-
-def unpack(batches):
-    for batch in batches:
-        for data in batch.column(0):
-            with zipfile.ZipFile(io.BytesIO(data.as_py())) as z, z.open(z.namelist()[0]) as f:
-                yield from pa.csv.read_csv(f).to_batches()
+    return files.unzipped(packed, "seq bigint, ts bigint, px bigint")
 
 
 @P.add(f"""WITH {TICK}, a AS (SELECT series, ts // {HOUR} AS t, seq, px, NULL::BIGINT AS extra FROM tick WHERE seq % 2 = 0 UNION ALL SELECT series, ts // {HOUR}, seq, px, k FROM tick WHERE seq % 2 = 1)
@@ -192,7 +201,7 @@ def pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", cents(F.col("l_extendedprice")).alias("cents"))
 
 
-@P.add()
+@P.add(f"WITH {TICK} SELECT seq, ts, series, px, k, event_type FROM tick")
 def verified_artifact(spark: SparkSession, sf: str) -> DataFrame:
     """A table written with a manifest and read back against it."""
     path = scratch(spark, "artifact")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..streaming import streams as S
-from .base import DAY, HOUR, SEG, TICK, VENUES, Plans, bars, cents, micros, r6, table
+from .base import BARS, DAY, HOUR, SEG, TICK, VENUES, Plans, bars, cents, micros, r6, table
 from .books import LEVELS
 from .ingest import scratch
 
@@ -63,24 +63,48 @@ def stream_once(spark: SparkSession, sf: str) -> DataFrame:
     return processed(spark, S.once(rows, ["series", "ms"]), "once").agg(F.count("*").alias("rows"))
 
 
-@P.add()
+def lstm_sql(weights: dict, rows: str, keys: str) -> str:
+    """A recurrent cell as a recursion over rows (keys, n from 1 on, a, b): rec has the state and the probability p after each."""
+    lists = lambda x: "[" + ", ".join(lists(v) if getattr(v, "ndim", 0) else repr(float(v)) for v in x) + "]"
+    n = weights["u"].shape[1]
+    on = " AND ".join(f"z.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    sig = lambda z: f"(1 / (1 + exp(-least(greatest({z}, -30), 30))))"
+    return f"""net AS (SELECT {lists(weights['w'])}::DOUBLE[][] AS w, {lists(weights['u'])}::DOUBLE[][] AS u, {lists(weights['b'])}::DOUBLE[] AS b, {lists(weights['v'][0])}::DOUBLE[] AS v, {float(weights['c'][0])!r}::DOUBLE AS c0),
+rec({keys}, n, h, c, p) AS (
+  SELECT DISTINCT {keys}, 0::BIGINT, {[0.0] * n}::DOUBLE[], {[0.0] * n}::DOUBLE[], 0::DOUBLE FROM {rows}
+  UNION ALL SELECT {', '.join('r.' + k.strip() for k in keys.split(','))}, z.n, t.h, t.c, {sig('list_dot_product(net.v, t.h) + net.c0')}
+  FROM rec r JOIN {rows} z ON {on} AND z.n = r.n + 1, net,
+  LATERAL (SELECT list_transform(range(1, {4 * n + 1}), lambda i: net.b[i] + net.w[i][1] * z.a + net.w[i][2] * z.b + list_dot_product(net.u[i], r.h)) AS g) q,
+  LATERAL (SELECT list_transform(range(1, {n + 1}), lambda j: {sig(f'q.g[{n} + j]')} * r.c[j] + {sig('q.g[j]')} * tanh(q.g[{2 * n} + j])) AS c) s,
+  LATERAL (SELECT s.c AS c, list_transform(range(1, {n + 1}), lambda j: {sig(f'q.g[{3 * n} + j]')} * tanh(s.c[j])) AS h) t)"""
+
+
+CELL = M.lstm_weights(2, 8)
+
+
+@P.add(f"""WITH RECURSIVE {TICK}, x AS (SELECT series, ts // {DAY} AS event, ts AS at_us, px / 50000.0::DOUBLE AS a, k / 100.0::DOUBLE AS b, row_number() OVER (PARTITION BY series, ts // {DAY} ORDER BY ts) AS n FROM tick), {lstm_sql(CELL, 'x', 'series, event')}
+SELECT x.series, x.event, x.at_us, round(rec.p, 7) AS probability FROM rec JOIN x USING (series, event, n)""")
 def stream_recurrent(spark: SparkSession, sf: str) -> DataFrame:
     """Row-by-row inference with carried state; an event is a day of a series."""
     rows = live_ticks(spark, sf).select("series", F.floor(F.col("ts") / DAY).alias("event"), F.col("ts").alias("at_us"), (F.col("px") / 50_000.0).alias("a"), (F.col("k") / 100.0).alias("b"))
-    return processed(spark, S.recurrent(rows, ["a", "b"], M.lstm_weights(2, 8)), "recurrent")
+    return processed(spark, S.recurrent(rows, ["a", "b"], CELL), "recurrent").withColumn("probability", F.round("probability", 7))
 
 
-@P.add()
+@P.add(f"""WITH {BARS}, w AS (SELECT series, segment_id, bar, list([CAST(close AS DOUBLE), CAST(weight AS DOUBLE)]) OVER (PARTITION BY series, segment_id ORDER BY bar ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x, row_number() OVER (PARTITION BY series, segment_id ORDER BY bar) AS n FROM bars)
+SELECT series, segment_id, bar, array_to_string(list_transform(flatten(x), lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS cells FROM w WHERE n >= 6 AND (n - 6) % 2 = 0""")
 def window_tensors(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of features, as training data for sequence models."""
-    return M.windows(bars(spark, sf), SEG, ["bar"], ["close", "weight"], 6, 2).select(*SEG, "bar", "window")
+    rows = M.windows(bars(spark, sf), SEG, ["bar"], ["close", "weight"], 6, 2)
+    cells = F.transform(F.flatten("window"), lambda v: v.cast("long").cast("string"))
+    return rows.select(*SEG, "bar", F.array_join(cells, ",").alias("cells"))
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE {BARS}, x AS (SELECT series, segment_id, bar, close / 50000.0::DOUBLE AS a, weight / 100.0::DOUBLE AS b, row_number() OVER (PARTITION BY series, segment_id ORDER BY bar) AS n FROM bars), {lstm_sql(CELL, 'x', 'series, segment_id')}
+SELECT x.series, x.segment_id, x.bar, round(rec.p, 7) AS probability FROM rec JOIN x USING (series, segment_id, n)""")
 def lstm_inference(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities of a recurrent policy at every row of a segment."""
     rows = bars(spark, sf).withColumns({"a": F.col("close") / 50_000.0, "b": F.col("weight") / 100.0})
-    return M.lstm_scores(rows, SEG, "bar", ["a", "b"], M.lstm_weights(2, 8))
+    return M.lstm_scores(rows, SEG, "bar", ["a", "b"], CELL).withColumn("probability", F.round("probability", 7))
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:

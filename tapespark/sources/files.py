@@ -44,15 +44,17 @@ def require(bounds: DataFrame, venue: str = "binance_perpetual", kinds: Sequence
         raise ValueError(f"{venue} has no {', '.join(missing)}")
 
 
-def candles(rows: DataFrame, keys: Sequence[str] = (), least: int = 2000) -> DataFrame:
+def candles(rows: DataFrame, keys: Sequence[str] = (), least: int = 2000, order: Sequence[str] = ()) -> DataFrame:
     """Candles from text, number or time stamps: UTC, without null prices, the last of each time.
 
-    Numbers are milliseconds. Raises with fewer than least rows.
+    Numbers are milliseconds. Of candles of one time the one that comes last in order stays; where order does
+    not tell, the one with the largest values, so that no layout of the files matters. Raises with fewer than
+    least rows.
     """
     kind = rows.schema["timestamp"].dataType.simpleString()
     at = F.timestamp_millis("timestamp") if kind in ("bigint", "int") else F.try_to_timestamp("timestamp") if kind == "string" else F.col("timestamp").cast("timestamp")
-    rows = rows.withColumn("_order", F.monotonically_increasing_id()).withColumn("timestamp", at)
-    out = keep_last(rows.dropna(subset=["timestamp", "open", "high", "low", "close"]), [*keys, "timestamp"], ["_order"]).drop("_order")
+    ties = [*order, *[c for c in ("volume", "close", "open", "high", "low") if c in rows.columns and c not in order]]
+    out = keep_last(rows.withColumn("timestamp", at).dropna(subset=["timestamp", "open", "high", "low", "close"]), [*keys, "timestamp"], ties)
     if out.limit(least).count() < least:
         raise ValueError(f"at least {least} candles are needed")
     return out
@@ -65,8 +67,8 @@ def trendbars(rows: DataFrame, digits: int | None = None, scale: float = 1e5) ->
     return rows.select("minute", rounded(price("delta_open")).alias("open"), rounded(price("delta_high")).alias("high"), rounded(price(None)).alias("low"), rounded(price("delta_close")).alias("close"), F.col("volume"))
 
 
-def zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Rows of zip archives that hold exactly one CSV each; a task unpacks one archive and streams its rows."""
+def unzipped(archives: DataFrame, schema: str, header: bool = True) -> DataFrame:
+    """Rows of zip archives (content) that hold exactly one CSV each; a task unpacks one archive and streams its rows."""
     names = [c.strip().split()[0] for c in schema.split(",")]
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     types = {n: kinds[c.strip().split()[1]] for n, c in zip(names, schema.split(","), strict=True)}
@@ -83,7 +85,12 @@ def zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True)
                         for part in pyarrow.csv.open_csv(f, read_options=read, convert_options=pyarrow.csv.ConvertOptions(column_types=types, include_columns=names)):
                             yield part
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return archives.select("content").mapInArrow(run, schema)
+
+
+def zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """unzipped of the archives under a path."""
+    return unzipped(spark.read.format("binaryFile").load(path), schema, header)
 
 
 def recorded_parts(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], valid: Column) -> DataFrame:
@@ -118,6 +125,18 @@ def compact(spark: SparkSession, folder: str, target: str) -> DataFrame:
     return groups
 
 
+def sha256_of(rows: DataFrame, columns: Sequence[str] = ()) -> str:
+    """SHA-256 of a table whatever its order and partitions: of the sorted digests of blocks of its rows' digests.
+
+    A row's digest is that of its JSON text; rows are dealt to 4096 blocks by it and sorted within.
+    """
+    text = F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false"})
+    each = rows.select(F.sha2(text, 256).alias("h")).withColumn("block", F.substring("h", 1, 3))
+    blocks = each.groupBy("block", F.substring("h", 4, 3).alias("cell")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("d"))
+    blocks = blocks.groupBy("block").agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("cell", "d"))), lambda x: x["d"])), 256).alias("d"))
+    return blocks.agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("block", "d"))), lambda x: x["d"])), 256)).first()[0]
+
+
 def fingerprint(rows: DataFrame, columns: Sequence[str] = ()) -> str:
     """A digest of a table's rows that doesn't depend on their order: what a manifest keeps."""
     each = F.xxhash64(*(columns or rows.columns)).cast("decimal(38,0)")
@@ -130,7 +149,7 @@ def save_with_manifest(rows: DataFrame, path: str) -> dict:
     rows.write.option("compression", "zstd").parquet(f"{path}/data")
     spark = rows.sparkSession
     back = spark.read.parquet(f"{path}/data")
-    manifest = {"schema": back.schema.json(), "digest": fingerprint(back)}
+    manifest = {"schema": back.schema.json(), "digest": sha256_of(back)}
     spark.createDataFrame([(manifest["schema"], manifest["digest"])], "schema string, digest string").coalesce(1).write.json(f"{path}/manifest")
     return manifest
 
@@ -139,6 +158,6 @@ def load_verified(spark: SparkSession, path: str) -> DataFrame:
     """The table of a manifest; raises if it isn't what was written."""
     m = spark.read.schema("schema string, digest string").json(f"{path}/manifest").first()
     rows = spark.read.parquet(f"{path}/data")
-    if rows.schema.json() != m["schema"] or fingerprint(rows) != m["digest"]:
+    if rows.schema.json() != m["schema"] or sha256_of(rows) != m["digest"]:
         raise ValueError(f"{path} is not what its manifest says")
     return rows

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,40 +44,74 @@ class Frame:
         return self.offset + self.size + TRAILER.size
 
 
-def frames(path: str) -> tuple[list[Frame], int, str]:
-    """The committed frames of a file, where they end, and why the rest doesn't count (empty if there is none)."""
-    size, found = os.path.getsize(path), []
+def walk(path: str) -> Iterator[Frame]:
+    """The committed frames of a file, one after the other; what ends them is returned as (where, why)."""
+    size = os.path.getsize(path)
     with open(path, "rb") as f:
         if f.read(len(FILE_MARK)) != FILE_MARK:
             if size >= len(FILE_MARK):
                 raise Damaged(f"{path}: not a record log")
-            return [], 0, "no header"
+            return 0, "no header"
         at = len(FILE_MARK)
         while at < size:
             f.seek(at)
             head = f.read(HEADER.size)
             if len(head) < HEADER.size:
-                return found, at, "cut off in a frame's header"
+                return at, "cut off in a frame's header"
             mark, n, rows, crc = HEADER.unpack(head)
             frame = Frame(path, at + HEADER.size, n, rows, crc)
             if mark != FRAME_MARK or frame.end > size:
-                return found, at, "cut off in a frame" if mark == FRAME_MARK else "no frame"
+                return at, "cut off in a frame" if mark == FRAME_MARK else "no frame"
             f.seek(frame.offset + n)
             if TRAILER.unpack(f.read(TRAILER.size)) != (END_MARK, n, crc):
-                return found, at, "a frame that wasn't committed"
-            found.append(frame)
+                return at, "a frame that wasn't committed"
+            yield frame
             at = frame.end
-    return found, at, ""
+    return at, ""
 
 
-def load(frame: Frame, columns: list[str] | None = None) -> pa.Table:
-    """A frame's rows; raises Damaged if its bytes or number of rows aren't those it was written with."""
+def frames(path: str) -> tuple[list[Frame], int, str]:
+    """The committed frames of a file, where they end, and why the rest doesn't count (empty if there is none)."""
+    found, steps = [], walk(path)
+    while True:
+        try:
+            found.append(next(steps))
+        except StopIteration as end:
+            return found, *end.value
+
+
+def payload(frame: Frame) -> bytes:
     with open(frame.path, "rb") as f:
         f.seek(frame.offset)
-        payload = f.read(frame.size)
-    if zlib.crc32(payload) != frame.crc:
+        return f.read(frame.size)
+
+
+def latest(frame: Frame) -> int:
+    """The last receive time of a frame, from the statistics in its Parquet footer; without them beyond any."""
+    told = pq.ParquetFile(pa.BufferReader(payload(frame))).metadata
+    place = SCHEMA.get_field_index("local_ts_ns")
+    stats = [told.row_group(g).column(place).statistics for g in range(told.num_row_groups)]
+    return max((x.max for x in stats if x is not None and x.has_min_max), default=1 << 63) if all(x is not None and x.has_min_max for x in stats) else 1 << 63
+
+
+def bounds(paths: list[str]) -> list[tuple[str, int, int, int]]:
+    """(path, rows, first, last receive time) of logs: the first frame's least and the last frame's largest time; the frames between aren't decoded."""
+    out = []
+    for path in paths:
+        found, _, _ = frames(path)
+        times = [load(f, ["local_ts_ns"]).column(0) for f in (found[:1] + found[-1:])]
+        seen = [pa.compute.min_max(t).as_py() for t in times if len(t)]
+        if seen:
+            out.append((path, sum(f.rows for f in found), seen[0]["min"], seen[-1]["max"]))
+    return out
+
+
+def load(frame: Frame, columns: list[str] | None = None) -> pa.Table:
+    """A frame's rows; raises Damaged if its bytes or number of rows aren't those it was written with."""
+    data = payload(frame)
+    if zlib.crc32(data) != frame.crc:
         raise Damaged(f"{frame.path}: wrong checksum at byte {frame.offset}")
-    table = pq.read_table(pa.BufferReader(payload), columns=columns)
+    table = pq.read_table(pa.BufferReader(data), columns=columns)
     if table.num_rows != frame.rows:
         raise Damaged(f"{frame.path}: wrong number of rows at byte {frame.offset}")
     return table
@@ -138,9 +173,17 @@ def copy_committed(source: str, target: str) -> tuple[int, int]:
     return n, rows
 
 
+#: Bytes of a log that one task reads; frames belong to the stretch in which they begin.
+STRETCH = 64 << 20
+
+
 @dataclass
-class FramePart(InputPartition):
-    frame: Frame
+class Stretch(InputPartition):
+    """Frames of a file that begin at start or later and before end."""
+
+    path: str
+    start: int
+    end: int
 
 
 def _files(path: str) -> list[str]:
@@ -148,23 +191,41 @@ def _files(path: str) -> list[str]:
     return sorted(glob.glob(os.path.join(path, "*.mrec"))) if os.path.isdir(path) else [path]
 
 
+def _bytes(path: str) -> int:
+    return os.path.getsize(path)
+
+
+def stretch_frames(part: Stretch) -> Iterator[Frame]:
+    """The frames of a stretch: the headers are walked by the task, from the file's start, and no payload before the stretch is read."""
+    for frame in walk(part.path):
+        at = frame.offset - HEADER.size
+        if at >= part.end:
+            return
+        if at >= part.start:
+            yield frame
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, columns: list[str], after: int | None) -> None:
+        self.path, self.columns, self.after = path, columns, after
 
     def partitions(self) -> list[InputPartition]:
-        return [FramePart(f) for p in _files(self.path) for f in frames(p)[0]] or [FramePart(Frame("", 0, 0, 0, 0))]
+        """Stretches of the files: the driver lists files and sizes only."""
+        return [Stretch(p, k, k + STRETCH) for p in _files(self.path) for k in range(0, max(_bytes(p), 1), STRETCH)] or [Stretch("", 0, 0)]
 
-    def read(self, partition: FramePart) -> Iterator[pa.RecordBatch]:
-        if partition.frame.path:
-            yield from load(partition.frame).cast(SCHEMA).to_batches()
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([SCHEMA.field(c) for c in self.columns])
+        if partition.path:
+            for frame in stretch_frames(partition):
+                if self.after is None or latest(frame) > self.after:
+                    yield from load(frame, self.columns).select(self.columns).cast(schema).to_batches()
 
 
 class _StreamReader(DataSourceStreamReader):
     """Offsets are the committed ends of the files; frames before the start were read."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns = path, columns
 
     def initialOffset(self) -> dict:
         return {}
@@ -173,10 +234,13 @@ class _StreamReader(DataSourceStreamReader):
         return {p: frames(p)[1] for p in _files(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [FramePart(f) for p, stop in sorted(end.items()) for f in frames(p)[0] if start.get(p, 0) < f.end <= stop]
+        first = lambda p: max(start.get(p, 0), len(FILE_MARK))
+        return [Stretch(p, k, min(k + STRETCH, stop)) for p, stop in sorted(end.items()) for k in range(first(p), stop, STRETCH)]
 
-    def read(self, partition: FramePart) -> Iterator[pa.RecordBatch]:
-        yield from load(partition.frame).cast(SCHEMA).to_batches()
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([SCHEMA.field(c) for c in self.columns])
+        for frame in stretch_frames(partition):
+            yield from load(frame, self.columns).select(self.columns).cast(schema).to_batches()
 
 
 @dataclass
@@ -214,22 +278,31 @@ class _Writer(DataSourceArrowWriter):
 class RecordLog(DataSource):
     """spark.read.format("recordlog").load(path), .readStream and .write, after spark.dataSource.register(RecordLog).
 
-    The path is a file or a folder of .mrec files on a file system that all executors mount. A frame is a
-    partition, so one long file is read in parallel.
+    The path is a file or a folder of .mrec files on a file system that all executors mount. A task reads a
+    stretch of a file and walks its frames itself, so one long file is read in parallel. The option columns (names,
+    comma-separated) prunes what is decoded, and after (nanoseconds) leaves out frames received until then.
     """
 
     @classmethod
     def name(cls) -> str:
         return "recordlog"
 
+    def columns(self) -> list[str]:
+        names = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()] or SCHEMA.names
+        if unknown := sorted(set(names) - set(SCHEMA.names)):
+            raise ValueError(f"a record has no {', '.join(unknown)}")
+        return names
+
     def schema(self) -> str:
-        return RECORD
+        kinds = dict(c.strip().split() for c in RECORD.split(","))
+        return ", ".join(f"{c} {kinds[c]}" for c in self.columns())
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        after = self.options.get("after")
+        return _Reader(self.options["path"], self.columns(), None if after is None else int(after))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"])
+        return _StreamReader(self.options["path"], self.columns())
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"])
