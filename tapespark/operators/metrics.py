@@ -165,43 +165,65 @@ def block_bootstrap(rows: DataFrame, block: str, value: str, draws: int = 2000,
     return means.agg(F.avg("_m").alias("mean")).crossJoin(interval)  # one row each
 
 
-def cosine_knn(queries: DataFrame, references: DataFrame, k: int, vector: str = "embedding", block: int = 2048) -> DataFrame:
+def _nearest(ids: np.ndarray, q: np.ndarray, ref: np.ndarray, x: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (references, similarities) of each query among those so far and x; smaller id on ties. Zero vectors count as infinitely far."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sim = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+    sim = np.concatenate([best[1], np.where(np.isnan(sim), -np.inf, sim)], axis=1)
+    refs = np.concatenate([best[0], np.broadcast_to(ref, (len(ids), len(ref)))], axis=1)
+    top = np.lexsort((refs, -sim), axis=1)[:, :k]
+    return np.take_along_axis(refs, top, 1), np.take_along_axis(sim, top, 1)
+
+
+def _vectors(ids: pa.ChunkedArray | pa.Array, values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    kept = [(i, v) for i, v in zip(ids.to_pylist(), values.to_pylist(), strict=True) if v is not None]
+    return np.array([i for i, _ in kept], dtype=np.int64), np.array([v for _, v in kept], dtype=np.float64).reshape(len(kept), -1)
+
+
+def _neighbour_rows(ids: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    real = np.isfinite(best[1])
+    return [pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best[0][real]), pa.array(best[1][real])]
+
+
+def cosine_knn(queries: DataFrame, references: DataFrame, k: int, vector: str = "embedding", block: int = 2048, reference_block: int = 20_000) -> DataFrame:
     """(query, reference, sim, place) for the k references of each query with the largest cosine, smaller id on ties.
 
-    Queries (id, vector) go out in blocks of bounded size; each task keeps its own k best of its references
-    for each query, so k rows a query and task are shuffled, not all pairs. Null and zero vectors are left out.
+    Up to a block of queries is sent to all tasks, and each keeps its own k best of its references. More queries
+    are cut into blocks, as are the references, and each block of the one meets each of the other in a task of
+    its own: nothing passes the driver, and k rows a query and task are left to rank, never all pairs. Null
+    and zero vectors are left out.
     """
     spark = references.sparkSession
-    total = queries.count()
-    parts = -(-total // block) if total else 0
-    out = None
-    for p in range(max(parts, 1)):
-        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p) if parts > 1 else queries
-        rows = [(r[0], r[1]) for r in some.select("id", vector).collect() if r[1] is not None]
-        q = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast(([i for i, _ in rows], q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    rows, others = queries.select("id", vector), references.select("id", vector)
+    names, parts = ["query", "reference", "sim"], -(-rows.count() // block)
+    if parts <= 1:
+        ids, q = _vectors(*rows.toArrow().columns)
+        shared = spark.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            size = np.linalg.norm(q, axis=1)
-            best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+            best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
             for batch in batches:
-                keep = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None]
-                if not keep or not len(ids):
-                    continue
-                ref, x = np.array([i for i, _ in keep]), np.array([v for _, v in keep], dtype=np.float64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = (q @ x.T) / (size[:, None] * np.linalg.norm(x, axis=1)[None, :])
-                for j in range(len(ids)):
-                    r, s = np.concatenate([best[j][0], ref]), np.concatenate([best[j][1], sim[j]])
-                    r, s = r[~np.isnan(s)], s[~np.isnan(s)]
-                    top = np.lexsort((r, -s))[:k]
-                    best[j] = r[top], s[top]
-            n = [len(b[0]) for b in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=np.int64), n)), pa.array(np.concatenate([b[0] for b in best]) if best else np.empty(0, np.int64)), pa.array(np.concatenate([b[1] for b in best]) if best else np.empty(0))], names=["query", "reference", "sim"])
-
-        found = references.select("id", vector).mapInArrow(run, "query long, reference long, sim double")
-        out = found if out is None else out.unionByName(found)
+                ref, x = _vectors(*batch.columns)
+                if len(ref) and len(ids):
+                    best = _nearest(ids, q, ref, x, best, k)
+            yield pa.RecordBatch.from_arrays(_neighbour_rows(ids, best), names=names)
+
+        out = others.mapInArrow(run, "query long, reference long, sim double")
+    else:
+        cells = max(1, -(-others.count() // reference_block))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.select("id", vector, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("a")).withColumn("b", each(cells))
+        right = others.select("id", vector, F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("b")).withColumn("a", each(parts))
+
+        def work(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            (ids, q), (ref, x) = (_vectors(t.column("id"), t.column(vector)) for t in (mine, theirs))
+            best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            for at in range(0, len(ref) if len(ids) else 0, 4096):
+                best = _nearest(ids, q, ref[at : at + 4096], x[at : at + 4096], best, k)
+            return pa.table(_neighbour_rows(ids, best), names=names)
+
+        out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(work, "query long, reference long, sim double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "reference"))
     return out.withColumn("place", place).where(F.col("place") <= k)
 

@@ -21,9 +21,11 @@ QUERIES, SQL = P.QUERIES, P.SQL
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder in the place that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder in the place that all executors share; a session on one machine may name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or f'file:///tmp/checkpoints/{spark.sparkContext.applicationId}').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def messages(spark: SparkSession, sf: str, body) -> DataFrame:

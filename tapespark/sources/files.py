@@ -104,8 +104,10 @@ def recorded_parts(parts: Sequence[DataFrame], keys: Sequence[str], order: Seque
 def renumbered(rows: DataFrame, connection: str, segment: str, at: str, order: Sequence[str] = ()) -> DataFrame:
     """Segments of several connections under one numbering, and the last row of each time."""
     ids = rows.select(connection, segment).distinct()
-    ids = ids.withColumn("_id", F.dense_rank().over(Window.orderBy(connection, segment)) - 1)  # one row per segment
-    out = rows.join(F.broadcast(ids), [connection, segment]).withColumn(segment, F.col("_id")).drop("_id")
+    sizes = ids.groupBy(connection).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(connection).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per connection
+    ids = ids.withColumn("_in", F.row_number().over(Window.partitionBy(connection).orderBy(segment)) - 1).join(sizes.select(connection, before.alias("_before")), connection)
+    out = rows.join(ids, [connection, segment]).withColumn(segment, (F.col("_in") + F.col("_before")).cast("int")).drop("_in", "_before")
     return keep_last(out, [at], [connection, *order])
 
 

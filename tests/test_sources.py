@@ -104,6 +104,51 @@ def test_record_log_as_source_sink_and_stream(spark, tmp_path):
     assert streams.run(live(), out, state).count() == 55  # only the new frames are read
 
 
+def test_record_log_prunes_columns_and_times(spark, tmp_path, monkeypatch):
+    spark.dataSource.register(recordlog.RecordLog)
+    path = str(tmp_path / "x.mrec")
+    for k in range(6):
+        recordlog.append(path, records(10, 10 * k))
+    rows = spark.read.format("recordlog").option("columns", "local_ts_ns, event_id").load(path)
+    assert rows.columns == ["local_ts_ns", "event_id"] and sorted(r.event_id for r in rows.collect()) == list(range(60))
+    late = spark.read.format("recordlog").option("columns", "event_id").option("after", 34).load(path)
+    assert sorted(r.event_id for r in late.collect()) == list(range(30, 60))  # frames that end before are left out
+    with pytest.raises(Exception, match="no such"):
+        spark.read.format("recordlog").option("columns", "such").load(path).collect()
+    found = recordlog.frames(path)[0]
+    for size in (1, 100, found[0].size, 10**9):  # however a file is cut, each frame is read once
+        monkeypatch.setattr(recordlog, "STRETCH", size)
+        parts = recordlog._Reader(path, ["event_id"], None).partitions()
+        assert [f for p in parts for f in recordlog.stretch_frames(p)] == found
+    assert recordlog.bounds([path]) == [(path, 60, 0, 59)]
+
+
+def test_manifest_digest_ignores_order(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id % 7 as string) AS s", "if(id % 3 = 0, null, id / 3) AS x")
+    digest = files.sha256_of(rows)
+    assert len(digest) == 64 and digest == files.sha256_of(rows.repartition(7).orderBy("x"))
+    assert digest != files.sha256_of(rows.where("id < 4999")) and digest != files.sha256_of(rows.unionByName(rows.limit(1)))
+
+
+def test_nearest_neighbours_in_blocks(spark):
+    import numpy as np
+
+    from tapespark.operators import metrics as M
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    frame = lambda a: spark.createDataFrame([(i, v.tolist() if i % 50 else None) for i, v in enumerate(a)], "id long, embedding array<double>").repartition(3)
+    q, ref = frame(x[:120]), frame(x)
+    want = sorted(map(tuple, M.cosine_knn(q, ref, 5).select("query", "reference", "place").collect()))
+    assert want == sorted(map(tuple, M.cosine_knn(q, ref, 5, block=25, reference_block=70).select("query", "reference", "place").collect()))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in (1, 7, 77):
+        if x[i].any():
+            order = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(300) if j % 50 and x[j].any())
+            got = [r for a, r, _ in want if a == i]
+            assert {round(float(unit[i] @ unit[j]), 9) for j in got} == {-s for s, _ in order[:5]}
+
+
 def test_zip_archives_hold_one_csv(spark, tmp_path):
     for name, inside in (("a.zip", ["x.csv"]), ("b.zip", ["x.csv", "y.csv"])):
         out = io.BytesIO()
