@@ -95,6 +95,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "logit": z @ p["c"] + p["c0"][0]}
 
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean log loss of documents with labels y, by parameter."""
+        p, o = self.p, self.forward(x, counts)
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        g = (1 / (1 + np.exp(-np.clip(o["logit"], -30, 30))) - y) * weight / len(y)
+        dz = g[:, None] * p["c"]
+        dz_rows = np.repeat(dz, counts, axis=0)
+        da = (dz_rows * o["h"]).sum(axis=1)
+        dl = o["a"] * (da - np.repeat(np.add.reduceat(o["a"] * da, first), counts))
+        dts = dl[:, None] * p["w"]
+        dt, ds = dts * o["s"] * (1 - o["t"] ** 2), dts * o["t"] * o["s"] * (1 - o["s"])
+        dh = o["a"][:, None] * dz_rows + dt @ p["v"].T + ds @ p["u"].T
+        de = dh * (1 - o["h"] ** 2)
+        return {"e": x.T @ de, "e0": de.sum(axis=0), "v": o["h"].T @ dt, "u": o["h"].T @ ds, "w": (o["t"] * o["s"]).T @ dl, "c": o["z"].T @ g, "c0": np.array([g.sum()], np.float32)}
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         x, counts = passages(texts)
         return 1 / (1 + np.exp(-np.clip(self.forward((x - self.mean) / self.scale, counts)["logit"].astype(np.float64), -30, 30)))
@@ -132,18 +147,7 @@ def fit(texts: list[str], labels: list[int], share: float, hidden: int = 32, gat
         for some in (order[i : i + batch] for i in range(0, len(order), batch)):
             n = counts[some]
             rows = np.concatenate([np.arange(ends[d] - counts[d], ends[d]) for d in some])
-            part, first = x[rows], np.concatenate([[0], np.cumsum(n)[:-1]])
-            o = model.forward(part, n)
-            g = (1 / (1 + np.exp(-np.clip(o["logit"], -30, 30))) - y[some]) * weight[some] / len(some)
-            dz = g[:, None] * p["c"]
-            dz_rows = np.repeat(dz, n, axis=0)
-            da = (dz_rows * o["h"]).sum(axis=1)
-            dl = o["a"] * (da - np.repeat(np.add.reduceat(o["a"] * da, first), n))
-            dts = dl[:, None] * p["w"]
-            dt, ds = dts * o["s"] * (1 - o["t"] ** 2), dts * o["t"] * o["s"] * (1 - o["s"])
-            dh = o["a"][:, None] * dz_rows + dt @ p["v"].T + ds @ p["u"].T
-            de = dh * (1 - o["h"] ** 2)
-            grads = {"e": part.T @ de, "e0": de.sum(axis=0), "v": o["h"].T @ dt, "u": o["h"].T @ ds, "w": (o["t"] * o["s"]).T @ dl, "c": o["z"].T @ g, "c0": np.array([g.sum()], np.float32)}
+            grads = model.gradients(x[rows], n, y[some], weight[some])
             step += 1
             for k, grad in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * grad
@@ -170,6 +174,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    """Learns from the labels of sf_dir that belong to docs: a bounded sample of each class, none of the held-out fold.
+
+    Labels that are null or neither 0 nor 1 and null ids don't count; of several labels of an id the largest
+    does, of several texts that with the smallest hash; a null text is empty. Without labels of both classes
+    the model is constant.
+    """
     return fit(*labelled_sample(spark, docs, table(spark, sf_dir, "labels"), "quality", SAMPLE))
 
 

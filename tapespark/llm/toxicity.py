@@ -152,7 +152,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
-    """Learns from the labels of sf_dir that belong to docs; folds by crc32 keep a fifth of the rows out."""
+    """Learns from the labels of sf_dir that belong to docs; folds by crc32 keep a fifth of the rows out.
+
+    Labels that are null or neither 0 nor 1 and null ids don't count; of several labels of an id the largest
+    does, of several texts that with the smallest hash; a null text is empty. Without labels of both classes
+    the model is their share alone.
+    """
     return fit(*labelled_sample(spark, docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE))
 
 

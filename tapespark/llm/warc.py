@@ -49,7 +49,8 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_FROM, file_records:
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("uri"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32(F.sha1(F.col("html").cast("binary"))))
     slim = written(rows.groupBy("digest", "page_id").agg(F.count("*").alias("copies"), F.min("uri").alias("uri"), F.min(F.octet_length("html")).alias("n")), "warc-captures")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # Both sides of the joins are tables, so that a digest or a target of very many pages can be split over tasks.
+    first = written(slim.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-first")
     known = slim.join(first, "digest").withColumn("revisit", (F.col("n") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     known = written(known, "warc-known")
     answer, page, digest = _ident(F.col("page_id"), F.col("digest"), "response"), F.col("page_id"), F.col("digest")
@@ -129,6 +130,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "pages"), path)
     rows = captures(records(spark, path)).select(F.col("metadata.page_id").alias("page_id"), F.col("metadata.copies").alias("copies"), F.col("capture"), "answer.payload_bytes", "answer.payload_digest", F.col("answer.kind").alias("record_type"), F.col("answer.refers_to").alias("target"))
     rows = written(rows, "warc-rows")
+    # rows is a table, so a response with very many revisits can be split too.
     stored = rows.where("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
     out = rows.join(stored, "target", "left").select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", "refers_to", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return out.drop("copy")

@@ -34,10 +34,12 @@ def test_names_are_registered():
 def test_classifier_accuracy(spark):
     """Held-out rows of the sample tables; both models learn from the other four folds."""
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    for name, label, least in (("op4_quality", "quality", 0.9), ("op9_toxicity", "toxic", 0.9)):
+    for name, label, recall, false in (("op4_quality", "quality", 0.95, 0.1), ("op9_toxicity", "toxic", 0.7, 0.03)):
         out = [r for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
         assert out and all(0 <= r.score <= 1 for r in out)
-        assert sum(r.predicted == labels[r.doc_id][label] for r in out) / len(out) >= least
+        told = {y: [r.predicted for r in out if labels[r.doc_id][label] == y] for y in (0, 1)}
+        assert len(told[0]) > 5 and len(told[1]) > 5
+        assert sum(told[1]) >= recall * len(told[1]) and sum(told[0]) <= false * len(told[0])  # a constant answer fails one of them
 
 
 def test_pipeline_keeps_columns_and_clean_documents(spark):

@@ -526,11 +526,95 @@ def test_quality_tells_junk_passages():
     assert np.isfinite(model.score([b"", b"a" * 200_000, b" "])).all()
 
 
+def passage_by_hand(raw, first):
+    """The features of one passage: raw with the byte before it (None at a text's start), counted byte by byte."""
+    before, body = raw
+    kinds = [quality.KIND[b] for b in body]
+    prior = [4 if before is None else quality.KIND[before], *kinds[:-1]]
+    pairs = np.zeros(quality.CLASSES**2)
+    for x, y in zip(prior[: len(kinds)], kinds, strict=True):
+        pairs[x * quality.CLASSES + y] += 1
+    return np.concatenate([np.sqrt(pairs / max(len(body), 1)), [len(body) / quality.PASSAGE, float(first)]])
+
+
+def test_quality_features_and_scores_match_loops():
+    texts = [b"One two two.\nThree | 4,5! " * 60, "é\u2003ü".encode() * 400, b"", b" ", b"a" * 1025]
+    x, counts = quality.passages(texts)
+    assert counts.tolist() == [max(1, -(-len(t) // 512)) for t in texts]
+    row = 0
+    for t in texts:
+        for k in range(0, max(len(t), 1), 512):
+            want = passage_by_hand((t[k - 1] if k else None, t[k : k + 512]), k == 0)
+            n = quality.CLASSES**2
+            assert x[row, :n] == pytest.approx(want[:n], abs=1e-6) and x[row, n + 4 :] == pytest.approx(want[n:], abs=1e-6)
+            row += 1
+    words_of = b"so so fine words here, so fine fine".split()
+    x, _ = quality.passages([b" ".join(words_of)])
+    n = quality.CLASSES**2
+    assert x[0, n : n + 4] == pytest.approx([2 / 8, 4 / 8, sum(map(len, words_of)) / 8 / 10, np.log1p(8) / 5], abs=1e-6)
+    model = quality.fit(["a b c. " * 200, "D!! E!! " * 200, "x y"], [1, 0, 1], 0.6, epochs=2)
+    p, got = model.p, model.score(texts)
+    for text, score in zip(texts, got, strict=True):
+        rows, _ = quality.passages([text])
+        hidden = [np.tanh((r - model.mean) / model.scale @ p["e"] + p["e0"]) for r in rows]
+        energy = [float(np.tanh(h @ p["v"]) * (1 / (1 + np.exp(-(h @ p["u"])))) @ p["w"]) for h in hidden]
+        share = np.exp(np.array(energy) - max(energy))
+        logit = sum(a * h for a, h in zip(share / share.sum(), hidden, strict=True)) @ p["c"] + p["c0"][0]
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
 def test_quality_gradients_agree_with_differences():
-    x, counts = quality.passages([b"One two. " * 100, b"A B C", b""])
+    x, counts = quality.passages([b"One two. " * 100, b"A B C", b"", b"zz! " * 400])
     model = quality.fit(["a b c", "D!! E!!"], [1, 0], 0.5, epochs=1)
-    base = model.forward(x, counts)
-    assert base["a"].sum() == pytest.approx(3, abs=1e-4) and counts.tolist() == [2, 1, 1]
+    assert model.forward(x, counts)["a"].sum() == pytest.approx(4, abs=1e-4) and counts.tolist() == [2, 1, 1, 4]
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y, weight = x.astype(np.float64), np.array([1.0, 0.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        logit = model.forward(x, counts)["logit"]
+        return float((weight * (np.log1p(np.exp(-np.abs(logit))) + np.maximum(logit, 0) - y * logit)).sum() / len(y))
+
+    grads, rng = model.gradients(x, counts, y, weight), np.random.default_rng(1)
+    for name, values in model.p.items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in values.shape)
+            kept = values[at]
+            values[at] = kept + 1e-5
+            up = loss()
+            values[at] = kept - 1e-5
+            down = loss()
+            values[at] = kept
+            assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-7)
+
+
+def grams_by_hand(text):
+    """The codes of all n-grams of a text, letter by letter."""
+    points = [32 if 9 <= ord(c) <= 13 else ord(c) for c in f" {text.lower()} "]
+    found = set()
+    for n in toxicity.GRAMS:
+        for k in range(len(points) - n + 1):
+            code = points[k]
+            for c in points[k + 1 : k + n]:
+                code = (code * int(toxicity.BASE) + c) % 2**64
+            found.add(code * int(toxicity.MIX) % 2**64)
+    return found
+
+
+def test_toxicity_scores_match_loops():
+    texts, labels = labelled(300, seed=8)
+    model = toxicity.fit(texts, labels, 0.2, steps=50)
+    weights = dict(zip(model.codes.tolist(), model.weights.tolist(), strict=True))
+    some = [*texts[:12], "", "x", "idiot\tSCUM \U0001f600 é", "the idiot " * 300]
+    got = model.score(some)
+    for text, score in zip(some, got, strict=True):
+        odds = model.bias + sum(weights.get(c, 0.0) for c in grams_by_hand(text))
+        assert score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
+    pos = sum(labels)
+    for code in model.codes[::40].tolist():  # the scale of a kept n-gram is its log-count ratio
+        a = sum(code in grams_by_hand(t) for t, y in zip(texts, labels, strict=True) if y)
+        b = sum(code in grams_by_hand(t) for t, y in zip(texts, labels, strict=True) if not y)
+        assert toxicity.ratio(np.array([a]), np.array([b]), pos, len(labels) - pos)[0] == pytest.approx(np.log((a + 1) / (pos + 2)) - np.log((b + 1) / (len(labels) - pos + 2)))
+        assert a + b >= 3
 
 
 def test_quality_frame(docs, empty):
