@@ -1,4 +1,8 @@
-"""Corpus pipeline: toxic documents, unclear languages, near-duplicates and benchmark leaks go, then the mix."""
+"""Corpus pipeline: toxic documents, unclear languages, near-duplicates and benchmark leaks go, then the mix.
+
+Each stage takes and returns all columns of its documents, whatever other names they have. A null text is an
+empty one; null ids, languages and sources are values like others; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -21,31 +25,43 @@ def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels among them, does not call toxic."""
+    """Documents that the classifier, learned from the labels among them, does not call toxic.
+
+    Empty texts get the model's bias, so they stay; repeated rows stay or go together; without labels of both
+    classes all stay unless toxic is the rule.
+    """
     model = toxicity.trained(spark, docs, sf_dir)
     return _back(toxicity.score(_aside(docs, "score", "predicted"), model).where("predicted = 0"), docs)
 
 
 def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the source stands for the host, the lang column for the declared language."""
+    """Documents with a language; the source stands for the host, the lang column for the declared language.
+
+    Texts without a letter (null and empty ones too) have none and go; where no document names a language,
+    all go. Of languages that are equally likely the first by name counts.
+    """
     rows = _aside(docs, "language", "posterior", "text_language")
     rows = rows.withColumns({"_host": F.col("source"), "_suffix": F.lit(""), "_declared": F.col("lang")})
     return _back(langid.identify(rows, langid.trained(docs)).where(F.col("language") != langid.UNKNOWN), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (similar shingle sets or close fingerprints), that with the smallest id."""
+    """One document of each class of near-duplicates (similar shingle sets or close fingerprints), that with the smallest id.
+
+    A null id comes after all others; of rows that share an id the smallest text hash decides, of equal rows the
+    first by their other columns stays. Null and empty texts are one class.
+    """
     return simhash.one_of_each(docs, simhash.near_classes(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark: null and empty ones hold none, nor does any where the benchmark is empty."""
     out = decontamination.decontaminate(_aside(docs, "item_ids", "share"), table(spark, sf_dir, "benchmark"))
     return _back(out.where(F.size("item_ids") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, beside the columns of documents."""
+    """How many words of each document the mix takes, beside the columns of documents; equal rows count each, null sources are one source."""
     own = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken")]
     return mixing.mix(docs, carry=tuple(own))
 
