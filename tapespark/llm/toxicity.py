@@ -101,7 +101,10 @@ def fit(texts: list[str], labels: list[int], share: float, features: int = FEATU
         if seen:
             counts[label, np.unique(np.concatenate(seen))] += 1
     some = np.flatnonzero(counts.sum(axis=0) >= 3)
-    gain = evidence(counts[1, some].astype(float), counts[0, some].astype(float), n_pos, n_neg)
+    gain = np.empty(len(some))
+    for k in range(0, len(some), 1 << 18):  # the slots are many, and the driver holds several arrays of them
+        part = some[k : k + (1 << 18)]
+        gain[k : k + len(part)] = evidence(counts[1, part].astype(float), counts[0, part].astype(float), n_pos, n_neg)
     best = np.argsort(-gain, kind="stable")[: 2 * features]
     wanted = np.zeros(1 << SLOT_BITS, dtype=bool)
     wanted[some[best[gain[best] > 0]]] = True
