@@ -103,6 +103,7 @@ def carried_in(rows: DataFrame, keys: Keys, last: dict[str, Column] | None = Non
     by key; the rows themselves stay in tasks of their own parts.
     """
     last, total, following = last or {}, total or {}, following or {}
+    rows = rows.repartition(*keys, "_part")  # one exchange for the ends and for the rows
     ends = rows.groupBy(*keys, "_part").agg(*[x.alias(n) for n, x in (last | total | following).items()])
     w = Window.partitionBy(*keys).orderBy("_part")
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
@@ -164,14 +165,28 @@ def gap_fill(bars: DataFrame, keys: Keys, at: str, width: int, carry: int, part:
     """Regularises bars: up to carry rows after each bar before the next one, then a new segment.
 
     Adds observed, gap_rows (0 for the bar itself) and segment_id; a hole of more than carry rows ends the
-    segment. The last bar of a key is not carried. With part (a time) a long key is worked off by parts.
+    segment. The last bar of a key is not carried. With part (a time) a long key is worked off by parts: one
+    row of a part tells where it begins and ends and how many holes it has.
     """
-    rows = neighbours(bars, keys, [at], [at], part, lead=True)
-    rows = rows.withColumns({"_gap": ((F.col(f"lead_{at}") - F.col(at)) / F.lit(width)).cast("long"), "_back": ((F.col(at) - F.col(f"lag_{at}")) / F.lit(width)).cast("long")})
-    rows = running_total(rows, keys, [at], F.when(F.col("_back") > carry + 1, 1).otherwise(0).cast("long"), "segment_id", part)
-    last = F.when(F.col("_gap").isNull(), 0).otherwise(F.least(F.col("_gap") - 1, F.lit(carry)))
+    own = [*keys] if part is None else [*keys, "_part"]
+    w = Window.partitionBy(*own).orderBy(at)
+    rows = bars if part is None else in_parts(bars, at, part)
+    rows = rows.withColumns({"_lag": F.lag(at).over(w), "_lead": F.lead(at).over(w)})
+    holes = lambda back: F.when(back > (carry + 1) * width, 1).otherwise(0).cast("long")
+    inside = F.sum(holes(F.col(at) - F.col("_lag"))).over(over(own, [at]))
+    if part is None:
+        rows = rows.withColumn("segment_id", inside)
+    else:
+        ends = rows.groupBy(*own).agg(F.min(at).alias("_a"), F.max(at).alias("_z"), F.sum(holes(F.col(at) - F.col("_lag"))).alias("_holes"))
+        k = Window.partitionBy(*keys).orderBy("_part")  # one row per key and part
+        ends = ends.withColumns({"_in": F.lag("_z").over(k), "_out": F.lead("_a").over(k)}).withColumn("_first", holes(F.col("_a") - F.col("_in")))
+        upto = lambda c, last: F.coalesce(F.sum(c).over(k.rowsBetween(Window.unboundedPreceding, last)), F.lit(0))
+        ends = ends.select(*own, "_in", "_out", (upto("_first", 0) + upto("_holes", -1)).alias("_before"))
+        rows = rows.join(ends, own).withColumns({"_lead": F.coalesce("_lead", "_out"), "segment_id": inside + F.col("_before")}).drop("_part", "_in", "_out", "_before")
+    gap = ((F.col("_lead") - F.col(at)) / F.lit(width)).cast("long")
+    last = F.when(gap.isNull(), 0).otherwise(F.least(gap - 1, F.lit(carry)))
     rows = rows.withColumn("gap_rows", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    return rows.withColumns({at: F.col(at) + F.col("gap_rows") * width, "observed": F.col("gap_rows") == 0}).drop("_gap", "_back", f"lag_{at}", f"lead_{at}")
+    return rows.withColumns({at: F.col(at) + F.col("gap_rows") * width, "observed": F.col("gap_rows") == 0}).drop("_lag", "_lead")
 
 
 def rolling_sum(x: Column, keys: Keys, order: Keys, window: int | None) -> Column:

@@ -235,15 +235,15 @@ TIMES = average_sql("mid", "weight", 60), average_sql("mid", "weight", 300), ave
 
 
 @P.add(f"""WITH {BARS}, m AS (SELECT *, last_bid + last_ask AS mid FROM bars), a AS (SELECT *, {TIMES[0]} / 2 AS a60, {TIMES[1]} / 2 AS a300, {TIMES[2]} / 2 AS day_avg, {TIMES[3]} AS b60, {TIMES[4]} AS k60 FROM m)
-SELECT series, bar, low - close AS low_ticks, last_ask - close AS ask_ticks, mid - 2 * close AS twice_book, round(day_avg - close, 4) AS daily_average_ticks, round(a60 - close, 4) AS average_60_ticks, round(a300 - close, 4) AS average_300_ticks, round(b60, 4) AS bid_average_60, round(k60, 4) AS ask_average_60, round(b60 - last_bid, 4) AS bid_average_60_ticks, round(k60 - last_ask, 4) AS ask_average_60_ticks FROM a""")
+SELECT series, bar, low - close AS low_ticks, last_ask - close AS ask_ticks, mid - 2 * close AS twice_book, CAST(floor((day_avg - close) * 10000 + 0.5) AS BIGINT) AS daily_average_ticks, CAST(floor((a60 - close) * 10000 + 0.5) AS BIGINT) AS average_60_ticks, CAST(floor((a300 - close) * 10000 + 0.5) AS BIGINT) AS average_300_ticks, CAST(floor((b60) * 10000 + 0.5) AS BIGINT) AS bid_average_60, CAST(floor((k60) * 10000 + 0.5) AS BIGINT) AS ask_average_60, CAST(floor((b60 - last_bid) * 10000 + 0.5) AS BIGINT) AS bid_average_60_ticks, CAST(floor((k60 - last_ask) * 10000 + 0.5) AS BIGINT) AS ask_average_60_ticks FROM a""")
 def tick_distances(spark: SparkSession, sf: str) -> DataFrame:
-    """The other distances in ticks: to the book's, the day's and the rolling averages, and of the sided averages to their quotes."""
+    """The other distances in ticks: to the book's, the day's and the rolling averages, and of the sided averages to their quotes; averages in ten-thousandths."""
     rows = bars(spark, sf).withColumns({"mid": F.col("last_bid") + F.col("last_ask"), "day": F.floor(F.col("bar") / DAY)})
     avg = lambda c, n, keys=SEG: T.weighted_average(F.col(c), F.col("weight"), keys, ["bar"], n)
     rows = rows.withColumns({"book_average": F.col("mid") / 2, "daily_average": avg("mid", None, [*SEG, "day"]) / 2, "average_60": avg("mid", 60) / 2, "average_300": avg("mid", 300) / 2, "bid_average_60": avg("last_bid", 60), "ask_average_60": avg("last_ask", 60)})
     out = B.tick_features(rows, SEG, ["bar"], averages=True)
     four = ("daily_average_ticks", "average_60_ticks", "average_300_ticks", "bid_average_60", "ask_average_60", "bid_average_60_ticks", "ask_average_60_ticks")
-    return out.select("series", "bar", *[F.col(c).cast("long").alias(c) for c in ("low_ticks", "ask_ticks")], (F.col("book_average_ticks") * 2).cast("long").alias("twice_book"), *[r6(F.col(c), c, 4) for c in four])
+    return out.select("series", "bar", *[F.col(c).cast("long").alias(c) for c in ("low_ticks", "ask_ticks")], (F.col("book_average_ticks") * 2).cast("long").alias("twice_book"), *[F.floor(F.col(c) * 10000 + 0.5).alias(c) for c in four])
 
 
 @P.add(f"""WITH {LINES}, h AS (SELECT unnest([1, 3, 6])::INTEGER AS steps) SELECT series, bar, steps, round(fit / 6 * steps, 4) AS guess FROM ahead, h""")
