@@ -27,16 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes the tables that this application has written between stages; what is still to be read must be written elsewhere first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_tables: list[str] = []
+
+
+def mark() -> int:
+    """How many tables have been written between stages so far: what clear may be told to leave alone."""
+    return len(_tables)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the tables written between stages after a mark, but for those whose tag begins with keep.
+
+    What is still to be read from them must be written first: results are lazy.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    gone = [p for p in _tables[since:] if keep is None or not p.rsplit("/", 1)[-1].startswith(keep)]
+    for path in map(hadoop.Path, gone):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _tables[since:] = [p for p in _tables[since:] if p not in set(gone)]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs only a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

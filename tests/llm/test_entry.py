@@ -96,3 +96,15 @@ def test_pipeline_matches_brute_force(spark):
     for source, t in target.items():
         assert sum(r.taken for r in got if r.source == source) == pytest.approx(t, abs=1)
     assert all(r.size == len(words(r.text)) for r in got)
+
+
+def test_clear_removes_tables_but_those_to_keep(spark):
+    from tapespark.llm import common
+
+    before = common.written(spark.range(2), "x")
+    at = common.mark()
+    gone, kept = common.written(spark.range(3), "x"), common.written(spark.range(4), "stage-y")
+    common.clear(spark, at, keep="stage-")
+    assert before.count() == 2 and kept.count() == 4
+    with pytest.raises(Exception, match="not exist|FileNotFound"):
+        gone.count()
