@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapespark.llm import decontamination, langid, mixing, simhash, toxicity
-from tapespark.llm.common import table, written
+from tapespark.llm.common import clear, mark, table, written
 
 
 def _aside(docs: DataFrame, *names: str) -> DataFrame:
@@ -79,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; what a stage wrote for itself goes once its result is written."""
+    docs, at = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, at, keep="stage-")
     return STAGES[-1][1](spark, docs, sf_dir)
