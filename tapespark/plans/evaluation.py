@@ -213,3 +213,12 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
         "log_x": F.log1p("x"), "atan_b": F.atan(c("b") / 1000), "asinh_px": F.asinh(c("px") / 100.0), "sigmoid": S.sigmoid((c("x") - 50) / 10),
     }
     return rows.select("seq", *[r6(v, k) for k, v in out.items()], r6(S.spread_bps(c("b"), c("a")), "spread_bps", 5), F.rint(c("px") / 8.0).alias("rint"), S.bucket(c("ts"), 1000).alias("cell"), F.floor(c("ts") / 7).alias("sevenths"), S.quote_valid(c("b"), c("a")).alias("valid"), r6(S.return_bps(c("b"), c("a"), c("x") > 50), "ret", 4))
+
+
+@P.add(f"""WITH {TICK} SELECT seq, ts * 1000 AS iso_ns, ts // 1000000 AS seconds, ts // {24 * HOUR} AS day FROM tick""")
+def date_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Times written as text and read back: ISO with a zone, seconds since the epoch, dates."""
+    at = F.timestamp_micros("ts")
+    iso = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.pmod("seq", F.lit(2)) == 0, "Z").otherwise("+00:00"))
+    days = F.datediff(F.to_date(F.date_format(at, "yyyy-MM-dd")), F.lit("1970-01-01").cast("date")).cast("long")
+    return ticks(spark, sf).select("seq", S.iso_to_ns(iso).alias("iso_ns"), F.unix_timestamp(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss").alias("seconds"), days.alias("day"))

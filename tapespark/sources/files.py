@@ -32,6 +32,52 @@ def catalogue(rows: DataFrame, name: str, at: str) -> DataFrame:
     return seen.withColumns({"kind": stream_kind(F.col("channel")), "venue": venue(F.col("exchange"), F.col("market"))})
 
 
+def statistics_bounds(spark: SparkSession, path: str, column: str) -> tuple:
+    """(least, largest) value of a column of Parquet files, from their footers' statistics: no row is read.
+
+    The aggregate is pushed into the scan, for which the files are read by the second version of the source.
+    Columns without statistics (all null, too) are scanned. Without rows both are None.
+    """
+    conf = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return tuple(spark.read.parquet(path).agg(F.min(column), F.max(column)).first())
+    except Exception as error:
+        if "No min/max found" not in str(error):
+            raise
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return tuple(spark.read.parquet(path).agg(F.min(column), F.max(column)).first())
+
+
+def contract(rows: DataFrame, columns: str, filled: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    """rows as they are; raises unless they have the columns (name type, ...) of these types, in this order, and no nulls in the filled ones.
+
+    Other columns may stand between. Without ordered their order does not matter.
+    """
+    want = [tuple(c.strip().split(None, 1)) for c in columns.split(",")]
+    have = dict(rows.dtypes)
+    wrong = [f"{n} is {have.get(n, 'missing')}, not {k}" for n, k in want if have.get(n) != k]
+    order = [c for c in rows.columns if c in {n for n, _ in want}]
+    if not wrong and ordered and order != [n for n, _ in want]:
+        wrong = [f"the order is {', '.join(order)}"]
+    if not wrong and filled:
+        counts = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in filled]).first().asDict()
+        wrong = [f"{c} has {n} nulls" for c, n in counts.items() if n]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return rows
+
+
+def verified(archives: DataFrame, sums: DataFrame) -> DataFrame:
+    """archives (name, content) with ok: whether the SHA-256 of the bytes is that of sums (name, sha256); false without one."""
+    known = sums.select("name", F.lower("sha256").alias("_sum"))
+    return archives.join(known, "name", "left").withColumn("ok", F.coalesce(F.sha2("content", 256) == F.col("_sum"), F.lit(False))).drop("_sum")
+
+
 def common_interval(bounds: DataFrame, kinds: Sequence[str] = ("book", "l3")) -> DataFrame:
     """The time that all streams of the kinds cover: the latest first and the earliest last. One row."""
     return bounds.where(F.col("kind").isin(*kinds)).agg(F.max("first").alias("low"), F.min("last").alias("high"))

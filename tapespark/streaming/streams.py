@@ -33,6 +33,16 @@ def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def record(stream: DataFrame, path: str, checkpoint: str, keys: list[str], rows: int = 50_000, seconds: float | None = None):
+    """A running query that appends a stream to one folder per key: at most rows a file, a flush every so many seconds.
+
+    Without seconds it takes what there is and ends. Files appear whole or not at all, and a query that is
+    started again with the same checkpoint goes on after the last flush that it committed.
+    """
+    writer = stream.writeStream.format("parquet").partitionBy(*keys).option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows).option("compression", "zstd")
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def bars(ticks: DataFrame, width: str, price: str, order: list[str], settle: str = SETTLE) -> DataFrame:
     """Bars per series and window of event time, emitted once the watermark has passed their end."""
     first, last = F.min_by(price, F.struct(*order)), F.max_by(price, F.struct(*order))

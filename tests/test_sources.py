@@ -123,6 +123,43 @@ def test_record_log_prunes_columns_and_times(spark, tmp_path, monkeypatch):
     assert recordlog.bounds([path]) == [(path, 60, 0, 59)]
 
 
+def test_bounds_come_from_footers(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(1000).selectExpr("id + 5 AS id", "cast(null as long) AS none").repartition(3).write.parquet(path)
+    assert files.statistics_bounds(spark, path, "id") == (5, 1004) and files.statistics_bounds(spark, path, "none") == (None, None)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_contracts(spark):
+    rows = spark.createDataFrame([(1, 2.0, "x"), (2, None, "y")], "a long, b double, c string")
+    assert files.contract(rows, "a bigint, c string", ["a", "c"]).count() == 2
+    for columns, filled, what in (("a int", [], "a is bigint"), ("d string", [], "missing"), ("c string, a bigint", [], "order"), ("b double", ["b"], "1 nulls")):
+        with pytest.raises(ValueError, match=what):
+            files.contract(rows, columns, filled)
+    assert files.contract(rows, "c string, a bigint", ordered=False) is rows
+
+
+def test_archives_are_verified(spark):
+    import hashlib
+
+    sums = spark.createDataFrame([("a", hashlib.sha256(b"one").hexdigest().upper()), ("b", "0" * 64)], "name string, sha256 string")
+    got = files.verified(spark.createDataFrame([("a", b"one"), ("b", b"two"), ("c", b"three")], "name string, content binary"), sums)
+    assert {r["name"]: r.ok for r in got.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_recording_goes_on_in_files_by_key(spark, tmp_path):
+    feed, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    start = lambda **more: streams.record(spark.readStream.schema("k string, v long").parquet(feed), out, state, ["k"], rows=4, **more)
+    spark.createDataFrame([("a", i) for i in range(10)] + [("b", 99)], "k string, v long").coalesce(1).write.parquet(feed)
+    start().awaitTermination()
+    assert len([f for f in os.listdir(f"{out}/k=a") if f.endswith(".parquet")]) == 3
+    spark.createDataFrame([("b", 100)], "k string, v long").write.mode("append").parquet(feed)
+    query = start(seconds=0.1)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.v for r in spark.read.parquet(out).where("k = 'b'").collect()) == [99, 100] and spark.read.parquet(out).count() == 12
+
+
 def test_manifest_digest_ignores_order(spark):
     rows = spark.range(5000).selectExpr("id", "cast(id % 7 as string) AS s", "if(id % 3 = 0, null, id / 3) AS x")
     digest = files.sha256_of(rows)
