@@ -261,3 +261,15 @@ def test_buckets_and_chunks_change_nothing(spark):
     whole = sorted(map(str, op(rows, ["k"]).collect()))
     for chunk in (4, 16, 1000):
         assert sorted(map(str, T.chunked(rows, ["k"], F.col("ts"), 9, chunk, op).collect())) == whole
+
+
+def test_tabular_models_tell_held_out_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(a * (1 + b) > 26), 1.0 + i % 2) for i, (a, b) in enumerate(zip(rng.uniform(1, 50, 1500), rng.uniform(0, 0.1, 1500), strict=True))]
+    frame = spark.createDataFrame(rows, "i long, x double, y double, label double, w double").cache()
+    learn, held = frame.where("i < 1000"), frame.where("i >= 1000")
+    for model in (N.logistic(learn, ["x", "y"], "label", "w"), N.boosted(learn, ["x", "y"], "label", rounds=3, depth=3)):
+        out = N.probabilities(model, held).collect()
+        assert len(out) == 500 and all(0 <= r.probability_1 <= 1 for r in out)
+        right = [(r.probability_1 >= 0.5) == (r.label == 1) for r in out]
+        assert sum(right) >= 0.95 * len(right) and 0.3 < sum(r.label for r in out) / len(out) < 0.7
