@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -90,8 +91,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8_000_000
             yield batch.slice(start)
 
 
-def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], folds: int = 5) -> tuple[list[str], list[int], float]:
-    """Texts and labels to learn from, and the share of label 1 among all rows to learn from.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], folds: int = 5) -> tuple[DataFrame, float]:
+    """Rows (doc_id, y, text) to learn from, and the share of label 1 among all rows to learn from.
 
     Only rows whose fold is not 0 count. At most most[y] ids of each label y are taken, those with the
     smallest hash of the id, so the sample stays bounded at any size. An id with several labels has the
@@ -104,6 +105,17 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
     for y, n in sorted(most.items()):
         some = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
-    found = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "y", "text").toArrow().sort_by("doc_id")
-    return found.column("text").to_pylist(), found.column("y").to_pylist(), float(share or 0.0)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")  # as many rows as the sample may have
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), float(share or 0.0)
+
+
+def learned(sample: DataFrame, fit: Callable[[list[str], list[int]], object]) -> object:
+    """What fit(texts, labels) makes of a bounded sample (doc_id, y, text), in the order of the ids. One task fits, so the driver holds the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, x, y) for b in batches for i, y, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True))
+        model = fit([x for _, x, _ in rows], [y for *_, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.select("doc_id", "y", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])

@@ -93,10 +93,12 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(np.append(own[at[:-1]], 0))], names=["lang", "slot", "n"])
 
     rows = some.join(F.broadcast(sizes), "lang").where(rank < F.col("_below")).select("lang", text_or_empty().alias("text"))
-    told = rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    counts = {name: np.zeros(SLOTS) for name in set(told["lang"])}
-    for lang, slot, n in zip(told["lang"], told["slot"], told["n"], strict=True):
-        counts[lang][slot] += n
+    told = rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    lang = told.column("lang").combine_chunks().dictionary_encode()
+    place, slot, n = lang.indices.to_numpy(), told.column("slot").to_numpy(), told.column("n").to_numpy()
+    counts = {}
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        counts[name] = np.bincount(slot[place == i], weights=n[place == i], minlength=SLOTS)
     return fit(counts)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import fold, labelled_sample, pieces, table, text_or_empty, utf8, wider
+from .common import fold, labelled_sample, learned, pieces, table, text_or_empty, utf8, wider
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -180,7 +180,8 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     does, of several texts that with the smallest hash; a null text is empty. Without labels of both classes
     the model is constant.
     """
-    return fit(*labelled_sample(spark, docs, table(spark, sf_dir, "labels"), "quality", SAMPLE))
+    sample, share = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE)
+    return learned(sample, lambda texts, labels: fit(texts, labels, share))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

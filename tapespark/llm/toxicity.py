@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import fold, labelled_sample, pieces, table, text_or_empty, wider
+from .common import fold, labelled_sample, learned, pieces, table, text_or_empty, wider
 
 #: Lengths of the n-grams, in characters of the lower-cased text between two spaces.
 GRAMS = (3, 4, 5, 6)
@@ -161,7 +161,8 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     does, of several texts that with the smallest hash; a null text is empty. Without labels of both classes
     the model is their share alone.
     """
-    return fit(*labelled_sample(spark, docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE))
+    sample, share = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE)
+    return learned(sample, lambda texts, labels: fit(texts, labels, share))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
