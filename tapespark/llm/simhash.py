@@ -19,6 +19,8 @@ SHINGLE = 3
 DISTANCE = 3
 #: Rows of one key that a task compares in memory; larger keys are split by more bits first.
 LARGE_KEY = 4096
+#: Edges from which on the links of one node may be too many for a task.
+STARS = 5_000_000
 
 
 def fingerprint(raw: bytes, n: int = SHINGLE) -> int:
@@ -173,16 +175,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (u, v): the smallest node reachable, by large and small stars.
 
     Each round links every node to the smallest of its neighbours; the number of rounds grows with the
-    logarithm of the longest path. Each round's edges are written, so no lineage builds up, and so are the
-    smallest neighbours: both sides of their join are plain shuffles then, and a node with very many links is
-    split over tasks. Without edges the result is empty.
+    logarithm of the longest path. Each round's edges are written, so no lineage builds up. From STARS edges on
+    so are the smallest neighbours: both sides of their join are plain shuffles then, and a node with very many
+    links is split over tasks (below, all edges would fit one). Without edges the result is empty.
     """
     spark = edges.sparkSession
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "stars")
-    state = None
+    state = (now.count(), None)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(least, "stars-least") if state[0] >= STARS else least
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -646,7 +649,7 @@ def near_classes(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
         """(key, id, root) of the marks whose key has several roots."""
         rooted = written(marks.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "near-rooted")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-        return written(rooted.join(written(mixed, "near-mixed"), "key", "left_semi"), "near-open")
+        return written(rooted.join(mixed, "key", "left_semi"), "near-open")
 
     to_rep = lambda by, *c: texts.join(by.select(*c, "rep"), list(c)).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     close = components(links(by_fp.select("fp")))  # as a forest of stars: one link for each value
@@ -654,7 +657,6 @@ def near_classes(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     same = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     some = written(candidates(values, limits), "near-candidates")
     edges, marks = linked(some)
-    marks = written(marks, "near-marks")
     found = components(edges.unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
     left = open_rows(marks, found)
     # Keys of many parts: a few members of each class meet first, so that the classes of the parts become one.
