@@ -236,8 +236,13 @@ def softmax_predict(neighbours: DataFrame, value: str, temperature: float = 0.08
 
 
 def reverse_sum(x: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Sum from the row to the end of its key: returns without discount."""
-    return F.sum(x).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    """Sum from the row to the end of its key: returns without discount. Null times and numbers come last, as in SQL.
+
+    The rows are taken from the last to the first with a running sum: a frame that ends with its key would be
+    summed anew for each row, so that a key would cost the square of its rows.
+    """
+    backwards = [F.col(c).desc_nulls_first() for c in order]
+    return F.sum(x).over(Window.partitionBy(*keys).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def discounted(rows: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], gamma: float, name: str = "returns", chunk: int = 256) -> DataFrame:

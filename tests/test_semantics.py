@@ -207,6 +207,21 @@ def test_summary_and_drawdown(spark):
     assert M and D.drawdown(rows, "pnl", ["k"], ["t"]).first().max_drawdown == 12.0
 
 
+def test_returns_to_the_end_of_a_long_key_are_one_pass(spark):
+    n = 30_000
+    x = np.random.default_rng(3).integers(-1000, 1000, n)
+    rows = spark.createDataFrame([(0, i // 3, i, int(v)) for i, v in enumerate(x)], "k int, ts long, seq long, x long")
+    out = rows.select("seq", M.reverse_sum(F.col("x"), ["k"], ["ts", "seq"]).alias("s"))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()  # such a frame is summed anew for each row
+    assert column(out, "s", "seq") == np.cumsum(x[::-1])[::-1].tolist()
+
+
+def test_returns_to_the_end_take_nulls_as_sql_does(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 5), ("a", 1, None, 7), ("a", 2, 3, None), ("a", None, 4, 11), ("b", 1, 1, None)], "k string, ts long, seq long, x long")
+    out = rows.select("k", "ts", "seq", M.reverse_sum(F.col("x"), ["k"], ["ts", "seq"]).alias("s"))
+    assert {tuple(r) for r in out.collect()} == {("a", 1, 1, 23), ("a", 1, None, 18), ("a", 2, 3, 11), ("a", None, 4, 11), ("b", 1, 1, None)}
+
+
 def test_weighted_median_takes_the_first_to_reach_half(spark):
     rows = spark.createDataFrame([(0, h, v, v, v, v) for h, v in ((1.0, 3.0), (2.0, 1.0), (3.0, 2.0))], "ts int, horizon double, fwd_long double, fwd_short double, bwd_long double, bwd_short double")
     r = C.over_horizons(rows, ["ts"], [1.0, 2.0, 3.0], [0.5, 0.25, 0.25]).first()
