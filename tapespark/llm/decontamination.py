@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,13 @@ BLOCK = 24
 #: Items of one latent space, its dimensions, and the cosine from which a passage is a candidate for an item.
 #: With most of the items' directions kept, a rare word keeps its weight.
 SPACE, RANK, COSINE = 256, 192, 0.30
-#: The space is fitted on the items' passages and on about so many passages of the corpus, of this weight beside
-#: them: a heavier sample would fill the space with the corpus' frequent words. Every passage is searched.
-SAMPLE, SAMPLE_WEIGHT = 2000, 0.1
+#: A space is fitted on the items' passages, of weight 1 each, and on all passages of the corpus, of this weight in
+#: all: a heavier corpus would fill the space with its frequent words.
+CORPUS = 20.0
+#: Terms of one space, whose products with one another a task holds, and of these, the rows that are summed at once.
+WIDTH, STRIPE = 4096, 16
+#: Bytes of the corpus' passages that a task works off, and tasks whose sums are added at once.
+SHARE, FAN = 32_000_000, 64
 #: Blocks of a text that are in latent space at once.
 AT_ONCE = 256
 #: Share of an item's words that the longest common subsequence must hold; the lower one if the answer is there too.
@@ -89,14 +94,14 @@ class Terms(dict):
         return found[found != -2]
 
     def of_column(self, column: pa.Array) -> list[np.ndarray]:
-        """The same for all texts of a string column; each of its distinct tokens is looked up once."""
+        """The same for all texts of a string column."""
         if not len(column):
             return []
         lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(column))
-        told = lists.flatten().dictionary_encode()
-        distinct = told.dictionary.cast(pa.binary()).to_pylist()
-        found = np.fromiter(map(self.__getitem__, distinct), dtype=np.int32, count=len(distinct))[told.indices.to_numpy()]
-        kept = found != -2
+        bare = pa.compute.ascii_trim(lists.flatten(), EDGES.decode())
+        found = pa.compute.index_in(bare.cast(pa.binary()), value_set=pa.array(list(self.places), pa.binary()))
+        found = pa.compute.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        kept = pa.compute.binary_length(bare).to_numpy(zero_copy_only=False) > 0
         ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
         ends = np.concatenate([[0], np.cumsum(kept)])[ends]
         return np.split(found[kept], ends[:-1])
@@ -225,118 +230,198 @@ class Space:
         return 0.0
 
 
-def frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """In how many of all documents each term is, and how many there are; counted in tasks, summed by term."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+TOLD = "docs long, passages long, bytes long, term array<int>, found array<long>, hits binary"
+TOLD_ARROW = pa.schema([("docs", pa.int64()), ("passages", pa.int64()), ("bytes", pa.int64()), ("term", pa.list_(pa.int32())), ("found", pa.list_(pa.int64())), ("hits", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, n = shared.value, Counter(), 0
-        for batch in pieces(batches, "text"):
-            for raw in utf8(batch.column("text")):
-                found.update(wanted.intersection({x.strip(EDGES) for x in set(raw.lower().split())}))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([b"", *found], pa.binary()), pa.array([n, *found.values()], pa.int64())], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    found = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist(), strict=True))
-    return found, found.pop(b"", 0)
 
+def told(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+    """The terms of all documents, a row for some of them: in how many each term is, and their passages one after the other.
 
-ROWS = "space int, part int, columns binary, vals binary"
-
+    The passages follow one another without overlap, so each word of the corpus is in one. hits are the numbers
+    of their terms in order, the number of terms ending a passage; words that no item has are left out, and so
+    are passages without others. bytes is the length of hits.
+    """
+    shared, width = docs.sparkSession.sparkContext.broadcast(terms), 2 * BLOCK
+    kind = np.min_scalar_type(len(terms))
 
-def _row(at: np.ndarray, idf: np.ndarray, weight: float) -> tuple[bytes, bytes]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value)
+        end = len(terms.places)
+        for batch in pieces(batches, "text"):
+            texts = terms.of_column(pa.compute.fill_null(batch.column("text"), ""))
+            lengths = np.array([len(x) for x in texts], np.int64)
+            rows = -(-lengths // width)
+            flat, home = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths)
+            known = flat >= 0
+            found = np.bincount(np.unique(home[known] * end + flat[known]) % end, minlength=end)
+            own = np.flatnonzero(found)
+            at = np.full((int(rows.sum()), width + 1), -1, np.int64)
+            place = np.arange(len(flat)) + np.repeat(width * (np.cumsum(rows) - rows) - (np.cumsum(lengths) - lengths), lengths)
+            at[place // width, place % width] = flat
+            at[(at >= 0).any(axis=1), -1] = end
+            hits = at[at >= 0].astype(kind).tobytes()
+            row = {"docs": len(texts), "passages": int(rows.sum()), "bytes": len(hits), "term": own.tolist(), "found": found[own].tolist(), "hits": hits}
+            yield pa.RecordBatch.from_pylist([row], TOLD_ARROW)
+
+    return docs.select("text").mapInArrow(run, TOLD)
+
+
+def _row(at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A passage's rows in a space as a sparse unit row: columns and values."""
     columns, tf = np.unique(at, return_counts=True)
     v = tf * idf[columns]
-    return columns.astype("<i4").tobytes(), (v * (weight / np.linalg.norm(v))).astype("<f4").tobytes()
-
-
-def sampled_rows(docs: DataFrame, shared, parts: int, count: int) -> DataFrame:
-    """Of about SAMPLE documents, chosen by a hash of their text, one passage each, as rows of every space that has a word of it."""
-    text = text_or_empty()
-    some = docs.select(text.alias("text"), F.xxhash64(F.lit("passage"), text).alias("hash"))
-    some = some.where(F.pmod("hash", F.lit(1 << 40)) < -(-(SAMPLE << 40) // max(count, 1))).dropDuplicates(["hash"])
+    return columns, (v / np.linalg.norm(v)).astype(np.float32)
+
+
+def add_products(out: np.ndarray, hits: np.ndarray, end: int, place: np.ndarray, idf: np.ndarray, at_once: int = 200_000) -> None:
+    """Adds to out (terms, terms), on and above its diagonal, the products of the term frequencies of each passage, over its TF-IDF row's square."""
+    home = np.cumsum(hits == end)
+    at = np.append(place[:end], -1)[hits]
+    home, at = home[at >= 0], at[at >= 0].astype(np.int64)
+    if not len(at):
+        return
+    width, flat = len(idf), out.reshape(-1)
+    once, tf = np.unique(home * width + at, return_counts=True)
+    over = (1 / np.maximum(np.bincount(once // width, weights=(tf * idf[once % width]) ** 2), 1e-30)).astype(np.float32)[home]
+    np.add.at(flat, at * (width + 1), over)
+    for start in range(0, len(at), at_once):  # pairs of words by their distance
+        for far in range(1, 2 * BLOCK):
+            n = min(at_once, len(at) - far - start)
+            if n <= 0:
+                break
+            k = start + np.flatnonzero(home[start : start + n] == home[start + far : start + far + n])
+            if not len(k):
+                break
+            a, b = at[k], at[k + far]
+            np.add.at(flat, np.minimum(a, b) * width + np.maximum(a, b), np.where(a == b, 2 * over[k], over[k]))
+
+
+SUMS = "space int, part int, stripe int, cells binary, vals binary"
+
+
+def products(rows: DataFrame, shared, parts: int) -> DataFrame:
+    """For each space the sums over all passages of what add_products adds, a row for each STRIPE of its terms that has any.
+
+    Each space goes over all rows in so many tasks, and their sums are added FAN by FAN, so that no task holds
+    more of them, whatever the size of the corpus.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, spaces = Terms(shared.value[0]), shared.value[1]
-        for batch in pieces(batches, "text"):
-            out = []
-            for raw, h in zip(utf8(batch.column("text")), batch.column("hash").to_pylist(), strict=True):
-                text = terms.numbers(raw)
-                k = (h >> 40) % max(1, len(text) - 2 * BLOCK + 1)
-                for s, (place, idf) in enumerate(spaces):
-                    at = place[text[k : k + 2 * BLOCK]]
-                    if len(at := at[at >= 0]):
-                        out.append((s, (h >> 40) % parts, *_row(at, idf, SAMPLE_WEIGHT)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["space", "part", "columns", "vals"])
+    def work(s: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            end, spaces = shared.value
+            place, idf, _ = spaces[s]
+            out, kind = np.zeros((len(idf), len(idf)), np.float32), np.min_scalar_type(end)
+            for batch in batches:
+                for hits in batch.column("hits"):
+                    add_products(out, np.frombuffer(hits.as_buffer(), kind), end, place, idf)
+            part = TaskContext.get().partitionId() % parts
+            for stripe in range(0, len(out), STRIPE):
+                some = out[stripe : stripe + STRIPE].reshape(-1)
+                if len(cells := np.flatnonzero(some)):
+                    yield _sums(s, part, stripe, cells, some[cells])
+
+        return run
+
+    def add(group: pa.Table) -> pa.Table:
+        s, part, stripe = (group.column(c)[0].as_py() for c in ("space", "part", "stripe"))
+        out = np.zeros(STRIPE * WIDTH)
+        for cells, vals in zip(group.column("cells").to_pylist(), group.column("vals").to_pylist(), strict=True):
+            out[np.frombuffer(cells, "<i4")] += np.frombuffer(vals, "<f4")
+        cells = np.flatnonzero(out)
+        return pa.Table.from_batches([_sums(s, part, stripe, cells, out[cells])])
+
+    found = rows.select("hits").coalesce(parts)
+    out = reduce(DataFrame.unionByName, [found.mapInArrow(work(s), SUMS) for s in range(len(shared.value[1]))])
+    left = parts
+    while left > 1:
+        left = -(-left // FAN)
+        out = out.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("space", "stripe", "part").applyInArrow(add, SUMS)
+    return out
 
-    return some.mapInArrow(run, ROWS)
 
+def _sums(s: int, part: int, stripe: int, cells: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([x], pa.int32()) for x in (s, part, stripe)] + [pa.array([cells.astype("<i4").tobytes()], pa.binary()), pa.array([vals.astype("<f4").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["space", "part", "stripe", "cells", "vals"])
 
-def _products(shared) -> Callable[[pa.Table], pa.Table]:
-    def work(group: pa.Table) -> pa.Table:
-        s = group.column("space")[0].as_py()
-        x = shared.value[s]
-        out = np.zeros_like(x)
-        for c, v in zip(group.column("columns").to_pylist(), group.column("vals").to_pylist(), strict=True):
-            c, v = np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")
-            out[c] += v[:, None] * (v @ x[c])[None, :]
-        return pa.table({"space": pa.array([s], pa.int32()), "product": pa.array([out.tobytes()], pa.binary())})
 
-    return work
+def square(cells: Iterator[tuple[int, bytes, bytes]], idf: np.ndarray) -> np.ndarray:
+    """The sums (stripe, cells, vals) of a space as the whole symmetric matrix A'A of its TF-IDF unit rows."""
+    out = np.zeros((len(idf), len(idf)), np.float32)
+    for stripe, where, vals in cells:
+        out.reshape(-1)[stripe * len(idf) + np.frombuffer(where, "<i4").astype(np.int64)] = np.frombuffer(vals, "<f4")
+    for k in range(len(out)):
+        out[k:, k] = out[k, k:]
+    out *= idf.astype(np.float32)[:, None]
+    out *= idf.astype(np.float32)
+    return out
 
 
-def bases(rows: DataFrame, widths: list[int], rank: int = RANK, rounds: int = 2, seed: int = 5) -> list[np.ndarray]:
-    """For each space an orthonormal basis (width, rank) of the main directions of its sparse rows (space, part, columns, vals).
+def bases(sums: DataFrame, shared, passages: int, rank: int = RANK, rounds: int = 4, seed: int = 5) -> list[np.ndarray]:
+    """For each space an orthonormal basis (terms, rank) of the main directions of its items' rows and the corpus' passages.
 
-    Randomised SVD: the row space is sampled by a random matrix and refined by power iterations. A task has the
-    rows of a (space, part) and returns its share of A'(A X); the shares of a space are summed.
+    Randomised SVD: the row space is sampled by a random matrix and refined by power iterations over A'A. A task
+    has a space.
     """
-    spark = rows.sparkSession
-    rng = np.random.default_rng(seed)
-    now = [np.linalg.qr(rng.standard_normal((w, min(w, rank + 16))))[0].astype("<f4") for w in widths]
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(now)
-        total = [np.zeros(x.shape) for x in now]
-        found = rows.groupBy("space", "part").applyInArrow(_products(shared), "space int, product binary").toArrow()
-        for s, product in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-            total[s] += np.frombuffer(product, "<f4").reshape(now[s].shape)
-        now = [np.linalg.svd(t, full_matrices=False)[0].astype("<f4") for t in total]
-        shared.unpersist()
-    return [x[:, :rank] for x in now]
+    spark = sums.sparkSession
+
+    def fit(group: pa.Table) -> pa.Table:
+        s = group.column("space")[0].as_py()
+        _, idf, items = shared.value[1][s]
+        a = square(zip(*(group.column(c).to_pylist() for c in ("stripe", "cells", "vals")), strict=True), idf)
+        a *= CORPUS / max(passages, 1)
+        for c, v in items:
+            a[np.ix_(c, c)] += np.outer(v, v)
+        x = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(a), min(len(a), rank + 16))))[0].astype(np.float32)
+        for _ in range(rounds):
+            x = np.linalg.svd(a @ x, full_matrices=False)[0]
+        return pa.table({"space": pa.array([s], pa.int32()), "basis": pa.array([x[:, :rank].astype("<f4").tobytes()], pa.binary())})
+
+    each = spark.createDataFrame([(s, 0, 0, b"", b"") for s in range(len(shared.value[1]))], SUMS)  # a space that no passage has a word of
+    found = sums.unionByName(each).groupBy("space").applyInArrow(fit, "space int, basis binary").toArrow()
+    found = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    return [np.frombuffer(found[s], "<f4").reshape(len(idf), -1) for s, (_, idf, _) in enumerate(shared.value[1])]
 
 
 def index(docs: DataFrame, items: list[tuple[int, str]]) -> tuple[list[bytes], list[Space], Short]:
-    """All terms, spaces of up to SPACE items or pieces of long items each, and the short items. The frequencies are those of all documents."""
+    """All terms, spaces of up to SPACE items or pieces of long items and WIDTH terms each, and the short items. Frequencies and spaces are those of all documents."""
     spark = docs.sparkSession
-    told = [(i, w, answer(t)) for i, t in items if i is not None and t is not None and (w := words(t.encode("utf-8", "surrogatepass")))]
-    terms = sorted({x for _, w, _ in told for x in w})
+    wanted = [(i, w, answer(t)) for i, t in items if i is not None and t is not None and (w := words(t.encode("utf-8", "surrogatepass")))]
+    terms = sorted({x for _, w, _ in wanted for x in w})
     number = Terms(terms).places
-    short = Short([(i, w) for i, w, _ in told if len(w) < LEAST], Terms(terms))
+    short = Short([(i, w) for i, w, _ in wanted if len(w) < LEAST], Terms(terms))
     to = lambda w: [number[x] for x in w]
-    kept = [(i, to(w), to(last), to(piece), k) for k, (i, w, last) in enumerate(told) if len(w) >= LEAST for piece in cut(w)]
+    kept = [(i, to(w), to(last), to(piece), k) for k, (i, w, last) in enumerate(wanted) if len(w) >= LEAST for piece in cut(w)]
     if not kept:
         return terms, [], short
-    counts, n = frequencies(docs, terms)
-    idf = np.array([np.log((n + 1) / (counts.get(x, 0) + 1)) + 0.1 for x in terms])  # frequent ones too: a widely copied item makes its own words frequent
+    corpus = written(told(docs, terms), "passages")
+    n, passages, size = (x or 0 for x in corpus.agg(F.sum("docs"), F.sum("passages"), F.sum("bytes")).first())
+    found = corpus.select(F.explode(F.arrays_zip("term", "found")).alias("x")).groupBy("x.term").agg(F.sum("x.found").alias("n")).toArrow()
+    counts = np.zeros(len(terms))
+    counts[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log((n + 1) / (counts + 1)) + 0.1  # frequent ones too: a widely copied item makes its own words frequent
+    groups, own = [[]], set()
+    for x in kept:
+        if groups[-1] and (len(groups[-1]) == SPACE or len(own.union(x[3])) > WIDTH):
+            groups.append([])
+            own = set()
+        groups[-1].append(x)
+        own.update(x[3])
     spaces, rows = [], []
-    parts = max(1, 4 * SPACE // len(kept))
-    for k in range(0, len(kept), SPACE):
-        some = kept[k : k + SPACE]
+    for some in groups:
         own = np.array(sorted({x for *_, piece, _ in some for x in piece}))
         place = np.full(len(terms) + 1, -1, np.int32)
         place[own] = np.arange(len(own))
         first = {x[-1]: j for j, x in reversed(list(enumerate(some)))}
         spaces.append(Space([x[0] for x in some], [np.array(x[1], np.int64) for x in some], [np.array(x[2], np.int64) for x in some], [first[x[-1]] for x in some], place, idf[own], np.empty(0)))
-        rows += [(k // SPACE, j % parts, *_row(place[x[3]], idf[own], 1.0)) for j, x in enumerate(some)]
-    shared = spark.sparkContext.broadcast((terms, [(s.place, s.idf) for s in spaces]))
-    fitted = written(spark.createDataFrame(rows, ROWS).unionByName(sampled_rows(docs, shared, parts, n)), "latent-rows")
-    for s, (space, basis) in enumerate(zip(spaces, bases(fitted, [len(x.idf) for x in spaces]), strict=True)):
-        latent = np.array([np.frombuffer(v, "<f4") @ basis[np.frombuffer(c, "<i4")] for k, _, c, v in rows if k == s])
+        rows.append([_row(place[x[3]], idf[own]) for x in some])
+    shared = spark.sparkContext.broadcast((len(terms), [(s.place, s.idf, own) for s, own in zip(spaces, rows, strict=True)]))
+    sums = products(corpus, shared, max(8, -(-size // SHARE)))
+    for space, own, basis in zip(spaces, rows, bases(sums, shared, passages), strict=True):
+        latent = np.array([v @ basis[c] for c, v in own])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 0.3)
         space.products = ((basis * space.idf[:, None]) @ latent.T).astype(np.float32)  # of a passage's latent vector with each piece's, term by term
         space.idf = space.idf.astype(np.float32)
+    shared.unpersist()
     return terms, spaces, short
 
 

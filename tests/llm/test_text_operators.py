@@ -808,6 +808,45 @@ def test_decontamination_finds_long_and_short_items(spark):
     assert {r.doc_id: r.item_ids for r in out.collect()} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
 
 
+@pytest.mark.parametrize("parts", [1, 5, 70])
+def test_latent_space_is_fitted_on_all_passages(spark, parts):
+    """Frequencies and the matrix that is decomposed, against loops over every passage of a corpus of more documents than any sample had."""
+    rng = np.random.default_rng(21)
+    vocab = [random_word(rng) + str(k) for k in range(90)]
+    terms = sorted(x.encode() for x in vocab[:60])
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(0, 130)))) for _ in range(2500)] + [None, "", "nothing known"]
+    corpus = decontamination.told(spark.createDataFrame([(t,) for t in texts], "text string").repartition(6), terms).cache()
+    number, width = {x: i for i, x in enumerate(terms)}, 2 * decontamination.BLOCK
+    split = [[number.get(w.encode(), -1) for w in (t or "").split()] for t in texts]
+    passages = [w[k : k + width] for w in split for k in range(0, len(w), width)]
+    assert tuple(corpus.agg(F.sum("docs"), F.sum("passages")).first()) == (len(texts), len(passages))
+    frequent = corpus.select(F.explode(F.arrays_zip("term", "found")).alias("x")).groupBy("x.term").agg(F.sum("x.found")).collect()
+    assert dict(map(tuple, frequent)) == {i: n for i in range(60) if (n := sum(i in w for w in split))}
+    place = np.append(np.where(np.arange(60) % 3, np.cumsum(np.arange(60) % 3 > 0) - 1, -1), -1).astype(np.int32)  # a space of two thirds of the terms
+    idf = rng.random(40) + 0.1
+    want = np.zeros((40, 40))
+    for w in passages:
+        row = np.bincount([place[x] for x in w if place[x] >= 0], minlength=40) * idf
+        if row.any():
+            want += np.outer(row, row) / (row @ row)
+    shared = spark.sparkContext.broadcast((60, [(np.full(61, -1, np.int32), idf[:0], []), (place, idf, [])]))
+    sums = decontamination.products(corpus, shared, parts).toArrow().to_pylist()
+    assert {r["space"] for r in sums} == {1} and len({r["stripe"] for r in sums}) == len(sums)
+    assert np.allclose(decontamination.square(((r["stripe"], r["cells"], r["vals"]) for r in sums), idf), want, rtol=1e-4)
+
+
+def test_spaces_are_cut_by_their_terms(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    items = [(i, " ".join(random_word(rng) for _ in range(20))) for i in range(12)]
+    docs = [(d, " ".join([random_word(rng) for _ in range(30)] + ([items[d % 12][1]] if d % 2 else []))) for d in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(decontamination, "WIDTH", 50)
+    _, spaces, _ = decontamination.index(frame, items)
+    assert len(spaces) >= 6 and all(len(x.idf) <= 50 for x in spaces) and sum(len(x.ids) for x in spaces) == 12
+    out = decontamination.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in out.collect()} == {d: [d % 12] if d % 2 else [] for d in range(60)}
+
+
 def test_terms_of_a_column_are_those_of_its_texts():
     terms = decontamination.Terms([b"a", b"b\xc3\xa9", b"c"])
     texts = ["a  bé\x0bc\x0c (c) ... D ", "", None, "\x1c a\u0085 \u00a0c c\u2003a", "*** --", "A\tBé."]
