@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapespark.llm import decontamination, langid, mixing, simhash, toxicity
-from tapespark.llm.common import clear, mark, table, written
+from tapespark.llm.common import clear, collect_garbage, mark, table, written
 
 
 def _aside(docs: DataFrame, *names: str) -> DataFrame:
@@ -30,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty texts get the model's bias, so they stay; repeated rows stay or go together; without labels of both
     classes all stay unless toxic is the rule.
     """
+    collect_garbage(spark)
     model = toxicity.trained(spark, docs, sf_dir)
     return _back(toxicity.score(_aside(docs, "score", "predicted"), model).where("predicted = 0"), docs)
 
@@ -40,6 +41,7 @@ def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Texts without a letter (null and empty ones too) have none and go; where no document names a language,
     all go. Of languages that are equally likely the first by name counts.
     """
+    collect_garbage(spark)
     rows = _aside(docs, "language", "posterior", "text_language")
     rows = rows.withColumns({"_host": F.col("source"), "_suffix": F.lit(""), "_declared": F.col("lang")})
     return _back(langid.identify(rows, langid.trained(docs)).where(F.col("language") != langid.UNKNOWN), docs)
@@ -51,17 +53,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A null id comes after all others; of rows that share an id the smallest text hash decides, of equal rows the
     first by their other columns stays. Null and empty texts are one class.
     """
+    collect_garbage(spark)
     return simhash.one_of_each(docs, simhash.near_classes(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark: null and empty ones hold none, nor does any where the benchmark is empty."""
+    collect_garbage(spark)
     out = decontamination.decontaminate(_aside(docs, "item_ids", "share"), table(spark, sf_dir, "benchmark"))
     return _back(out.where(F.size("item_ids") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, beside the columns of documents; equal rows count each, null sources are one source."""
+    collect_garbage(spark)
     own = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken")]
     return mixing.mix(docs, carry=tuple(own))
 

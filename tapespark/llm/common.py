@@ -48,6 +48,14 @@ def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
     _tables[since:] = [p for p in _tables[since:] if p not in set(gone)]
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Classes, broadcasts and shuffles of finished plans go, in the driver and, through Spark's cleaner, in the executors.
+
+    Below its limit the driver's JVM keeps them and takes more memory instead, and many plans follow one another here.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs only a reread."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_or_empty, utf8, wider, written
+from .common import collect_garbage, pieces, table, text_or_empty, utf8, wider, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -655,6 +655,7 @@ def near_classes(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     close = components(links(by_fp.select("fp")))  # as a forest of stars: one link for each value
     close = close.join(by_fp.select(F.col("fp").alias("node"), F.col("rep").alias("u")), "node").join(by_fp.select(F.col("fp").alias("root"), F.col("rep").alias("v")), "root").where("u != v").select("u", "v")
     same = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    collect_garbage(docs.sparkSession)
     some = written(candidates(values, limits), "near-candidates")
     edges, marks = linked(some)
     found = components(edges.unionByName(close).unionByName(to_rep(by_fp, "fp")).unionByName(to_rep(by_set, "h0", "h1")))
@@ -675,6 +676,7 @@ def near_classes(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
         more = written(crowd_links(left, texts_of(left.select("id")), limits), "near-more")
         found = components(more.unionByName(same(found)))
     root = texts.select(*name, "first", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(*name, "first", F.coalesce("root", "id").alias("root"))
+    collect_garbage(docs.sparkSession)
     least = written(root.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
     named = written(root.join(least, "root").select(*name, "component_id"), "near-classes")
     return signed.select("doc_id", *name).join(named, name).select("doc_id", "text_hash", "component_id")
