@@ -21,6 +21,8 @@ DISTANCE = 3
 LARGE_KEY = 4096
 #: Edges from which on the links of one node may be too many for a task.
 STARS = 5_000_000
+#: Edges up to which one task joins them all (some 100 bytes an edge); more go by rounds.
+ONE_TASK = 1_000_000
 
 
 def fingerprint(raw: bytes, n: int = SHINGLE) -> int:
@@ -171,17 +173,41 @@ def _finer(rows: DataFrame, distance: int) -> DataFrame:
     return rows.select("fp", F.explode(chosen).alias("k")).select("k.t", "k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"), "fp")
 
 
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of edges, and the smallest node that each reaches."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = place[: len(u)], place[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (u, v) that a task gets."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _roots(*map(np.concatenate, zip(*ends, strict=True)))], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of the edges (u, v): the smallest node reachable, by large and small stars.
+    """(node, root) for all nodes of the edges (u, v): the smallest node reachable.
 
-    Each round links every node to the smallest of its neighbours; the number of rounds grows with the
-    logarithm of the longest path. Each round's edges are written, so no lineage builds up. From STARS edges on
+    Up to ONE_TASK distinct edges are joined in one task; more by large and small stars. Each round of these
+    links every node to the smallest of its neighbours; the number of rounds grows with the logarithm of the
+    longest path. Each round's edges are written, so no lineage builds up. From STARS edges on
     so are the smallest neighbours: both sides of their join are plain shuffles then, and a node with very many
     links is split over tasks (below, all edges would fit one). Without edges the result is empty.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "stars")
     state = (now.count(), None)
+    if state[0] <= ONE_TASK:
+        return written(now.repartition(1).mapInArrow(_joined, "node long, root long"), "stars")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

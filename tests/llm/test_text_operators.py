@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tapespark.llm import chat, decontamination, langid, media, mixing, quality, scoring, simhash, toxicity, warc
+from tapespark.llm import chat, common, decontamination, langid, media, mixing, quality, scoring, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -209,6 +209,31 @@ def test_components_follow_long_paths(spark):
     assert simhash.components(edges.where("u < 0")).count() == 0
 
 
+@pytest.mark.parametrize("in_task", [1_000_000, 0])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, in_task):
+    monkeypatch.setattr(simhash, "ONE_TASK", in_task)
+    rng = np.random.default_rng(8)
+    nodes = rng.integers(-(1 << 62), 1 << 62, 400)
+    pairs = [(int(nodes[a]), int(nodes[b])) for a, b in rng.integers(0, 400, (220, 2))] + [(int(a), int(b)) for a, b in zip(nodes[:90], nodes[1:90], strict=False)]
+    want = {i: i for edge in pairs for i in edge if edge[0] != edge[1]}
+    for _ in range(len(want)):
+        before = dict(want)
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    got = [(r.node, r.root) for r in simhash.components(spark.createDataFrame(pairs, "u long, v long").repartition(5)).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_few_edges_take_two_tables(spark):
+    edges, at = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long"), common.mark()
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    assert common.mark() - at <= 2  # before, a table a round, and each of its files starts processes in the executors
+
+
 def test_one_of_each_class_stays(docs, empty):
     found = simhash.near_classes(docs)
     kept = simhash.one_of_each(docs, found).select("doc_id", "text", "share")
